@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, substrings
+from . import jaccard, lines, packing, quality, substrings
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, width=5)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), size=1024, digest=True)
 
@@ -35,6 +39,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_packing": op8_packing,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -87,4 +92,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
        sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
          list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
 FROM t LEFT JOIN r USING (doc_id)""",
+    "op6_ngram_jaccard_join": rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACES}+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+        list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s
+      FROM t WHERE len(w) > 0),
+c AS (SELECT min(doc_id) AS copy_of, count(*) AS size, any_value(s) AS s, md5(array_to_string(s, chr(10))) AS k FROM g GROUP BY k),
+e AS (SELECT copy_of, len(s) AS n, unnest(s) AS x FROM c),
+p AS (SELECT a.copy_of AS a, b.copy_of AS b FROM e a JOIN e b ON a.x = b.x AND a.copy_of < b.copy_of
+      GROUP BY ALL HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT copy_of AS a, copy_of AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS copy_of, min(b) AS class_id FROM r GROUP BY a),
+n AS (SELECT l.a AS copy_of, sum(c.size) AS linked, count(*) AS texts FROM l JOIN c ON l.b = c.copy_of GROUP BY l.a)
+SELECT g.doc_id, c.copy_of, m.class_id, (c.size - 1 + coalesce(n.linked, 0))::BIGINT AS n_links, coalesce(n.texts, 0)::BIGINT AS n_texts
+FROM g JOIN c ON md5(array_to_string(g.s, chr(10))) = c.k JOIN m USING (copy_of) LEFT JOIN n USING (copy_of)
+UNION ALL SELECT doc_id, doc_id, doc_id, 0, 0 FROM t WHERE len(w) = 0""",
 }
