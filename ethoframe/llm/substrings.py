@@ -38,7 +38,7 @@ from . import words as W
 from .common import shards_for, stage
 
 #: Bytes of text whose probes make one shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -205,24 +205,44 @@ def _passages(shards: int, block: int, length: int):
     return run
 
 
+_BY_BUCKET = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("places", pa.binary())])
 _REPEATS = pa.schema([("doc_id", pa.int64()), ("repeats", pa.binary())])
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """One shard: starts of passages that a smaller document also has."""
-    h, d, p = (
-        np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
-        for c, t in (("hashes", np.uint64), ("ids", np.int64), ("places", np.int32))
-    )
-    order = np.lexsort((d, h))
-    h, d, p = h[order], d[order], p[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = np.flatnonzero(d > least)
-    order = later[np.argsort(d[later], kind="stable")]
+def _repeats(buckets: int):
+    """One shard: starts of passages that a smaller document also has, packed by
+    bucket of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, d, p = (
+            np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
+            for c, t in (("hashes", np.uint64), ("ids", np.int64), ("places", np.int32))
+        )
+        order = np.lexsort((d, h))
+        h, d, p = h[order], d[order], p[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = d > least
+        d, p = d[later], p[later]
+        bucket = (W.mix(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, d, p = bucket[order], d[order], p[order]
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        spans = list(zip(cut, [*cut[1:], len(d)]))
+        rows = {"bucket": bucket[cut].tolist(), "ids": [d[x:y].tobytes() for x, y in spans], "places": [p[x:y].tobytes() for x, y in spans]}
+        return pa.Table.from_batches([_batch(_BY_BUCKET, rows)])
+
+    return run
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """One bucket: each document's starts."""
+    d = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")])
+    p = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("places")])
+    order = np.argsort(d, kind="stable")
     d, p = d[order], p[order]
-    cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1)) if len(d) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     rows = {"doc_id": d[cut].tolist(), "repeats": [p[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(d)])]}
     return pa.Table.from_batches([_batch(_REPEATS, rows)])
 
@@ -241,7 +261,7 @@ def _cut(length: int, digest: bool):
                 for i in range(texts.n_rows):
                     if (found := repeats[texts.row + i].as_py()) and ids[texts.row + i].is_valid:
                         n = int(texts.n_words[i])
-                        p = np.concatenate([np.frombuffer(x, np.int32) for x in found])
+                        p = np.frombuffer(found, np.int32)
                         p = np.unique(p[p <= n - length])
                         mark = np.zeros(n + 1, np.int32)
                         mark[p] += 1
@@ -274,8 +294,8 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     anchors = stage(anchors.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")))
     near = slim.join(anchors, "doc_id").select("doc_id", "text", "anchors")
     passages = near.mapInArrow(_passages_of(shards, block, length), "shard int, hashes binary, ids binary, places binary")
-    found = passages.groupBy("shard").applyInArrow(_repeats, "doc_id long, repeats binary")
-    return stage(found.groupBy("doc_id").agg(F.collect_list("repeats").alias("repeats")))
+    found = passages.groupBy("shard").applyInArrow(_repeats(shards), "bucket int, ids binary, places binary")
+    return stage(found.groupBy("bucket").applyInArrow(_by_document, "doc_id long, repeats binary"))
 
 
 def _passages_of(shards: int, block: int, length: int):
