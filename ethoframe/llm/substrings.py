@@ -36,35 +36,10 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import shards_for, stage
+from .packed import LOW, batch_of, by_shard, pack, unpack
 
 #: Bytes of text whose probes make one shard.
 SHARD_BYTES = 8 << 20
-_LOW = np.uint64(0xFFFFFFFF)
-
-
-def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order by shard, bounds of each shard in it); the shard comes from
-    the high bits, so the low ones stay a full hash within it."""
-    shard = ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
-    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def _pack(places: np.ndarray) -> bytes:
-    """Ascending places as gaps, lowest bytes first, so that codecs squeeze them."""
-    gaps = np.diff(places.astype(np.uint32), prepend=np.uint32(0))
-    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return np.cumsum(gaps, dtype=np.uint32)
-
-
-def _batch(schema: pa.Schema, rows: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
-
-
 _PROBES = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary())])
 _HITS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("places", pa.binary())])
 
@@ -103,13 +78,13 @@ def _probes(shards: int, block: int, length: int):
 
             put(number % shards, 2, ids.astype(np.int64).tobytes(), np.concatenate(first).astype(np.uint32).tobytes())
             for kind, hh, pp in ((0, h[a], None), (1, h, p)):
-                order, bounds = _by_shard(hh, shards)
-                low = (hh[order] & _LOW).astype(np.uint32)
+                order, bounds = by_shard(hh, shards)
+                low = (hh[order] & LOW).astype(np.uint32)
                 places_in = pp[order] if pp is not None else None
                 for s in np.flatnonzero(np.diff(bounds)):
                     x, y = bounds[s], bounds[s + 1]
-                    put(int(s), kind, low[x:y].tobytes(), _pack(places_in[x:y]) if pp is not None else b"")
-            yield _batch(_PROBES, out)
+                    put(int(s), kind, low[x:y].tobytes(), pack(places_in[x:y]) if pp is not None else b"")
+            yield batch_of(_PROBES, out)
             number += 1
 
     return run
@@ -128,16 +103,16 @@ def _match(table: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(index, h), len(index) - 1)
         hit = np.flatnonzero(index[at] == h)
         met += np.bincount(at[hit], minlength=len(index))
-        found.append((int(batches[i]), at[hit], _unpack(places[int(i)].as_py())[hit]))
+        found.append((int(batches[i]), at[hit], unpack(places[int(i)].as_py())[hit]))
     rows: dict[str, list] = {f.name: [] for f in _HITS}
     for number, at, p in found:
         if len(p := p[met[at] > 1]):
-            for k, v in zip(rows, (number, 1, None, _pack(p))):
+            for k, v in zip(rows, (number, 1, None, pack(p))):
                 rows[k].append(v)
     for i in np.flatnonzero(kinds == 2):
         for k, v in zip(rows, (int(batches[i]), 2, blobs[int(i)].as_py(), places[int(i)].as_py())):
             rows[k].append(v)
-    return pa.Table.from_batches([_batch(_HITS, rows)])
+    return pa.Table.from_batches([batch_of(_HITS, rows)])
 
 
 _ANCHORS = pa.schema([("doc_id", pa.int64()), ("anchors", pa.binary())])
@@ -147,7 +122,7 @@ def _locate(table: pa.Table) -> pa.Table:
     """One batch: its hits by document, places counted from the text's start."""
     rows: dict[str, list] = {"doc_id": [], "anchors": []}
     kinds = table.column("kind").to_pylist()
-    hits = [_unpack(table.column("places")[i].as_py()) for i, k in enumerate(kinds) if k == 1]
+    hits = [unpack(table.column("places")[i].as_py()) for i, k in enumerate(kinds) if k == 1]
     docs = [i for i, k in enumerate(kinds) if k == 2]
     if hits and docs:
         ids = np.frombuffer(table.column("ids")[docs[0]].as_py(), np.int64)
@@ -159,7 +134,7 @@ def _locate(table: pa.Table) -> pa.Table:
         for x, y in zip(cut, [*cut[1:], len(p)]):
             rows["doc_id"].append(int(ids[doc[x]]))
             rows["anchors"].append((p[x:y] - first[doc[x]]).tobytes())
-    return pa.Table.from_batches([_batch(_ANCHORS, rows)])
+    return pa.Table.from_batches([batch_of(_ANCHORS, rows)])
 
 
 _PASSAGES = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
@@ -193,14 +168,14 @@ def _passages(shards: int, block: int, length: int):
                     ds.append(np.full(len(at), ids[texts.row + i]))
                     ps.append(at.astype(np.int32))
             h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
-            order, bounds = _by_shard(h, shards)
+            order, bounds = by_shard(h, shards)
             h, d, p = h[order], d[order], p[order]
             rows: dict[str, list] = {f.name: [] for f in _PASSAGES}
             for s in np.flatnonzero(np.diff(bounds)):
                 x, y = bounds[s], bounds[s + 1]
                 for k, v in zip(rows, (int(s), h[x:y].tobytes(), d[x:y].tobytes(), p[x:y].tobytes())):
                     rows[k].append(v)
-            yield _batch(_PASSAGES, rows)
+            yield batch_of(_PASSAGES, rows)
 
     return run
 
@@ -231,7 +206,7 @@ def _repeats(buckets: int):
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         spans = list(zip(cut, [*cut[1:], len(d)]))
         rows = {"bucket": bucket[cut].tolist(), "ids": [d[x:y].tobytes() for x, y in spans], "places": [p[x:y].tobytes() for x, y in spans]}
-        return pa.Table.from_batches([_batch(_BY_BUCKET, rows)])
+        return pa.Table.from_batches([batch_of(_BY_BUCKET, rows)])
 
     return run
 
@@ -244,7 +219,7 @@ def _by_document(table: pa.Table) -> pa.Table:
     d, p = d[order], p[order]
     cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     rows = {"doc_id": d[cut].tolist(), "repeats": [p[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(d)])]}
-    return pa.Table.from_batches([_batch(_REPEATS, rows)])
+    return pa.Table.from_batches([batch_of(_REPEATS, rows)])
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
