@@ -42,7 +42,7 @@ BLOCK = 2_000_000
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 62, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEAT = (np.arange(SLOTS, dtype=np.uint64) + np.uint64(1)) << np.uint64(20)
+_SEAT = (np.arange(SLOTS, dtype=np.uint64) + np.uint64(1)) << np.uint64(40)
 
 
 def shingle_sets(texts: W.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(n > 0, W.mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64) * _ODD[0]), np.uint64(0)).view(np.int64)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("marks", pa.binary())])
 
 
 def _sketches(width: int):
@@ -79,13 +79,15 @@ def _sketches(width: int):
             for texts in W.chunks(batch.column(1)):
                 h, bounds = shingle_sets(texts, width)
                 full = np.flatnonzero(np.diff(bounds))
-                mins = np.zeros((SLOTS, texts.n_rows), np.uint16)
+                mins = np.zeros((SLOTS, texts.n_rows), np.uint32)
                 for k in range(SLOTS if len(full) else 0):
-                    mins[k, full] = W.mix(np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], bounds[full])) & np.uint64(0xFFFF)
+                    mins[k, full] = W.mix(np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], bounds[full])) & np.uint64(0xFFFFFFFF)
                 sketch = np.ascontiguousarray(mins.T)
-                blobs = [sketch[i].tobytes() for i in range(texts.n_rows)]
+                # its lowest bytes are enough to compare two sketches
+                marks = (sketch & np.uint32(0xFF)).astype(np.uint8)
+                blobs, small = ([x[i].tobytes() for i in range(texts.n_rows)] for x in (sketch, marks))
                 ids = batch.column(0).slice(texts.row, texts.n_rows)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(set_keys(h, bounds)), pa.array(np.diff(bounds), pa.int64()), pa.array(blobs, pa.binary())], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(set_keys(h, bounds)), pa.array(np.diff(bounds), pa.int64()), pa.array(blobs, pa.binary()), pa.array(small, pa.binary())], schema=_SKETCH)
 
     return run
 
@@ -104,7 +106,7 @@ def _expand(similarity: float, runs: int):
                 if not part.num_rows:
                     continue
                 nodes = part.column(0).to_numpy()
-                sketch = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint16).reshape(-1, SLOTS)
+                sketch = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint32).reshape(-1, SLOTS)
                 tokens = W.mix(sketch.astype(np.uint64) + _SEAT)
                 given = part.num_columns > 2
                 roots = [part.column(2).to_numpy().view(np.uint64)] if given else [W.mix(np.full(1, r + 1, np.uint64)) for r in range(runs)]
@@ -133,74 +135,95 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _compare(similarity: float, limit: int):
-    """Links within buckets; the input is sorted by path.
+    """Links within buckets; the input is sorted by path and node.
 
-    A bucket's members wait until ``limit`` are there and are then compared all with
-    all. A larger bucket keeps leaders: a member linked to none at the threshold
-    becomes one, and is linked to all within three times the wanted distance (by the
-    triangle inequality two members at the wanted similarity then share a leader).
+    Members of a bucket up to ``limit`` are compared all with all. In a larger one
+    members that are almost equal (``cover``) to an earlier one stand behind it, and
+    each is compared with those that stand in front; what is joined is kept as a
+    forest. Either way a member is told one link, to the smallest of its tree.
     """
     spread = 4 * math.sqrt(similarity * (1 - similarity) / SLOTS)
-    near, loose = (similarity - spread) * SLOTS, max(0.05, 1 - 3 * (1 - similarity) - spread - 0.2) * SLOTS
-
-    def close(nodes: np.ndarray, sketch: np.ndarray, out: list) -> None:
-        n = len(nodes)
-        if n < 2:
-            return
-        same = (sketch[:, None, :] == sketch[None, :, :]).sum(2)
-        root = _forest(n, np.argwhere(np.triu(same >= near, 1)))
-        for i in np.flatnonzero(root != np.arange(n)):
-            out.append((nodes[i], nodes[root[i]]))
-
-    def lead(nodes: np.ndarray, sketch: np.ndarray, leaders: list, out: list) -> None:
-        todo = np.arange(len(nodes))
-        done = 0
-        while len(todo):
-            for node, own in leaders[done:]:
-                same = (sketch[todo] == own).sum(1)
-                for i in todo[same >= loose]:
-                    if nodes[i] != node:
-                        out.append((nodes[i], node))
-            # those near a leader need none of their own
-            free = np.ones(len(todo), bool)
-            for _, own in leaders:
-                free &= (sketch[todo] == own).sum(1) < near
-            done = len(leaders)
-            if not free.any():
-                break
-            first = todo[np.flatnonzero(free)[0]]
-            leaders.append((nodes[first], sketch[first]))
+    near, cover = (similarity - spread) * SLOTS, (1 - (1 - similarity) / 2) * SLOTS
+
+    def close(nodes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        same = (marks[:, None, :] == marks[None, :, :]).sum(2)
+        return _forest(len(nodes), np.argwhere(np.triu(same >= near, 1)))
+
+    class Bucket:
+        def __init__(self):
+            self.nodes, self.marks = np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint8)
+            self.front: np.ndarray | None = None  # members in front, by number
+            self.root = np.zeros(0, np.int64)
+
+        def add(self, nodes: np.ndarray, marks: np.ndarray) -> None:
+            self.nodes = np.concatenate([self.nodes, nodes])
+            if self.front is None:
+                self.marks = np.concatenate([self.marks, marks])
+                if len(self.nodes) <= limit:
+                    return
+                marks, self.marks, self.front = self.marks, self.marks[:0], np.zeros(0, np.int64)
+            base = len(self.root)
+            self.root = np.concatenate([self.root, np.arange(base, base + len(marks))])
+            for x in range(0, len(marks), 128):
+                self.meet(np.arange(base + x, base + min(x + 128, len(marks))), marks[x : x + 128])
+
+        def meet(self, own: np.ndarray, marks: np.ndarray) -> None:
+            pairs, covered = [], np.zeros(len(own), bool)
+            for y in range(0, len(self.front), 1024):
+                same = (marks[:, None, :] == self.marks[None, y : y + 1024, :]).sum(2)
+                covered |= (same >= cover).any(1)
+                i, j = np.nonzero(same >= near)
+                pairs.append(np.stack([own[i], self.front[y + j]], 1))
+            same = (marks[:, None, :] == marks[None, :, :]).sum(2)
+            pairs.append(own[np.argwhere(np.triu(same >= near, 1))])
+            covered |= np.tril(same >= cover, -1).any(1)
+            self.join(np.concatenate(pairs))
+            self.front = np.concatenate([self.front, own[~covered]])
+            self.marks = np.concatenate([self.marks, marks[~covered]])
+
+        def join(self, pairs: np.ndarray) -> None:
+            pairs = np.unique(self.root[pairs], axis=0)
+            for a, b in pairs[pairs[:, 0] != pairs[:, 1]]:
+                a, b = self.find(a), self.find(b)
+                self.root[max(a, b)] = min(a, b)
+
+        def find(self, a: int) -> int:
+            while self.root[a] != a:
+                a = self.root[a]
+            return a
+
+        def links(self) -> np.ndarray:
+            n = len(self.nodes)
+            if n < 2:
+                return np.zeros((0, 2), np.int64)
+            root = close(self.nodes, self.marks) if self.front is None else self.root
+            while (root != root[root]).any():
+                root = root[root]
+            own = np.flatnonzero(root != np.arange(n))
+            return np.stack([self.nodes[own], self.nodes[root[own]]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, nodes, sketch, leaders = None, np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16), []
+        path, bucket = None, Bucket()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out: list = []
-            paths, new = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            marks = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), np.uint16).reshape(-1, SLOTS)
+            out = []
+            paths, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            marks = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), np.uint8).reshape(-1, SLOTS)
             cut = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1]]))
             for x, y in zip(cut, [*cut[1:], len(paths)]):
                 if paths[x] != path:
-                    if not leaders:
-                        close(nodes, sketch, out)
-                    path, nodes, sketch, leaders = paths[x], new[x:y], marks[x:y], []
-                else:
-                    nodes, sketch = np.concatenate([nodes, new[x:y]]), np.concatenate([sketch, marks[x:y]])
-                if leaders or len(nodes) > limit:
-                    lead(nodes, sketch, leaders, out)
-                    nodes, sketch = nodes[:0], sketch[:0]
+                    out.append(bucket.links())
+                    path, bucket = paths[x], Bucket()
+                bucket.add(nodes[x:y], marks[x:y])
             yield _links(out)
-        out = []
-        if not leaders:
-            close(nodes, sketch, out)
-        yield _links(out)
+        yield _links([bucket.links()])
 
     return run
 
 
 def _links(out: list) -> pa.RecordBatch:
-    pairs = np.array(out, np.int64).reshape(-1, 2)
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINKS)
 
 
@@ -233,7 +256,7 @@ def candidate_links(classes: DataFrame, similarity: float, recall: float, depth:
     buckets = met[0]
     for more in met[1:]:
         buckets = buckets.unionByName(more)
-    rows = buckets.join(classes.select("node", "sketch"), "node").select("path", "node", "sketch")
+    rows = buckets.join(classes.select("node", "marks"), "node").select("path", "node", "marks")
     rows = rows.repartition("path").sortWithinPartitions("path", "node")
     return rows.mapInArrow(_compare(similarity, limit), "a long, b long").distinct()
 
@@ -314,15 +337,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     at the similarity or above, equal ones included) and n_texts (how many different
     texts among them)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stage(slim.mapInArrow(_sketches(width), "doc_id long, node long, n long, sketch binary"))
+    sketches = stage(slim.mapInArrow(_sketches(width), "doc_id long, node long, n long, sketch binary, marks binary"))
     full = sketches.where("n > 0 and doc_id is not null")
-    classes = stage(full.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    classes = stage(full.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("marks").alias("marks")))
     near = stage(candidate_links(classes, similarity, recall, depth, limit))
     groups = components(near)
-    members = stage(groups.join(classes.drop("sketch"), "node"))
+    members = stage(groups.join(classes.drop("sketch", "marks"), "node"))
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
     wanted = members.join(blocks, "component").select("node", "component", "blocks", "size", F.col("copy_of").alias("doc_id"))
-    sets = slim.join(wanted, "doc_id").select("text", "node", "component", "blocks", "size")
+    sets = slim.join(wanted.hint("merge"), "doc_id").select("text", "node", "component", "blocks", "size")
     sets = sets.mapInArrow(_sets(width), "component long, node long, blocks int, size long, shingles binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
