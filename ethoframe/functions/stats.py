@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _continued(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -61,12 +62,12 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_cdf_array(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     known: dict = {}
     for key in set(zip(p, df)):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames
+from . import analysis, frames
 
-_PARTS = (frames,)
+_PARTS = (frames, analysis)
 QUERIES: dict = {name: make for part in _PARTS for name, make in part.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to observations to effects of all pairs of arms."""
-    return QUERIES["obs_level"](spark, sf_dir)
+    return QUERIES["ead_all_pairs"](spark, sf_dir)
