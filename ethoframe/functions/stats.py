@@ -87,8 +87,26 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return 2 * (F.lit(1.0) - t_cdf(F.abs(t), df))
 
 
-def with_average_rank(df: DataFrame, column: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs."""
-    w = Window.partitionBy(*by).orderBy(column)
-    same = Window.partitionBy(*by, column)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
+def with_average_rank(df: DataFrame, column: str, name: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Ranks from 1, equal values sharing the mean of theirs; nulls get none.
+
+    Without groups, values are dealt into buckets by approximate quantiles, so that
+    no task sorts all of them: a rank is the rows in lower buckets and the rank within
+    its own.
+    """
+    if by:
+        w, same = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
+        rank = F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0
+        nulls = F.count_if(F.col(column).isNull()).over(Window.partitionBy(*by))
+        return df.withColumn(name, F.when(F.col(column).isNotNull(), rank - nulls))
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(column, shares, 10_000).alias("_bounds"))  # one row
+    dealt = df.crossJoin(F.broadcast(bounds))
+    dealt = dealt.withColumn("_bucket", F.size(F.filter(F.coalesce("_bounds", F.array()), lambda b: b < F.col(column)))).drop("_bounds")
+    counts = dealt.where(F.col(column).isNotNull()).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    lower = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_bucket").alias("_b"), lower.alias("_lower"))  # a row a bucket
+    w, same = Window.partitionBy("_bucket").orderBy(F.col(column).asc_nulls_last()), Window.partitionBy("_bucket", column)
+    ranked = dealt.withColumn("_rank", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
+    ranked = ranked.join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"), "left")
+    return ranked.withColumn(name, F.when(F.col(column).isNotNull(), F.col("_rank") + F.col("_lower"))).drop("_bucket", "_rank", "_b", "_lower")

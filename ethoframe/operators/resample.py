@@ -1,6 +1,7 @@
 """Permutation tests, bootstrap, splits and samples from hashes, so that they are the
 same in each run and on any cluster. Replicates are made by exploding replicate
-numbers beside observation rows and summed at once; nothing is collected."""
+numbers beside observation rows and summed at once; nothing is collected. Replicates
+are the unit of parallel work, so a table of observations (not of frames) is meant."""
 
 from __future__ import annotations
 
@@ -13,6 +14,19 @@ def hash_order(*columns: str, seed: int | str = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
+def with_hash_rank(df: DataFrame, unit: str, seed: int | str, name: str = "_k") -> DataFrame:
+    """The place (from 1) of each row in the hash order of its unit. Rows are ranked
+    within the 4096 buckets of the hash's first digits, whose counts are added up
+    apart, so that no task has to order all rows."""
+    dealt = df.withColumn("_h", hash_order(unit, seed=seed)).withColumn("_bucket", F.substring("_h", 1, 3))
+    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    lower = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_bucket").alias("_b"), lower.alias("_lower"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", unit))
+    ranked = dealt.withColumn("_own", own).join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"))  # 4096 rows at most
+    return ranked.withColumn(name, F.col("_own") + F.col("_lower")).drop("_h", "_bucket", "_b", "_lower", "_own")
+
+
 def anova(df: DataFrame, value: str, arm: str, by: tuple[str, ...] = ()) -> DataFrame:
     """F and its degrees of freedom."""
     per = df.groupBy(*by, arm).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
@@ -73,7 +87,8 @@ def bootstrap(df: DataFrame, value: str, unit: str, arm: str, n: int = 200, seed
 def split_by_unit(df: DataFrame, unit: str, share: float, seed: int = 0, name: str = "is_val") -> DataFrame:
     """Marks all rows of a share of units, at least one."""
     units = df.select(unit).distinct()
-    ranked = units.withColumns({"_k": F.row_number().over(Window.partitionBy().orderBy(hash_order(unit, seed=seed), unit)), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    n = units.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_hash_rank(units, unit, seed).crossJoin(F.broadcast(n))  # one row
     chosen = ranked.select(unit, (F.col("_k") <= F.greatest(F.floor(F.col("_n") * share), F.lit(1))).alias(name))
     return df.join(chosen, unit)
 
@@ -92,7 +107,7 @@ def round_robin(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
 def sample_negatives(df: DataFrame, label: str, unit: str, ratio: float, seed: int) -> DataFrame:
     """All rows with a label and ``ratio`` times as many without one."""
     n = df.agg((F.count_if(F.col(label) > 0) * ratio).cast("long").alias("_most"))
-    none = df.where(F.col(label) == 0).withColumn("_k", F.row_number().over(Window.partitionBy().orderBy(hash_order(unit, seed=seed), unit)))
+    none = with_hash_rank(df.where(F.col(label) == 0), unit, seed)
     kept = none.crossJoin(F.broadcast(n)).where("_k <= _most").drop("_k", "_most")  # one row
     return df.where(F.col(label) > 0).unionByName(kept)
 
