@@ -49,9 +49,12 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def shards_for(df: DataFrame, column: str, bytes_each: int) -> int:
-    """How many groups keep ``column``'s bytes in a group near ``bytes_each``."""
-    total = df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0
-    return max(12, -(-int(total) // bytes_each))
+    """How many groups keep ``column``'s bytes in a group near ``bytes_each``, or,
+    from 4096 groups on, near eight times that: what a task sends to each group
+    would otherwise shrink to nothing."""
+    total = int(df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
+    each = max(bytes_each, min(8 * bytes_each, total // 4096))
+    return max(12, -(-total // each))
 
 
 def number_of_words(text) -> "F.Column":

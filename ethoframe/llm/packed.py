@@ -3,8 +3,11 @@ values: Spark moves and groups the rows, numpy works on what is in them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -30,3 +33,19 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, rows: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+
+
+#: Bytes of text that a task works on at once.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut, between rows, into parts of about ``size`` bytes of text."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to

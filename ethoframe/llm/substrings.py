@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import shards_for, stage
-from .packed import LOW, batch_of, by_shard, pack, unpack
+from .packed import LOW, batch_of, by_shard, pack, slices, unpack
 
 #: Bytes of text whose probes make one shard.
 SHARD_BYTES = 8 << 20
@@ -52,9 +52,7 @@ def _probes(shards: int, block: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1):
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             hashes, places, anchors, first, base = [], [], [], [], 0
             for texts in W.chunks(batch.column(1)):
@@ -152,9 +150,7 @@ def _near(anchors: list[bytes], n: int, block: int, length: int) -> np.ndarray:
 
 def _passages(shards: int, block: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1):
             ids, anchors = batch.column(0).to_numpy(), batch.column(2)
             hs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for texts in W.chunks(batch.column(1)):
@@ -229,7 +225,7 @@ def _cut(length: int, digest: bool):
     schema = pa.schema([*list(_RESULT)[:3], ("kept_sha256", pa.string())]) if digest else _RESULT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, repeats, at = batch.column(0), batch.column(2), 0
             for texts in W.chunks(batch.column(1)):
                 keep = np.ones(len(texts.starts), bool)
