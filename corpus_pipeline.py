@@ -34,12 +34,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    had = docs.withColumn("_had", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    left = lines.dedup_lines(had)
-    kept = left.where(~F.col("_had") | F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    left = lines.dedup_lines(docs)
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = left.where((F.col("n_removed") == 0) | has_words)
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return kept.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than the six ASCII white spaces.
@@ -57,6 +57,18 @@ def shards_for(df: DataFrame, column: str, bytes_each: int) -> int:
     return max(12, -(-total // each))
 
 
-def number_of_words(text) -> "F.Column":
+def row_of(docs: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that none can clash with what an
+    operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def columns_of(docs: DataFrame, replaced: dict[str, Column] | None = None, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` out of ``_row``, some replaced, some left out."""
+    replaced = replaced or {}
+    return [(replaced[c] if c in replaced else F.col("_row")[c]).alias(c) for c in docs.columns if c not in without]
+
+
+def number_of_words(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

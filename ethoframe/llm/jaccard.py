@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import stage
+from .common import columns_of, row_of, stage
 from .components import components
 
 SLOTS = 64
@@ -368,6 +368,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` without those that a smaller doc_id's class holds."""
+    """``docs`` without those whose class has a smaller doc_id. Rows with equal ids
+    stay or go together; null ids stay."""
     rest = near_duplicates(docs, similarity, width).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rest, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_doc"))
+    return rows.join(rest, F.col("_doc") == F.col("_gone"), "left_anti").select(*columns_of(docs))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import number_of_words, stage
+from .common import columns_of, number_of_words, row_of, stage
 
 #: Buckets into which the documents of one source and size are dealt.
 BUCKETS = 256
@@ -135,6 +135,13 @@ def copies(groups: DataFrame, sources: DataFrame, most: int = 3, passes: int = 5
         df = df.withColumn("_used", F.sum(F.col("_room") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_room") * F.col("size"))
         take = F.least(F.greatest(F.floor((F.abs("_left") - F.col("_used")) / F.greatest("size", F.lit(1))), F.lit(0)), F.col("_room"))
         df = df.withColumn("copies", (F.col("copies") + F.when(F.col("_left") > 0, take).otherwise(-take)).cast("long")).drop("_left", "_room", "_used")
+    # last, one copy more or less of the size nearest to what is left, if that helps
+    for _ in range(2):
+        df = df.withColumn("_left", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(per))
+        room = F.when(F.col("_left") > 0, F.col("copies") < F.col("n") * most).otherwise(F.col("copies") > 0)
+        miss = F.abs(F.col("size") - F.abs("_left"))
+        df = df.withColumn("_best", F.min(F.when(room & (miss < F.abs("_left")), F.struct(miss.alias("miss"), F.col("size").alias("size")))).over(per))
+        df = df.withColumn("copies", F.when(F.col("size") == F.col("_best.size"), F.col("copies") + F.signum("_left").cast("long")).otherwise(F.col("copies"))).drop("_left", "_best")
     return df
 
 
@@ -171,11 +178,10 @@ def mix(docs: DataFrame, most: int = 3, weight: Column | None = None) -> DataFra
 def take(docs: DataFrame, most: int = 3) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies."""
     chosen = mix(docs, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "copies", F.col("source").alias("_from"))
-    # rows with one id, text and source share their copies evenly
-    w = Window.partitionBy("_id", "_body", "_from")
-    chosen = chosen.withColumn("_k", F.row_number().over(w.orderBy("copies")))
-    rows = docs.withColumn("_body2", F.xxhash64("text"))
-    rows = rows.withColumn("_k2", F.row_number().over(Window.partitionBy("doc_id", "_body2", "source").orderBy(F.lit(1))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_body2") == F.col("_body")) & F.col("source").cast("string").eqNullSafe(F.col("_from")) & (F.col("_k") == F.col("_k2"))
+    # rows with one id, text and source are told apart by number
+    chosen = chosen.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_body", "_from").orderBy("copies")))
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("source").cast("string").alias("_source"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash", "_source").orderBy(F.lit(1))))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")) & F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_n") == F.col("_k"))
     joined = rows.join(chosen, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in docs.columns])
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*columns_of(docs))

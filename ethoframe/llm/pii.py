@@ -34,6 +34,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns_of, row_of
+
 ROUNDS = 8
 _FIRST_DAY, _SIDE = "1850-01-01", 324
 
@@ -241,17 +243,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, n_found and kinds (one for each)."""
     if not key:
         raise ValueError("a key is needed")
-    body = F.col(text)
-    df = docs.withColumn("_found", F.when(body.rlike(_ANY), F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1))))
+    body = F.col("_body")
+    df = docs.select(row_of(docs), F.col(text).alias("_body"))
+    df = df.withColumn("_found", F.when(body.rlike(_ANY), F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1))))
     df = df.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _one(key, m))))
-    gaps = F.split(body, PATTERN)
-    df = df.withColumn("_gaps", F.when(F.size("_found") > 0, gaps))
+    df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(body, PATTERN)))
     filled = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["text"], F.lit("")))), "")
-    kinds = F.array_compact(F.transform("_new", lambda x: x["kind"]))
-    return df.withColumns(
-        {
-            text: F.when(F.col("_new").isNull(), body).otherwise(filled),
-            "kinds": F.coalesce(kinds, F.array().cast("array<string>")),
-            "n_found": F.coalesce(F.size(kinds), F.lit(0)).cast("long"),
-        }
-    ).withColumn("n_found", F.greatest("n_found", F.lit(0))).drop("_found", "_new", "_gaps")
+    kinds = F.coalesce(F.array_compact(F.transform("_new", lambda x: x["kind"])), F.array().cast("array<string>"))
+    shown = F.when(F.col("_new").isNull(), body).otherwise(filled)
+    return df.select(*columns_of(docs, {text: shown}, ("n_found", "kinds")), F.size(kinds).cast("long").alias("n_found"), kinds.alias("kinds"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, columns_of, row_of
 
 #: Frequent function words of the four languages of the corpus (a parameter).
 STOP_WORDS = (
@@ -71,11 +71,19 @@ def _covered(starts: Column, width: int) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(width), lambda a, x: a + x))
 
 
+#: The columns that ``measures`` adds.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters", "n_stop_words",
+    "repeat_percent", "mean_word_chars", "stutter_percent", "symbols_per_word", "stop_percent", "dup_line_percent",
+)
+
+
 def measures(docs: DataFrame, text: str = "text", width: int = 5, stop_words: str = STOP_WORDS) -> DataFrame:
     """Adds the measured columns; windows of ``width`` words that occur twice or
     more in the text are compared by a 64-bit hash."""
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(stop_words.split())])
-    body = F.coalesce(F.col(text), F.lit(""))
+    docs, whole = docs.select(row_of(docs), F.coalesce(F.col(text), F.lit("")).alias("_body")), docs
+    body = F.col("_body")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"_words": F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)), "_lines": lines})
     windows = F.transform(
@@ -118,7 +126,7 @@ def measures(docs: DataFrame, text: str = "text", width: int = 5, stop_words: st
             "dup_line_percent": F.lit(100.0) * F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0)),
         }
     )
-    return df.drop("_words", "_lines", "_windows", "_twice", "_ordered", "_starts")
+    return df.select(*columns_of(whole, without=MEASURES), *MEASURES)
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
