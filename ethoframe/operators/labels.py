@@ -36,12 +36,18 @@ def unknown_behaviours(bouts: DataFrame, mapping: dict, behaviour: str = "behavi
     return bouts.where(name.isNotNull() & (name != "") & ~name.isin(*mapping)).groupBy(name.alias(behaviour)).agg(F.count(F.lit(1)).alias("n_bouts"))
 
 
-def label_by_join(observations: DataFrame, bouts: DataFrame, outcomes: tuple[str, ...], key: str = "obs") -> DataFrame:
-    """Labels by a range join within each observation, overlaps by maximum."""
-    frames = frames_of(observations, key).withColumn("source", source_frame(F.col("frame_idx"), F.col("offset"), F.col("ratio")))
-    hit = (frames[key] == bouts[key]) & (frames["source"] >= bouts["start_frame"]) & (frames["source"] < bouts["end_frame"])
-    joined = frames.join(bouts, hit, "left")
-    return joined.groupBy(frames[key], frames["frame_idx"]).agg(*[F.coalesce(F.max(bouts[o]), F.lit(0)).cast("int").alias(o) for o in outcomes])
+def label_by_join(observations: DataFrame, bouts: DataFrame, outcomes: tuple[str, ...], key: str = "obs", width: int = 256) -> DataFrame:
+    """Labels by a range join within each observation, overlaps by maximum. Both
+    sides are dealt into bins of ``width`` source frames, so that a frame meets the
+    bouts of its bin only and long observations spread over many tasks."""
+    frames = frames_of(observations, key).withColumn("_source", source_frame(F.col("frame_idx"), F.col("offset"), F.col("ratio")))
+    frames = frames.select(key, "frame_idx", "_source", F.floor(F.col("_source") / width).alias("_bin"))
+    spans = bouts.where("start_frame < end_frame").select(key, "start_frame", "end_frame", *outcomes)
+    bins = F.sequence(F.floor(F.col("start_frame") / width), F.floor((F.col("end_frame") - 1) / width))
+    spans = spans.withColumn("_bin", F.explode(bins)).withColumnsRenamed({key: "_key", "_bin": "_bin2"})
+    hit = (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_source") >= F.col("start_frame")) & (F.col("_source") < F.col("end_frame"))
+    joined = frames.join(spans, hit, "left")
+    return joined.groupBy(key, "frame_idx").agg(*[F.coalesce(F.max(o), F.lit(0)).cast("int").alias(o) for o in outcomes])
 
 
 def expand_bouts(observations: DataFrame, bouts: DataFrame, key: str = "obs") -> DataFrame:

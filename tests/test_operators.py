@@ -231,3 +231,47 @@ def test_scalars(spark):
     df = frames(spark, [("30000/1001", "d/frame_000012.jpg", "wt_l1_m_7_soc_p1", 3725.9)], "f string, p string, o string, s double")
     r = one(df.select(C.fraction(F.col("f")).alias("f"), C.frame_of_file(F.col("p")).alias("i"), C.pool_of(F.col("o")).alias("o"), C.clock(F.col("s")).alias("s"), C.stem(F.col("p")).alias("t")))
     assert abs(r.f - 29.97003) < 1e-5 and (r.i, r.o, r.s, r.t) == (12, "l1_m_7", "01:02:05", "frame_000012")
+
+
+def test_staged_search_reuses_known_runs():
+    from ethoframe.operators import search
+
+    ran = []
+
+    def run(setting):
+        ran.append(setting)
+        return -abs(setting["a"] - 2) - abs(setting["b"] - 5)
+
+    best, runs = search.staged([("a", (1, 2, 3)), ("b", (4, 5))], {"a": 1, "b": 4}, run, {(("a", 3), ("b", 4)): -2})
+    assert best == {"a": 2, "b": 5} and len(runs) == 5 and len(ran) == 3
+    assert search.merged({"x": {"a": 1, "b": 2}}, {"x": {"b": 3}}) == {"x": {"a": 1, "b": 3}}
+
+
+def test_unknown_estimator_and_absent_arm(spark):
+    from ethoframe.operators import search
+
+    df = frames(spark, [(1, 0.5), (1, 0.7)], "T int, y double")
+    assert search.estimate(df, "ead", "y", "T", 0, 1).count() == 0
+    with pytest.raises(ValueError):
+        search.estimate(df, "guess", "y", "T", 0, 1)
+
+
+def test_learned_effects_find_a_known_one(spark):
+    from ethoframe.operators import meta
+
+    rng = np.random.default_rng(0)
+    x = rng.uniform(0, 1, 600)
+    t = (rng.uniform(0, 1, 600) < 0.3 + 0.4 * x).astype(int)
+    y = 2 * x + 1.5 * t + rng.normal(0, 0.1, 600)
+    df = frames(spark, list(zip(map(str, t.tolist()), x.tolist(), y.tolist())), "T string, W_x double, y double")
+    for make in (meta.t_learner, meta.dr_learner, meta.aipw_forest):
+        assert abs(one(make(df, "y", "T", "0", "1", ("W_x",))).ate - 1.5) < 0.25, make.__name__
+
+
+def test_weighted_probe_separates(spark):
+    from ethoframe.operators import meta
+
+    rows = [([float(i % 2), float(i % 3)], i % 2, 1.0) for i in range(60)]
+    df = frames(spark, rows, "x array<double>, y int, w double")
+    scored = meta.probe_scores(meta.linear_probe(df, "x", "y", "w"), df, "x").collect()
+    assert all((r.yhat > 0.5) == (r.y == 1) for r in scored)
