@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
+from .words import mix
 
 #: Vectors a bucket should hold.
 BUCKET = 800
@@ -55,7 +55,7 @@ class Hashes:
     def __init__(self, dims: int, n: int, radius: float, tables: int, success: float, width: float = 1.0):
         # unit vectors' projections spread like 1 / sqrt(dims); scaled back to 1
         per_side = 3.3 / width
-        self.k = max(1, min(6, round(math.log(max(n, 2) / BUCKET) / math.log(per_side)))) if n > BUCKET else 1
+        self.k = max(1, round(math.log(n / BUCKET) / math.log(per_side))) if n > BUCKET else 1
         rng = np.random.default_rng(_SEED)
         self.a = rng.normal(size=(tables, self.k, dims))
         self.b = rng.uniform(0, width, (tables, self.k))
@@ -66,11 +66,12 @@ class Hashes:
     def places(self, unit: np.ndarray, table: int) -> np.ndarray:
         return (unit @ self.a[table].T + self.b[table]) / self.width
 
-    def codes(self, cells: np.ndarray) -> np.ndarray:
-        code = np.zeros(cells.shape[:-1], np.int64)
+    def codes(self, cells: np.ndarray, table: int) -> np.ndarray:
+        """A hash of the table and all its cells."""
+        code = np.full(cells.shape[:-1], table + 1, np.uint64)
         for i in range(self.k):
-            code = code * 4096 + (cells[..., i] + 2048)
-        return code
+            code = mix(code * np.uint64(0x9E3779B97F4A7C15) + cells[..., i].astype(np.int64).view(np.uint64))
+        return code.view(np.int64)
 
     def probes(self, unit: np.ndarray, table: int, reach: int = 4) -> np.ndarray:
         """Cells to visit for one query, likeliest first. A neighbour v's projection
@@ -84,11 +85,20 @@ class Hashes:
         low = (cells * self.width - self.b[table][:, None] - middle[:, None]) / spread
         high = low + self.width / spread
         chance = 0.5 * (_erf(high / math.sqrt(2)) - _erf(low / math.sqrt(2)))
-        picks = np.array(list(product(range(len(steps)), repeat=self.k)))
-        total = np.prod([chance[i][picks[:, i]] for i in range(self.k)], axis=0)
-        order = np.argsort(-total, kind="stable")
-        upto = int(np.searchsorted(np.cumsum(total[order]), self.each)) + 1
-        chosen = picks[order[:upto]]
+        most = 64
+        while True:
+            # the likeliest choices of all directions begin with the likeliest of the
+            # first ones, so keeping that many at each step loses none of them
+            total, picks = np.ones(1), np.zeros((1, 0), np.int64)
+            for i in range(self.k):
+                each = (total[:, None] * chance[i]).ravel()
+                order = np.argsort(-each, kind="stable")[:most]
+                total, picks = each[order], np.concatenate([picks[order // len(steps)], (order % len(steps))[:, None]], 1)
+            reached = np.cumsum(total)
+            if reached[-1] >= self.each or len(total) < most:
+                break
+            most *= 4
+        chosen = picks[: int(np.searchsorted(reached, self.each)) + 1]
         return np.stack([cells[i][chosen[:, i]] for i in range(self.k)], 1)
 
 
@@ -113,10 +123,10 @@ def _scatter(hashes: Hashes, every: int):
                 unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
                 asks = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
                 for t in range(hashes.tables):
-                    own = hashes.codes(np.floor(hashes.places(unit, t)).astype(np.int64)) * hashes.tables + t
+                    own = hashes.codes(np.floor(hashes.places(unit, t)), t)
                     yield _probe_rows(own, 1, nodes, vectors)
                     for i in asks:
-                        codes = hashes.codes(hashes.probes(unit[i], t).astype(np.int64)) * hashes.tables + t
+                        codes = hashes.codes(hashes.probes(unit[i], t), t)
                         yield _probe_rows(codes, 0, np.full(len(codes), nodes[i]), np.repeat(vectors[i : i + 1], len(codes), 0))
 
     return run

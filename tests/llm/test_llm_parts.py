@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ethoframe.llm import components, jaccard, lines, packing, pii, ppm, quality, words
+from ethoframe.llm import components, jaccard, lines, neighbours, packing, pii, ppm, quality, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -146,3 +146,21 @@ def test_rules_compile_to_one_projection(spark):
     df = quality.quality(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("n", [500, 50_000, 3_000_000, 10**9])
+def test_probes_come_likeliest_first(n):
+    hashes = neighbours.Hashes(64, n, 1.1, 4, 0.97)
+    q = np.random.default_rng(2).normal(size=64)
+    q /= np.linalg.norm(q)
+    cells = hashes.probes(q, 1)
+    assert len({tuple(c) for c in cells}) == len(cells) and cells.shape[1] == hashes.k
+    codes = hashes.codes(cells, 1)
+    assert len(set(codes.tolist())) == len(cells) and not set(codes) & set(hashes.codes(cells, 2))
+    if hashes.k <= 3:
+        # against all cells within reach
+        cosine = 1 - hashes.sigma**2 / 2
+        spread, middle = np.sqrt(1 - cosine**2), (q @ hashes.a[1].T) * cosine
+        low = (cells * hashes.width - hashes.b[1] - middle) / spread
+        p = np.prod(0.5 * (neighbours._erf((low + hashes.width / spread) / np.sqrt(2)) - neighbours._erf(low / np.sqrt(2))), axis=1)
+        assert (np.diff(p) <= 1e-12).all() and p.sum() >= hashes.each
