@@ -21,11 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.gettempdir() + "/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:

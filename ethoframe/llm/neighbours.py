@@ -35,6 +35,8 @@ from .words import mix
 
 #: Vectors a bucket should hold.
 BUCKET = 800
+#: Vectors above which a bucket is dealt out in parts.
+SPLIT = 4096
 _SEED = 5
 
 
@@ -44,11 +46,6 @@ def _stack(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def cosines(query: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """In double precision, each product summed in the vectors' own order."""
-    return (others * query).sum(1) / (np.sqrt((query * query).sum()) * np.sqrt((others * others).sum(1)))
-
-
 class Hashes:
     """The directions of all tables, and the plan of buckets to visit."""
 
@@ -109,7 +106,7 @@ def _erf(x: np.ndarray) -> np.ndarray:
 _PROBES = pa.schema([("bucket", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("vector", pa.list_(pa.float64()))])
 
 
-def _scatter(hashes: Hashes, every: int):
+def _scatter(hashes: Hashes):
     """Each class of equal vectors goes to its bucket in every table (side 1); one
     that holds a query also to the buckets it visits (side 0)."""
 
@@ -137,6 +134,20 @@ def _probe_rows(codes: np.ndarray, side: int, nodes: np.ndarray, vectors: np.nda
     return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.full(len(codes), side, np.int32)), pa.array(nodes), lists], schema=_PROBES)
 
 
+def _codes(hashes: Hashes):
+    """The bucket of each class in every table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                unit = _stack(batch.column(0))
+                unit /= np.sqrt((unit * unit).sum(1))[:, None]
+                for t in range(hashes.tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.codes(np.floor(hashes.places(unit, t)), t))], names=["bucket"])
+
+    return run
+
+
 _FOUND = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
 
 
@@ -145,16 +156,16 @@ def _meet(k: int):
     a block of vectors (one may be the query's own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, asks, vectors = None, [], []
+        bucket, part_of, asks, vectors = None, None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
             buckets, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            nodes, rows = batch.column(2).to_numpy(), _stack(batch.column(3))
-            cut = np.flatnonzero(np.concatenate([[True], (buckets[1:] != buckets[:-1]) | (sides[1:] != sides[:-1])]))
+            nodes, rows, parts = batch.column(2).to_numpy(), _stack(batch.column(3)), batch.column(4).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (buckets[1:] != buckets[:-1]) | (parts[1:] != parts[:-1]) | (sides[1:] != sides[:-1])]))
             for x, y in zip(cut, [*cut[1:], len(buckets)]):
-                if buckets[x] != bucket:
-                    bucket, asks, vectors = buckets[x], [], []
+                if (buckets[x], parts[x]) != (bucket, part_of):
+                    bucket, part_of, asks, vectors = buckets[x], parts[x], [], []
                 if sides[x] == 0:
                     asks.append(nodes[x:y])
                     vectors.append(rows[x:y])
@@ -213,8 +224,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 4, su
     probe = classes.orderBy(F.xxhash64("node")).limit(sample).select("v").toArrow().column("v")
     radius = _radius(_stack(probe.combine_chunks()) if n else np.zeros((0, dims)), k)
     hashes = Hashes(dims, n, radius, tables, success)
-    met = classes.select("node", "v", "asks").mapInArrow(_scatter(hashes, every), "bucket long, side int, node long, vector array<double>")
-    met = met.repartition("bucket").sortWithinPartitions("bucket", "side", "node")
+    met = classes.select("node", "v", "asks").mapInArrow(_scatter(hashes), "bucket long, side int, node long, vector array<double>")
+    # a bucket with very many vectors is dealt out in parts, which all its queries visit
+    counts = classes.select("v").mapInArrow(_codes(hashes), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") > SPLIT).select("bucket", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    met = met.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.withColumn("part", F.explode(F.when(F.col("side") == 1, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    met = met.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side", "node").select("bucket", "side", "node", "vector", "part")
     found = met.mapInArrow(_meet(k), "query long, node long, score double")
     # a class is met in several tables; each query keeps its best classes
     best = found.groupBy("query", "node").agg(F.max("score").alias("close"))
