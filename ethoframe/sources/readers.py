@@ -82,7 +82,7 @@ def vectors(spark: SparkSession, *paths: str) -> DataFrame:
     raise FileNotFoundError(f"none of {paths}")
 
 
-def ants(df: DataFrame) -> DataFrame:
+def lettered(df: DataFrame) -> DataFrame:
     """Settings of the letter-and-number ids: batch from the letter, position from
     the number."""
     df = df.withColumnsRenamed({"Experiment": "obs", "Valid": "valid", "FPS": "fps", "Video": "video"})
@@ -94,13 +94,13 @@ def ants(df: DataFrame) -> DataFrame:
     )
 
 
-def mice(df: DataFrame) -> DataFrame:
+def named(df: DataFrame) -> DataFrame:
     df = df.withColumnsRenamed({"observation": "obs", "annotation": "annotation_file"})
     return df.withColumn("valid", is_valid(df) if "valid" in df.columns else F.lit(True))
 
 
 #: Loaders by domain; ``register`` adds to them.
-DOMAINS: dict[str, Callable[[DataFrame], DataFrame]] = {"ants": ants, "mice": mice}
+DOMAINS: dict[str, Callable[[DataFrame], DataFrame]] = {"lettered": lettered, "named": named}
 
 
 def register(name: str, load: Callable[[DataFrame], DataFrame]) -> None:

@@ -56,7 +56,7 @@ def test_metadata(spark, tmp_path):
 
 def test_domains(spark, tmp_path):
     (tmp_path / "e.csv").write_text("Experiment,Valid,FPS,Video\nb3,1,30,v.mp4\n")
-    r = readers.settings(spark, "ants", str(tmp_path / "e.csv")).first()
+    r = readers.settings(spark, "lettered", str(tmp_path / "e.csv")).first()
     assert (r.batch, r.position, r.annotation_file, r.valid) == (1, 2, "b3.csv", True)
     with pytest.raises(KeyError):
         readers.settings(spark, "birds", "x")
