@@ -28,14 +28,15 @@ def derm_weights(df: DataFrame, y: str, env: str, name: str = "weight") -> DataF
     """Var(y | env) over the share of (round(y), env), with mean 1; environments of
     one row have variance 0."""
     cls = F.rint(F.col(y))
-    by_env = df.groupBy(env).agg(F.coalesce(F.var_samp(y), F.lit(0.0)).alias("_var"))
-    by_cell = df.groupBy(env, cls.alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = by_cell.join(by_env, env)
-    total = whole.agg(F.sum("_n").alias("_all"))
-    raw = F.col("_var") / F.greatest(F.col("_n") / F.col("_all"), F.lit(1e-6))
-    cells = whole.crossJoin(F.broadcast(total)).withColumn("_raw", raw)  # one row
-    mean = cells.agg((F.sum(F.col("_raw") * F.col("_n")) / F.sum("_n")).alias("_mean"))
-    cells = cells.crossJoin(F.broadcast(mean)).select(env, "_cls", (F.col("_raw") / F.nullif("_mean", F.lit(0.0))).alias(name))  # one row
+    # all moments come from one row for each environment and class
+    cells = df.groupBy(env, cls.alias("_cls")).agg(F.count(F.lit(1)).alias("_n"), F.count(y).alias("_k"), F.avg(y).alias("_m"), F.var_pop(y).alias("_v"))
+    own, whole = Window.partitionBy(env), Window.partitionBy()
+    cells = cells.withColumns({"_all": F.sum("_k").over(own), "_mean": F.sum(F.col("_k") * F.col("_m")).over(own) / F.sum("_k").over(own)})
+    squares = F.sum(F.col("_k") * (F.col("_v") + (F.col("_m") - F.col("_mean")) * (F.col("_m") - F.col("_mean")))).over(own)
+    var = F.coalesce(squares / F.nullif(F.col("_all") - 1, F.lit(0)), F.lit(0.0))
+    cells = cells.withColumns({"_raw": var / F.greatest(F.col("_n") / F.sum("_n").over(whole), F.lit(1e-6))})
+    mean = F.sum(F.col("_raw") * F.col("_n")).over(whole) / F.sum("_n").over(whole)
+    cells = cells.select(env, "_cls", (F.col("_raw") / F.nullif(mean, F.lit(0.0))).alias(name))
     return df.withColumn("_cls", cls).join(cells, [env, "_cls"]).drop("_cls")
 
 
