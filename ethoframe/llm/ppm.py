@@ -7,6 +7,10 @@ symbol is that of all contexts of its order with about as many symbols, distinct
 in all, found by leaving out each symbol once. Symbols that a longer context knows
 are excluded in the shorter ones, so that each context gives a proper distribution
 over all 256 bytes.
+
+A model can be of some contexts alone: all that end with the same few bytes lead,
+shortened, to one another and then to the orders below, which are given as another
+model; what is pooled over an order is given too. Such parts answer as the whole.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+#: Buckets of contexts, enough for 2 ** 62 symbols.
+BUCKETS = (4 + 3 * 60 + 1) * 32
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """For each byte of each text, then for its end: the ``order`` bytes before and
     the byte itself, as one number. Before a text stand end marks."""
@@ -54,28 +62,42 @@ def _bucket(total: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return steps(total) * 32 + np.minimum(steps(kind), 31)
 
 
-def new_symbol(total: np.ndarray, kind: np.ndarray, once: np.ndarray) -> np.ndarray:
-    """The chance of a new symbol in contexts with ``total`` symbols, ``kind`` of
-    them distinct and ``once`` seen once."""
-    if not len(total):
-        return np.zeros(0)
+def left_out(total: np.ndarray, kind: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Of contexts with ``total`` symbols, ``kind`` of them distinct and ``once`` seen
+    once: how many symbols, left out, were new to and known in the rest, by bucket."""
     # without one of its symbols a context has one less, and, if that was seen once,
     # one kind less: then the symbol was new to what is left
     more = total > 1
     fresh, known = _bucket(total - 1, np.maximum(kind - 1, 0))[more], _bucket(total - 1, kind)[more]
+    return np.stack([np.bincount(fresh, once[more], BUCKETS), np.bincount(known, (total - once)[more], BUCKETS)])
+
+
+def new_symbol(total: np.ndarray, kind: np.ndarray, pooled: np.ndarray) -> np.ndarray:
+    """The chance of a new symbol, from what ``left_out`` found in all contexts."""
+    if not len(total):
+        return np.zeros(0)
     own = _bucket(total, kind)
-    size = int(max(fresh.max(initial=0), known.max(initial=0), own.max(initial=0))) + 1
-    new = np.bincount(fresh, once[more], size)
-    old = np.bincount(known, (total - once)[more], size)
+    new, old = pooled
     # a little of the plain estimate stands in for buckets that are seldom met
     plain = kind / (2 * total)
     return np.where(kind >= 256, 0.0, (new[own] + plain) / (new[own] + old[own] + 1))
 
 
+def nodes_of(keys: np.ndarray, counts: np.ndarray, j: int) -> tuple[np.ndarray, ...]:
+    """Order ``j`` of these grams: nodes, their counts, contexts, each node's context,
+    and of each context the symbols, the distinct ones and those seen once."""
+    node, back = np.unique(keys & np.uint64((1 << (8 * (j + 1))) - 1), return_inverse=True)
+    n = np.bincount(back, counts, len(node))
+    ctx, own = np.unique(node >> np.uint64(8), return_inverse=True)
+    return node, n, ctx, own, *(np.bincount(own, x, len(ctx)) for x in (n, np.ones(len(n)), n == 1))
+
+
 class Model:
-    """A pretrained model from sorted distinct grams and their counts."""
+    """A pretrained model from sorted distinct grams and their counts; or the part of
+    one for these grams' contexts, with ``low``, the model of the orders that all
+    share, and ``pooled``, what ``left_out`` found in each further order."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: Model | None = None, pooled: list[np.ndarray] | None = None):
         self.order = order
         self.nodes: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -85,13 +107,13 @@ class Model:
         self.next_escape: list[np.ndarray] = []  # log10, one order below, after it
         self.next_scale: list[np.ndarray] = []
         before = None
-        for j in range(order + 1):
-            mask = np.uint64((1 << (8 * (j + 1))) - 1)
-            node, back = np.unique(keys & mask, return_inverse=True)
-            n = np.bincount(back, counts, len(node))
-            ctx, own = np.unique(node >> np.uint64(8), return_inverse=True)
-            total, kind, once = (np.bincount(own, x, len(ctx)) for x in (n, np.ones(len(n)), n == 1))
-            new = new_symbol(total, kind, once)
+        if low:
+            for name in ("nodes", "counts", "contexts", "first_escape", "first_scale", "next_escape", "next_scale"):
+                setattr(self, name, list(getattr(low, name)))
+            before = low.last
+        for j in range(len(self.nodes), order + 1):
+            node, n, ctx, own, total, kind, once = nodes_of(keys, counts, j)
+            new = new_symbol(total, kind, pooled[j] if pooled else left_out(total, kind, once))
             self.nodes.append(node)
             self.counts.append(n.astype(np.float32) if n.max(initial=0) < 1 << 24 else n)
             self.contexts.append(ctx)
@@ -111,8 +133,9 @@ class Model:
                 self.next_scale.append(1 / np.maximum(256 - kind, 1))
                 self.next_escape.append(np.zeros(len(ctx)))
             before = node, n, ctx, new, total
+        self.last = before
         top = _find(self.contexts[order], self.nodes[order] >> np.uint64(8))
-        self.seen = np.log10(self.counts[order] * self.first_scale[order][top]) if len(top) else np.zeros(0)
+        self.seen = np.log10(self.counts[order] * self.first_scale[order][top]) if len(top) else np.zeros(1)
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of each gram's last byte's chance after the bytes before it."""
@@ -125,6 +148,8 @@ class Model:
         entered = np.full(len(todo), -1)  # the context just escaped from, one order up
         open_ = np.ones(len(todo), bool)
         for j in range(self.order, -1, -1):
+            if not len(self.contexts[j]):  # a part that learned nothing of this order
+                continue
             key = g & np.uint64((1 << (8 * (j + 1))) - 1)
             ctx, node = _find(self.contexts[j], key >> np.uint64(8)), _find(self.nodes[j], key)
             has = open_ & (ctx >= 0)

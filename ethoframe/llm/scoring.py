@@ -2,11 +2,14 @@
 word-count scores beside them.
 
 One pass hashes the words of every text and counts the byte grams of the training
-texts. Both go, packed, to the shard that owns their hash: a shard adds up counts
+texts. Words go, packed, to the shard that owns their hash: a shard adds up counts
 over the whole corpus, turns them into each document's share of the word score, and
-hands back one row for each batch. A second pass scores the texts with the model.
-The model alone is broadcast: its size is bounded by ``most_grams``, beyond which
-the rarest grams are left out (all are counted before that is decided).
+hands back one row for each batch. Each batch's distinct grams go to the shard of
+the ``DEPTH`` bytes before their last, which so holds whole contexts of that length
+and longer. All shards together find how likely new symbols are; then each answers
+the grams it was sent, and a batch's texts meet the answers. Every gram is kept.
+Broadcast are only the orders below ``DEPTH``: grams of at most three bytes, whose
+number is bounded by the alphabet.
 
 Defined results: a null text is empty, its one token is the end; repeated rows
 count and score as often as they come; a null id is taken as the empty string when
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import shards_for, stage
 from .packed import batch_of, by_shard, pack, slices, unpack
-from .ppm import Model, grams
+from .ppm import BUCKETS, Model, grams, left_out, nodes_of
 
 SHARD_BYTES = 8 << 20
-#: Counts up to this one are told apart when rare grams have to be left out.
-TOP_COUNT = 256
+#: Bytes of context by which grams are dealt out.
+DEPTH = 3
+#: Groups in which the shards' sums are added up.
+SUM_GROUPS = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 #: Stands for the end of a text among word hashes.
@@ -41,7 +46,10 @@ _END_HASH = np.uint64(0x5851F42D4C957F2D)
 _ROWS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _PARTS = pa.schema(list(_ROWS)[1:])
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, word_sum double, score double"
-TOKENS, DOCS, TOTALS, GRAMS, MODEL = 1, 2, 3, 4, 5
+TOKENS, DOCS, TOTALS, GRAMS, SUMS, MODEL = 1, 2, 3, 4, 5, 6
+#: Sums are of short grams, or, with this bit, of left out symbols.
+_POOLED = np.uint64(1 << 63)
+_ORDER = "the two passes read their rows in different orders: stage the input first"
 
 
 def held_out(ids: list, folds: int, fold: int) -> np.ndarray:
@@ -60,6 +68,14 @@ def _ids(batch: pa.RecordBatch) -> tuple[bytes, bytes]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.packbits(column.is_valid().to_numpy(zero_copy_only=False)).tobytes()
 
 
+def _deal(keys: np.ndarray, order: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and the places of its grams in sorted ``keys``, ascending."""
+    ends = keys >> np.uint64(8) & np.uint64((1 << 8 * min(DEPTH, order)) - 1)
+    at, bounds = by_shard(W.mix(ends), shards)
+    for s in np.flatnonzero(np.diff(bounds)):
+        yield int(s), np.sort(at[bounds[s] : bounds[s + 1]])
+
+
 def _gather(shards: int, order: int, folds: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -71,10 +87,13 @@ def _gather(shards: int, order: int, folds: int, fold: int):
                 docs += [texts.word_rows() + texts.row, np.arange(texts.n_rows) + texts.row]
                 learn = ~held[texts.row : texts.row + texts.n_rows]
                 data, offsets = W.joined(texts, np.ones(len(texts.starts), bool))
-                g = grams(data, offsets, order)[np.repeat(learn, np.diff(offsets) + 1)]
-                k, n = np.unique(g, return_counts=True)
+                g, learn = grams(data, offsets, order), np.repeat(learn, np.diff(offsets) + 1)
+                k, n = np.unique(g[learn], return_counts=True)
                 keys.append(k)
                 counts.append(n)
+                # the others are asked for only
+                keys.append(np.unique(g[~learn]))
+                counts.append(np.zeros(len(keys[-1]), np.int64))
             h, d = np.concatenate(hashes), np.concatenate(docs).astype(np.int32)
             at = np.argsort(d, kind="stable")
             h, d = h[at], d[at]
@@ -94,10 +113,8 @@ def _gather(shards: int, order: int, folds: int, fold: int):
                 put(int(s), TOKENS, number, low[x:y].tobytes() + high[x:y].tobytes(), pack(d[x:y]), np.packbits(held[d[x:y]]).tobytes())
             k, back = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(back, np.concatenate(counts), len(k)).astype(np.uint32)
-            at, bounds = by_shard(W.mix(k), shards)
-            for s in np.flatnonzero(np.diff(bounds)):
-                own = np.sort(at[bounds[s] : bounds[s + 1]])
-                put(int(s), GRAMS, number, k[own].tobytes(), n[own].tobytes(), b"")
+            for s, own in _deal(k, order, shards):
+                put(s, GRAMS, number, k[own].tobytes(), n[own].tobytes(), b"")
             yield batch_of(_ROWS, rows)
             number += 1
 
@@ -110,9 +127,33 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, unpack(row["b"]), np.unpackbits(np.frombuffer(row["c"], np.uint8), count=n).astype(bool)
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """One shard: counts over the corpus, and each document's part of the word
-    score: known tokens and the sum of log10(count + 1)."""
+def _sums(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a shard's grams add to all others: counts of the short grams, and, for each
+    order that the shard holds whole contexts of, the left out symbols by bucket."""
+    depth = min(DEPTH, order)
+    node, count, *_ = nodes_of(keys, n, depth - 1)
+    names, values = [node], [count]
+    for j in range(depth, order + 1):
+        _, _, _, _, total, kind, once = nodes_of(keys, n, j)
+        for side, found in enumerate(left_out(total, kind, once)):
+            at = np.flatnonzero(found)
+            names.append(_POOLED | np.uint64(2 * j + side << 32) | at.astype(np.uint64))
+            values.append(found[at])
+    return np.concatenate(names), np.concatenate(values).astype(np.int64)
+
+
+def _add_up(order: int):
+    """One shard: counts over the corpus; each document's part of the word score:
+    known tokens and the sum of log10(count + 1); and the shard's grams, with the
+    places among them of those that each batch asks for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _added(table, order)
+
+    return run
+
+
+def _added(table: pa.Table, order: int) -> pa.Table:
     rows: dict[str, list] = {f.name: [] for f in _PARTS}
 
     def put(*row):
@@ -134,63 +175,105 @@ def _add_up(table: pa.Table) -> pa.Table:
             sums = np.add.reduceat(logs[own], new)
             known = np.add.reduceat((counts[own] > 0).astype(np.uint32), new)
             put(TOKENS, number, pack(d[new]), sums.tobytes(), np.add(known, 0, dtype=np.uint32).tobytes() + np.diff(np.append(new, len(d))).astype(np.uint32).tobytes())
-    found = [(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32)) for r in given if r["kind"] == GRAMS]
+    found = [(r["batch"], np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32)) for r in given if r["kind"] == GRAMS]
     if found:
-        keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
-        tops = np.bincount(np.minimum(n, TOP_COUNT), minlength=TOP_COUNT + 1)
-        put(GRAMS, -1, keys.tobytes(), n.tobytes(), tops.astype(np.int64).tobytes())
+        keys, back = np.unique(np.concatenate([k for _, k, _ in found]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, _, n in found]), len(keys)).astype(np.int64)
+        sizes = [len(k) for _, k, _ in found]
+        asked = np.array([[b for b, _, _ in found], sizes], np.int64)
+        places = b"".join(pack(x) for x in np.split(back, np.cumsum(sizes)[:-1]))
+        put(GRAMS, table["shard"][0].as_py(), keys.tobytes(), n.tobytes(), np.int64(len(found)).tobytes() + asked.tobytes() + places)
+        names, values = _sums(keys[n > 0], n[n > 0], order)
+        groups = W.mix(names) % np.uint64(SUM_GROUPS)
+        for g in np.unique(groups):
+            put(SUMS, int(g), names[groups == g].tobytes(), values[groups == g].tobytes(), b"")
     for r in given:
         if r["kind"] == DOCS:
             put(DOCS, r["batch"], r["a"], r["b"], r["c"])
     return pa.Table.from_batches([batch_of(_PARTS, rows)])
 
 
-def _kept_grams(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                keys, n = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int64)
-                keep = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array([keys[keep].tobytes()], pa.binary()), pa.array([n[keep].tobytes()], pa.binary())], names=["a", "b"])
+def _sum_up(table: pa.Table) -> pa.Table:
+    names, back = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["a"]]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["b"]]), len(names)).astype(np.int64)
+    return pa.table({"a": pa.array([names.tobytes()], pa.binary()), "b": pa.array([n.tobytes()], pa.binary())})
 
-    return run
 
-
-def _learned(parts: DataFrame, most_grams: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted grams and counts, at most ``most_grams``."""
-    tops = np.zeros(TOP_COUNT + 1, np.int64)
-    for row in parts.where(F.col("kind") == GRAMS).select("c").toLocalIterator():
-        tops += np.frombuffer(row["c"], np.int64)
-    held = np.cumsum(tops[::-1])[::-1]
-    least = next((k for k in range(1, TOP_COUNT + 1) if held[k] <= most_grams), None)
-    if least is None:
-        raise ValueError(f"over {most_grams} grams come {TOP_COUNT} times or more: give a lower order or a larger most_grams")
-    rows = parts.where(F.col("kind") == GRAMS).select("a", "b").mapInArrow(_kept_grams(least), "a binary, b binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], np.uint64) for r in rows)])
+def _shared(parts: DataFrame, order: int) -> tuple[Model, list[np.ndarray]]:
+    """The model of the orders below the shards', and what is pooled over the others."""
+    rows = parts.where(F.col("kind") == SUMS).select("batch", "a", "b").groupBy("batch").applyInArrow(_sum_up, "a binary, b binary").collect()
+    names = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], np.uint64) for r in rows)])
     n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["b"], np.int64) for r in rows)])
-    order = np.argsort(keys)
-    return keys[order], np.minimum(n[order], (1 << 32) - 1).astype(np.uint32)
+    short = names < _POOLED
+    at = np.argsort(names[short])
+    low = Model(names[short][at], n[short][at], min(DEPTH, order) - 1)
+    pooled = np.zeros((order + 1, 2, BUCKETS))
+    which = (names[~short] & ~_POOLED).astype(np.int64)
+    pooled[which >> 33, which >> 32 & 1, which & 0xFFFFFFFF] = n[~short]
+    return low, list(pooled)
+
 
+def _answer(shared, order: int):
+    """Each shard's grams: log10 of their chances, for the batches that ask."""
 
-def _score(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, 1):
-            model, scores = shared.value, []
-            for texts in _texts(batch):
-                data, offsets = W.joined(texts, np.ones(len(texts.starts), bool))
-                scores.append(model.scores(data, offsets))
-            yield batch_of(_PARTS, {"kind": [MODEL], "batch": [number], "a": [np.concatenate(scores).tobytes()], "b": [_ids(batch)[0]], "c": [b""]})
-            number += 1
+        low, pooled = shared.value
+        for batch in batches:
+            for shard, a, b, c in zip(*(batch.column(k) for k in range(4))):
+                keys, n, blob = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int64), c.as_py()
+                p = Model(keys[n > 0], n[n > 0], order, low, pooled).log10(keys)
+                asking = int(np.frombuffer(blob, np.int64, 1)[0])
+                numbers, sizes = np.frombuffer(blob, np.int64, 2 * asking, 8).reshape(2, -1)
+                at = 8 + 16 * asking
+                for number, size in zip(numbers, sizes):
+                    places = unpack(blob[at : at + 4 * size])
+                    at += 4 * int(size)
+                    rows = {"kind": [MODEL], "batch": [int(number)], "a": [p[places].tobytes()], "b": [np.int64(shard.as_py()).tobytes()], "c": [b""]}
+                    yield batch_of(_PARTS, rows)
+
+    return run
+
+
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their batch, and their place in it."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in slices(batches, 1):
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n)), batch.column(0), batch.column(1)], names=["batch", "at", "doc_id", "text"])
+        number += 1
+
+
+def _model_scores(texts: pa.Table, answers: list[dict], order: int, shards: int) -> np.ndarray:
+    """log10 chance of each text with its end, from the shards' answers."""
+    found, sums = [], []
+    for part in _texts(texts):
+        data, offsets = W.joined(part, np.ones(len(part.starts), bool))
+        found.append((*np.unique(grams(data, offsets, order), return_inverse=True), offsets))
+    keys = np.unique(np.concatenate([k for k, _, _ in found]))
+    of = {int(np.frombuffer(r["b"], np.int64)[0]): np.frombuffer(r["a"], np.float64) for r in answers}
+    p = np.empty(len(keys))
+    for s, own in _deal(keys, order, shards):
+        if len(of[s]) != len(own):
+            raise RuntimeError(_ORDER)
+        p[own] = of[s]
+    for k, back, offsets in found:
+        sums.append(np.add.reduceat(p[np.searchsorted(keys, k)][back], offsets[:-1] + np.arange(len(offsets) - 1)))
+    return np.concatenate(sums)
+
+
+def _assemble(order: int, shards: int):
+    def run(texts: pa.Table, parts: pa.Table) -> pa.Table:
+        return _assembled(texts.sort_by("at").select(["doc_id", "text"]), parts, order, shards)
 
     return run
 
 
-def _assemble(table: pa.Table) -> pa.Table:
+def _assembled(texts: pa.Table, parts: pa.Table, order: int, shards: int) -> pa.Table:
     """One batch: its documents' rows."""
-    given = table.to_pylist()
-    docs = next(r for r in given if r["kind"] == DOCS)
+    given = parts.to_pylist()
+    docs = next((r for r in given if r["kind"] == DOCS), None)
+    if docs is None or _ids(texts.combine_chunks().to_batches()[0])[0] != docs["a"]:
+        raise RuntimeError(_ORDER)
     ids = np.frombuffer(docs["a"], np.int64)
     n = len(ids)
     sums, known, tokens = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -201,17 +284,15 @@ def _assemble(table: pa.Table) -> pa.Table:
         both = np.frombuffer(r["c"], np.uint32).reshape(2, -1)
         known[at] += both[0]
         tokens[at] += both[1]
-    model = next(r for r in given if r["kind"] == MODEL)
-    if model["b"] != docs["a"]:
-        raise RuntimeError("the two passes read their rows in different orders: stage the input first")
+    scores = _model_scores(texts, [r for r in given if r["kind"] == MODEL], order, shards)
     valid = np.unpackbits(np.frombuffer(docs["c"], np.uint8), count=n).astype(bool)
     held = np.unpackbits(np.frombuffer(docs["b"], np.uint8), count=n).astype(bool)
     return pa.table(
-        {"doc_id": pa.array(ids, mask=~valid), "held_out": held, "n_tokens": tokens, "n_known": known, "word_sum": sums, "score": np.frombuffer(model["a"], np.float64)}
+        {"doc_id": pa.array(ids, mask=~valid), "held_out": held, "n_tokens": tokens, "n_known": known, "word_sum": sums, "score": scores}
     )
 
 
-def score(docs: DataFrame, order: int = 5, folds: int = 7, fold: int = 2, most_grams: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, folds: int = 7, fold: int = 2) -> DataFrame:
     """One row for each of ``docs``: doc_id, held_out (not learned from), n_tokens
     and n_known (words and the end), train_tokens, base_score (log10 by word counts
     with one added) and score (log10 by the byte model)."""
@@ -221,17 +302,17 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, fold: int = 2, most_g
     shards = shards_for(slim, "text", SHARD_BYTES)
     rows = slim.mapInArrow(_gather(shards, order, folds, fold), "shard int, kind int, batch long, a binary, b binary, c binary")
     parts = "kind int, batch long, a binary, b binary, c binary"
-    added = stage(rows.groupBy("shard").applyInArrow(_add_up, parts))
+    added = stage(rows.groupBy("shard").applyInArrow(_add_up(order), parts))
     totals = np.zeros(2, np.int64)
     for row in added.where(F.col("kind") == TOTALS).select("a").toLocalIterator():
         totals += np.frombuffer(row["a"], np.int64)
     distinct, tokens = int(totals[0]), int(totals[1])
-    # built here, once: building takes several times the room of the model itself
-    shared = docs.sparkSession.sparkContext.broadcast(Model(*_learned(added, most_grams), order))
-    # staged alone: in a union the partitions, and so the batches, had other numbers
-    scored = stage(slim.mapInArrow(_score(shared, order), parts))
-    both = added.where(F.col("kind").isin(TOKENS, DOCS)).unionByName(scored)
-    found = both.groupBy("batch").applyInArrow(_assemble, _SCORES)
+    shared = docs.sparkSession.sparkContext.broadcast(_shared(added, order))
+    answers = added.where(F.col("kind") == GRAMS).select("batch", "a", "b", "c").mapInArrow(_answer(shared, order), parts)
+    both = added.where(F.col("kind").isin(TOKENS, DOCS)).unionByName(answers)
+    # on a side of its own: in a union the partitions, and so the batches, had other numbers
+    texts = slim.mapInArrow(_texts_of, "batch long, at long, doc_id long, text string")
+    found = texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_assemble(order, shards), _SCORES)
     less = F.log10(F.lit(float(tokens + distinct + 1)))
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),

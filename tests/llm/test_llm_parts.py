@@ -1,6 +1,7 @@
 """Parts of the corpus operators on their own."""
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ethoframe.llm import components, jaccard, lines, neighbours, packing, pii, ppm, quality, words
+from ethoframe.llm import components, jaccard, lines, neighbours, packing, pii, ppm, quality, scoring, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -47,6 +48,23 @@ def test_distributions_are_proper():
     assert abs((10 ** empty.log10(np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-9
 
 
+def test_scores_from_all_grams(spark):
+    """Over six million distinct grams, most of them seen once: as one model of all."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 120_000)).decode().strip() for _ in range(64)]
+    texts = [" ".join(t.split()) for t in texts] + ["of the old kind, as the old ones", "", "the old kind"]
+    held = scoring.held_out(list(range(len(texts))), 7, 2)
+    learned = np.concatenate([ppm.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5) for t, h in zip(texts, held) if not h])
+    keys, n = np.unique(learned, return_counts=True)
+    assert len(keys) > 6_000_000
+    model = ppm.Model(keys, n.astype(float), 5)
+    rows = scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id].encode()
+        assert r.held_out == held[r.doc_id] and math.isclose(r.score, model.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], rel_tol=1e-9)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_patience_aligns(a, b):
