@@ -87,6 +87,15 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * _inverses[: n - width + 1] + np.uint64(width))
 
 
+def spans(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of words[s:e] for each s and e."""
+    n = len(words)
+    _grow(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * _powers[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def inside(first: np.ndarray, n_windows: int, width: int) -> np.ndarray:
     """Which of n_windows windows of this width lie within one row."""
     fits = np.zeros(n_windows + 1, np.int64)

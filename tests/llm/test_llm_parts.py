@@ -65,6 +65,21 @@ def test_scores_from_all_grams(spark):
         assert r.held_out == held[r.doc_id] and math.isclose(r.score, model.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], rel_tol=1e-9)
 
 
+def test_frequent_passages_go(spark):
+    """A passage of short lines, each first held by another document, and one that its
+    first holder, or a later one, has twice."""
+    parts = [f"short line no {k} of a block" for k in range(4)]
+    block, long = "\n".join(parts), "a passage of two lines, the first one\nand the second one, which ends it"
+    docs = [(k, f"{p}\nonly in {k}") for k, p in enumerate(parts)]
+    docs += [(10 + k, f"own {k}\n{block}\nrest {k}") for k in range(20)]
+    docs += [(50, f"{long}\nbetween\n{long}\nlast"), *((51 + k, f"mine {k}\n{long}\nend {k}") for k in range(10)), (70, f"x\n{long}\ny\n{long}\nz")]
+    rows = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[k] for k in (*range(4), 10, 50)] == [dict(docs)[k] for k in (*range(4), 10, 50)]
+    assert [rows[10 + k] for k in range(1, 20)] == [f"own {k}\nrest {k}" for k in range(1, 20)]
+    assert [rows[51 + k] for k in range(10)] == [f"mine {k}\nend {k}" for k in range(10)]
+    assert rows[70] == "x\ny\nz"
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_patience_aligns(a, b):
