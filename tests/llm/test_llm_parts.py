@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ethoframe.llm import components, jaccard, lines, neighbours, packing, pii, ppm, quality, scoring, words
+from ethoframe.llm import components, jaccard, lines, neighbours, packing, pii, ppm, quality, scoring, toxicity, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -65,6 +65,15 @@ def test_scores_from_all_grams(spark):
         assert r.held_out == held[r.doc_id] and math.isclose(r.score, model.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], rel_tol=1e-9)
 
 
+def test_thresholds_of_rare_languages(spark):
+    """A language with few rows in the sample but enough labels has its own threshold."""
+    rows = [(k, f"text {k % 7} is {'vile' if k % 2 else 'fine'} here", "b" if k % 10 in (3, 6) else "a", k % 2) for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), per_class=100)
+    assert set(net.thresholds) == {"a", "b"}
+    assert all(r.toxic == (r.doc_id % 2 == 1) for r in toxicity.score(docs.drop("toxic"), net).collect())
+
+
 def test_frequent_passages_go(spark):
     """A passage of short lines, each first held by another document, and one that its
     first holder, or a later one, has twice."""
