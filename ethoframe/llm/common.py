@@ -20,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints"
+    """The folder all executors share. Where none is set, a local master gets one of
+    its own; a cluster is refused, since its machines would each see a part only."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return "file://" + tempfile.gettempdir() + "/checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -30,6 +35,7 @@ def stage(df: DataFrame) -> DataFrame:
     This cuts the lineage (a lost executor costs a re-read, not a recomputation)
     and, unlike ``checkpoint()``, computes the rows once. The shuffle files of
     the write are removed when it ends, so disk use is that of the largest step.
+    The table goes when the application ends, or before by ``unstage``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
@@ -41,7 +47,24 @@ def stage(df: DataFrame) -> DataFrame:
     finally:
         with contextlib.suppress(Exception):
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes staged tables that no later plan reads."""
+    for df in tables:
+        at, files = _files(df.sparkSession, df._staged_at)
+        files.delete(at, True)
 
 
 def shards_for(df: DataFrame, column: str, bytes_each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(least, "a")
         small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stage(small.distinct())
+        last, edges = edges, stage(small.distinct())
+        unstage(last)
         after = _state(edges)
         if after == before:
             break
