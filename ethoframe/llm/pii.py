@@ -4,8 +4,10 @@ One pattern finds candidates; each is validated by its kind's own rule (check
 digits, ranges, calendar) and, if valid, put through a keyed Feistel permutation of
 the values of its format. Equal values get equal pseudonyms in all documents, unlike
 values unlike ones, and a pseudonym is again a valid value that reads like the
-original. Candidates that fail validation stay. All of it is one projection of Spark
-functions: no shuffle, no join, no table of values.
+original. A candidate that fails is cut at its spaces and hyphens: from the left, the
+longest run of its groups that is valid in one of the usual groupings is taken. What
+is left stays. All of it is one projection of Spark functions: no shuffle, no join,
+no table of values.
 
 =========  ==========================================  =============================
 kind       valid if                                    permuted
@@ -15,11 +17,14 @@ iban       remainder of 97 is 1                        digits but the check digi
 card       13-19 digits, Luhn                          digits but the check digit
 ssn        area, group and serial in use               all valid (area, group, serial)
 nanp       +1 or national, area and exchange >= 200    all valid numbers
-phone      + and 7-15 digits                           digits after the country code
+phone      +, 00 or 0 and 7-15 digits                  digits after the country code
 ip         four octets                                 all addresses
 date       a day in the 104,976 from 1850-01-01        those days
 =========  ==========================================  =============================
 
+A date with slashes is day first; one that is none is month first, and such dates
+are permuted among themselves. A number after 00 is linked to the same one after +.
+
 Defined results: null text stays null and has none; equal rows get equal results;
 other columns stay, but ``n_found`` and ``kinds`` are replaced.
 
@@ -47,15 +52,25 @@ _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/\-])"
 _SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _NANP = r"(?<![0-9+\-])(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9\-])"
-_CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join((_EMAIL, _IBAN, _PHONE, _IP, _DATE, _SSN, _NANP, _CARD))
-_ANY = r"[0-9]{2}|@"
+_TRUNK = r"(?<![0-9.,/+\-])(?:00[1-9][0-9]{0,2}[ \-]\(?[0-9]{1,4}\)?(?:[ \-]?[0-9]{2,4}){2,4}|\(?0[1-9][0-9]{1,4}(?:\) ?|[ /\-])[0-9]{3,8}(?:[ \-][0-9]{2,4}){0,3})(?![0-9]|[.,/\-][0-9])"
+_CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+"
+PATTERN = "|".join((_EMAIL, _IBAN, _PHONE, _IP, _DATE, _SSN, _NANP, _TRUNK, _CARD))
+_ANY = r"[0-9]{2}|@|[0-9]\.[0-9]"
+#: Usual groupings of card numbers, by which parts of a longer candidate are told.
+_GROUPED = r"^(?:[0-9]{13,19}|[2-9][0-9]{3}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|3[0-9]{3}([ \-])[0-9]{6}\2[0-9]{4,5})$"
+#: Groups of the longest candidate that is written in groups: an IBAN of 34.
+_MOST_GROUPS = 9
 
 
 def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("long")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: lambdas share no subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -183,10 +198,18 @@ def _nanp(key: str, m: Column) -> tuple[Column, Column]:
 
 
 def _phone(key: str, m: Column) -> tuple[Column, Column]:
-    code = F.regexp_extract(m, r"^\+([0-9]{1,3}?)(?=[^0-9]|[0-9]{7})", 1)
-    digits = _digits(m)
+    code = F.regexp_extract(m, r"^(?:\+|00)([0-9]{1,3}?)(?=[^0-9]|[0-9]{7})", 1)
+    digits = F.regexp_replace(_digits(m), "^00", "")
     new = feistel_string(key, "phone", F.substr(digits, F.length(code) + 1, F.lit(20)))
-    return m.startswith("+") & F.length(digits).between(7, 15), _refill(m, F.concat(code, new))
+    zeros = F.when(m.startswith("00"), "00").otherwise("")
+    return F.length(digits).between(7, 15), _refill(m, F.concat(zeros, code, new))
+
+
+def _trunk(key: str, m: Column) -> tuple[Column, Column]:
+    """A national number: the 0 and the digit after it stay."""
+    digits = _digits(m)
+    new = F.concat(F.substr(digits, F.lit(1), F.lit(2)), feistel_string(key, "trunk", F.substr(digits, F.lit(3), F.lit(20))))
+    return F.length(digits).between(8, 14), _refill(m, new)
 
 
 def _ip(key: str, m: Column) -> tuple[Column, Column]:
@@ -199,19 +222,42 @@ def _ip(key: str, m: Column) -> tuple[Column, Column]:
     return valid, new
 
 
-def _date(key: str, m: Column) -> tuple[Column, Column]:
-    """Year first, or day and month first: 31/12/1999 and, where that is no date,
-    12/31/1999."""
-    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")
-    shapes = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$")
-    tried = [F.when(m.rlike(shape), F.try_to_timestamp(m, F.lit(form)).cast("date")) for form, shape in zip(forms, shapes)]
-    day = F.date_diff(F.coalesce(*tried), F.lit(_FIRST_DAY).cast("date"))
+def _days(key: str, day: Column) -> Column:
+    """The number of another day, one for each."""
     s = feistel(key, "date", F.floor(day / _SIDE), day % _SIDE, _SIDE, _SIDE)
-    new = F.date_add(F.lit(_FIRST_DAY).cast("date"), (s["a"] * _SIDE + s["b"]).cast("int"))
-    out = F.lit(None).cast("string")
-    for form, own in reversed(list(zip(forms, tried))):
+    return _let(s, lambda x: x["a"] * _SIDE + x["b"])
+
+
+def _date(key: str, m: Column) -> tuple[Column, Column]:
+    """Year first, or day and month first; what is no date with the day first but one
+    with the month first (12/31/1999) goes on until it is again such a date: all days
+    but those up to the twelfth of a month."""
+    first = F.lit(_FIRST_DAY).cast("date")
+    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")
+    shapes = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$")
+
+    def parsed(form: str, shape: str) -> Column:
+        return F.when(m.rlike(shape), F.try_to_timestamp(m, F.lit(form)).cast("date"))
+
+    tried = [parsed(form, shape) for form, shape in zip(forms, shapes)]
+    plain = F.date_diff(F.coalesce(*tried), first)
+    american = F.date_diff(parsed("MM/dd/yyyy", shapes[1]), first)
+
+    def later(day: Column) -> Column:
+        return F.dayofmonth(F.date_add(first, day.cast("int"))) > 12
+
+    def on(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(_let(_days(key, s["day"]), lambda d: F.struct(d.alias("day"), later(d).alias("done"))))
+
+    start = F.struct(american.cast("long").alias("day"), F.lit(False).alias("done"))
+    # three days of five end it, so 64 steps are never all taken
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, on)["day"]
+    inside = [F.coalesce(d.between(0, _SIDE * _SIDE - 1), F.lit(False)) for d in (plain, american)]
+    out = F.when(inside[1], F.date_format(F.date_add(first, walked.cast("int")), "MM/dd/yyyy"))
+    new = F.date_add(first, _days(key, plain.cast("long")).cast("int"))
+    for form, own in zip(forms, tried):
         out = F.when(own.isNotNull(), F.date_format(new, form)).otherwise(out)
-    return F.coalesce(day.between(0, _SIDE * _SIDE - 1), F.lit(False)), out
+    return F.when(F.coalesce(*tried).isNotNull(), inside[0]).otherwise(inside[1]), out
 
 
 #: Kinds in the order in which a candidate is tried, each with the shape it must have.
@@ -222,23 +268,79 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "date": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$", _date),
     "ssn": (r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _ssn),
     "nanp": (r"^(?:\+1[ .\-]?)?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[\-. ]?[0-9]{4}$", _nanp),
-    "phone": (r"^\+", _phone),
-    "card": (r"^[0-9][0-9 \-]{11,}[0-9]$", _card),
+    "phone": (r"^(?:\+|00[1-9][0-9]{0,2}[ \-])[0-9 .()\-]+$", _phone),
+    "trunk": (r"^\(?0[1-9][0-9]{1,4}(?:\) ?|[ /\-])[0-9 \-]+$", _trunk),
+    "card": (r"^[0-9](?:[ \-]?[0-9]){12,18}$", _card),
 }
+#: Kinds whose candidates may take in what stands before or after them, each with the
+#: shape of their parts.
+_IN_PARTS = {"iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$", "card": _GROUPED}
 
 
-def _one(key: str, m: Column) -> Column:
+def _one(key: str, m: Column, shapes: dict[str, str] | None = None) -> Column:
     """A candidate's struct (kind, text); a null kind where nothing fits."""
     nothing = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
     out = None
     for kind, (shape, make) in KINDS.items():
-        valid, new = make(key, m)
-        hit = m.rlike(shape) & F.coalesce(valid, F.lit(False))
-        value = F.struct(F.lit(kind).alias("kind"), new.alias("text"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
+        if shapes is None or kind in shapes:
+            valid, new = make(key, m)
+            hit = m.rlike(shapes[kind] if shapes else shape) & F.coalesce(valid, F.lit(False))
+            # a national number is a phone number too
+            value = F.struct(F.lit("phone" if kind == "trunk" else kind).alias("kind"), new.alias("text"))
+            out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(nothing)
 
 
+def _in_parts(key: str, m: Column) -> Column:
+    """A candidate that isn't valid as a whole: struct (kinds, text)."""
+    ends = F.regexp_extract_all(m, F.lit("([ \\-])"), F.lit(1))
+    parts = F.zip_with(F.split(m, "[ \\-]"), ends, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
+    none = F.array().cast("array<struct<g:int,h:int,kind:string,text:string>>")
+
+    def longest(parts: Column, g: Column) -> Column:
+        """The longest valid span from group ``g`` on."""
+
+        def span(h: Column) -> Column:
+            whole = F.array_join(F.slice(parts, g + 1, h - g + 1), "")
+            # the separator after it isn't part of it
+            bare = F.regexp_replace(whole, "[ \\-]$", "")
+            return _let(
+                F.struct(_one(key, bare, _IN_PARTS).alias("one"), F.substr(whole, F.length(bare) + 1, F.lit(1)).alias("end")),
+                lambda x: F.struct(g.alias("g"), h.alias("h"), x["one"]["kind"].alias("kind"), F.concat(x["one"]["text"], x["end"]).alias("text")),
+            )
+
+        to = F.least(F.size(parts) - 1, g + _MOST_GROUPS - 1)
+        return F.get(F.filter(F.transform(F.sequence(to, g, F.lit(-1)), span), lambda x: x["kind"].isNotNull()), 0)
+
+    def choose(s: Column, x: Column) -> Column:
+        fits = x.isNotNull() & (x["g"] >= s["at"])
+        return F.when(fits, F.struct((x["h"] + 1).alias("at"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s)
+
+    def shown(taken: Column, p: Column, i: Column) -> Column:
+        over = F.filter(taken, lambda x: (x["g"] <= i) & (x["h"] >= i))
+        return _let(F.get(over, 0), lambda x: F.when(x.isNull(), p).when(x["g"] == i, x["text"]).otherwise(""))
+
+    def with_taken(parts: Column, taken: Column) -> Column:
+        text = F.array_join(F.transform(parts, lambda p, i: shown(taken, p, i)), "")
+        return F.struct(F.transform(taken, lambda x: x["kind"]).alias("kinds"), text.alias("text"))
+
+    def with_parts(parts: Column) -> Column:
+        taken = F.aggregate(F.transform(parts, lambda _, g: longest(parts, g)), F.struct(F.lit(0).alias("at"), none.alias("taken")), choose)["taken"]
+        return _let(taken, lambda t: with_taken(parts, t))
+
+    return _let(parts, with_parts)
+
+
+def _found(key: str, m: Column) -> Column:
+    """A candidate's struct (kinds, text)."""
+
+    def settled(x: Column) -> Column:
+        whole = F.struct(F.array_compact(F.array(x["kind"])).alias("kinds"), x["text"].alias("text"))
+        return F.when(x["kind"].isNull() & m.rlike("^[A-Z0-9]+(?:[ \\-][A-Z0-9]+)+$"), _in_parts(key, m)).otherwise(whole)
+
+    return _let(_one(key, m), settled)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, n_found and kinds (one for each)."""
     if not key:
@@ -246,9 +348,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     body = F.col("_body")
     df = docs.select(row_of(docs), F.col(text).alias("_body"))
     df = df.withColumn("_found", F.when(body.rlike(_ANY), F.regexp_extract_all(body, F.lit(f"({PATTERN})"), F.lit(1))))
-    df = df.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _one(key, m))))
+    df = df.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _found(key, m))))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(body, PATTERN)))
     filled = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["text"], F.lit("")))), "")
-    kinds = F.coalesce(F.array_compact(F.transform("_new", lambda x: x["kind"])), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten(F.transform("_new", lambda x: x["kinds"])), F.array().cast("array<string>"))
     shown = F.when(F.col("_new").isNull(), body).otherwise(filled)
     return df.select(*columns_of(docs, {text: shown}, ("n_found", "kinds")), F.size(kinds).cast("long").alias("n_found"), kinds.alias("kinds"))
