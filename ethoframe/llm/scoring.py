@@ -1,13 +1,16 @@
 """Scores of documents by a byte model (prediction by partial matching), with the
 word-count scores beside them.
 
+What is scored is a text's words, joined by single spaces, and its end: white space
+carries no tokens, so both scores are of the same content.
+
 One pass hashes the words of every text and counts the byte grams of the training
-texts. Words go, packed, to the shard that owns their hash: a shard adds up counts
-over the whole corpus, turns them into each document's share of the word score, and
-hands back one row for each batch. Each batch's distinct grams go to the shard of
-the ``DEPTH`` bytes before their last, which so holds whole contexts of that length
-and longer. All shards together find how likely new symbols are; then each answers
-the grams it was sent, and a batch's texts meet the answers. Every gram is kept.
+texts. Each batch's distinct words go, packed, to the shard that owns their hash,
+and its distinct grams to the shard of the ``DEPTH`` bytes before their last, which
+so holds whole contexts of that length and longer: a frequent word or gram is one
+entry of a batch, however often it comes. A shard adds up counts over the whole
+corpus. All shards together find how likely new symbols are; then each answers the
+words and grams it was sent, and a batch's texts meet the answers. Every gram is kept.
 Broadcast are only the orders below ``DEPTH``: grams of at most three bytes, whose
 number is bounded by the alphabet.
 
@@ -68,36 +71,49 @@ def _ids(batch: pa.RecordBatch) -> tuple[bytes, bytes]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.packbits(column.is_valid().to_numpy(zero_copy_only=False)).tobytes()
 
 
-def _deal(keys: np.ndarray, order: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard and the places of its grams in sorted ``keys``, ascending."""
-    ends = keys >> np.uint64(8) & np.uint64((1 << 8 * min(DEPTH, order)) - 1)
-    at, bounds = by_shard(W.mix(ends), shards)
+def _deal(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and the places of its keys, ascending."""
+    at, bounds = by_shard(hashes, shards)
     for s in np.flatnonzero(np.diff(bounds)):
         yield int(s), np.sort(at[bounds[s] : bounds[s + 1]])
 
 
+def _contexts(keys: np.ndarray, order: int) -> np.ndarray:
+    """A hash of the bytes by which a gram is dealt."""
+    return W.mix(keys >> np.uint64(8) & np.uint64((1 << 8 * min(DEPTH, order)) - 1))
+
+
+def _tokens(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and ends, and the row of each (ends last)."""
+    hashes = np.concatenate([texts.word_hashes(), np.full(texts.n_rows, _END_HASH)])
+    return hashes, np.concatenate([texts.word_rows(), np.arange(texts.n_rows)])
+
+
+def _added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(back, np.concatenate(counts), len(k)).astype(np.uint32)
+
+
 def _gather(shards: int, order: int, folds: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, 1):
             held = held_out(batch.column(0).to_pylist(), folds, fold)
-            hashes, docs, keys, counts = [], [], [], []
+            words, keys = ([], []), ([], [])
+
+            def count(into: tuple, of: np.ndarray, learn: np.ndarray) -> None:
+                # those that aren't learned from are asked for only
+                k, n = np.unique(of[learn], return_counts=True)
+                rest = np.unique(of[~learn])
+                into[0].extend([k, rest])
+                into[1].extend([n, np.zeros(len(rest), np.int64)])
+
             for texts in _texts(batch):
-                hashes += [texts.word_hashes(), np.full(texts.n_rows, _END_HASH)]
-                docs += [texts.word_rows() + texts.row, np.arange(texts.n_rows) + texts.row]
                 learn = ~held[texts.row : texts.row + texts.n_rows]
+                hashes, docs = _tokens(texts)
+                count(words, hashes, learn[docs])
                 data, offsets = W.joined(texts, np.ones(len(texts.starts), bool))
-                g, learn = grams(data, offsets, order), np.repeat(learn, np.diff(offsets) + 1)
-                k, n = np.unique(g[learn], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                # the others are asked for only
-                keys.append(np.unique(g[~learn]))
-                counts.append(np.zeros(len(keys[-1]), np.int64))
-            h, d = np.concatenate(hashes), np.concatenate(docs).astype(np.int32)
-            at = np.argsort(d, kind="stable")
-            h, d = h[at], d[at]
-            hashes.clear()
+                count(keys, grams(data, offsets, order), np.repeat(learn, np.diff(offsets) + 1))
             rows: dict[str, list] = {f.name: [] for f in _ROWS}
 
             def put(*row, rows=rows):
@@ -105,28 +121,16 @@ def _gather(shards: int, order: int, folds: int, fold: int):
                     rows[k].append(v)
 
             put(number % shards, DOCS, number, _ids(batch)[0], np.packbits(held).tobytes(), _ids(batch)[1])
-            at, bounds = by_shard(h, shards)
-            h, d = h[at], d[at]
-            low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(48)).astype(np.uint16)
-            for s in np.flatnonzero(np.diff(bounds)):
-                x, y = bounds[s], bounds[s + 1]
-                put(int(s), TOKENS, number, low[x:y].tobytes() + high[x:y].tobytes(), pack(d[x:y]), np.packbits(held[d[x:y]]).tobytes())
-            k, back = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(back, np.concatenate(counts), len(k)).astype(np.uint32)
-            for s, own in _deal(k, order, shards):
-                put(s, GRAMS, number, k[own].tobytes(), n[own].tobytes(), b"")
+            for kind, found, by in ((TOKENS, words, lambda k: k), (GRAMS, keys, lambda k: _contexts(k, order))):
+                k, n = _added_up(*found)
+                for s, own in _deal(by(k), shards):
+                    put(s, kind, number, k[own].tobytes(), n[own].tobytes(), b"")
             yield batch_of(_ROWS, rows)
             number += 1
 
     return run
 
 
-def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(row["a"]) // 6
-    h = np.frombuffer(row["a"], np.uint32, n).astype(np.uint64) | np.frombuffer(row["a"], np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
-    return h, unpack(row["b"]), np.unpackbits(np.frombuffer(row["c"], np.uint8), count=n).astype(bool)
-
-
 def _sums(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """What a shard's grams add to all others: counts of the short grams, and, for each
     order that the shard holds whole contexts of, the left out symbols by bucket."""
@@ -143,9 +147,8 @@ def _sums(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.n
 
 
 def _add_up(order: int):
-    """One shard: counts over the corpus; each document's part of the word score:
-    known tokens and the sum of log10(count + 1); and the shard's grams, with the
-    places among them of those that each batch asks for."""
+    """One shard: log10(count + 1) over the corpus of the words that each batch asks
+    for; and the shard's grams, with the places among them of those asked for."""
 
     def run(table: pa.Table) -> pa.Table:
         return _added(table, order)
@@ -153,6 +156,17 @@ def _add_up(order: int):
     return run
 
 
+def _asked(given: list[dict], kind: int) -> tuple[list[dict], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A kind's requests, its distinct keys, their counts, and each request's places."""
+    found = [r for r in given if r["kind"] == kind]
+    if not found:
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    each = [np.frombuffer(r["a"], np.uint64) for r in found]
+    keys, back = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.bincount(back, np.concatenate([np.frombuffer(r["b"], np.uint32) for r in found]), len(keys)).astype(np.int64)
+    return found, keys, n, np.split(back, np.cumsum([len(k) for k in each])[:-1])
+
+
 def _added(table: pa.Table, order: int) -> pa.Table:
     rows: dict[str, list] = {f.name: [] for f in _PARTS}
 
@@ -160,29 +174,18 @@ def _added(table: pa.Table, order: int) -> pa.Table:
         for k, v in zip(rows, row):
             rows[k].append(v)
 
+    shard = table["shard"][0].as_py()
     given = table.select(["kind", "batch", "a", "b", "c"]).to_pylist()
-    tokens = [(r["batch"], *_tokens(r)) for r in given if r["kind"] == TOKENS]
-    if tokens:
-        words, back = np.unique(np.concatenate([t[1] for t in tokens]), return_inverse=True)
-        learn = ~np.concatenate([t[3] for t in tokens])
-        counts = np.bincount(back[learn], minlength=len(words))
+    found, words, counts, places = _asked(given, TOKENS)
+    if found:
         put(TOTALS, -1, np.array([(counts > 0).sum(), counts.sum()], np.int64).tobytes(), b"", b"")
-        logs, at = np.log10(counts + 1.0), 0
-        for number, h, d, _ in tokens:
-            own = back[at : at + len(h)]
-            at += len(h)
-            new = np.flatnonzero(np.diff(d.astype(np.int64), prepend=-1))
-            sums = np.add.reduceat(logs[own], new)
-            known = np.add.reduceat((counts[own] > 0).astype(np.uint32), new)
-            put(TOKENS, number, pack(d[new]), sums.tobytes(), np.add(known, 0, dtype=np.uint32).tobytes() + np.diff(np.append(new, len(d))).astype(np.uint32).tobytes())
-    found = [(r["batch"], np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32)) for r in given if r["kind"] == GRAMS]
+        logs = np.log10(counts + 1.0)
+        for r, at in zip(found, places):
+            put(TOKENS, r["batch"], logs[at].tobytes(), np.int64(shard).tobytes(), b"")
+    found, keys, n, places = _asked(given, GRAMS)
     if found:
-        keys, back = np.unique(np.concatenate([k for _, k, _ in found]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([n for _, _, n in found]), len(keys)).astype(np.int64)
-        sizes = [len(k) for _, k, _ in found]
-        asked = np.array([[b for b, _, _ in found], sizes], np.int64)
-        places = b"".join(pack(x) for x in np.split(back, np.cumsum(sizes)[:-1]))
-        put(GRAMS, table["shard"][0].as_py(), keys.tobytes(), n.tobytes(), np.int64(len(found)).tobytes() + asked.tobytes() + places)
+        asked = np.array([[r["batch"] for r in found], [len(x) for x in places]], np.int64)
+        put(GRAMS, shard, keys.tobytes(), n.tobytes(), np.int64(len(found)).tobytes() + asked.tobytes() + b"".join(pack(x) for x in places))
         names, values = _sums(keys[n > 0], n[n > 0], order)
         groups = W.mix(names) % np.uint64(SUM_GROUPS)
         for g in np.unique(groups):
@@ -243,22 +246,23 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number += 1
 
 
-def _model_scores(texts: pa.Table, answers: list[dict], order: int, shards: int) -> np.ndarray:
-    """log10 chance of each text with its end, from the shards' answers."""
-    found, sums = [], []
-    for part in _texts(texts):
-        data, offsets = W.joined(part, np.ones(len(part.starts), bool))
-        found.append((*np.unique(grams(data, offsets, order), return_inverse=True), offsets))
-    keys = np.unique(np.concatenate([k for k, _, _ in found]))
+def _answered(keys: np.ndarray, hashes: np.ndarray, answers: list[dict], shards: int) -> np.ndarray:
+    """The shards' answers in the order of sorted ``keys``."""
     of = {int(np.frombuffer(r["b"], np.int64)[0]): np.frombuffer(r["a"], np.float64) for r in answers}
-    p = np.empty(len(keys))
-    for s, own in _deal(keys, order, shards):
-        if len(of[s]) != len(own):
+    out = np.empty(len(keys))
+    for s, own in _deal(hashes, shards):
+        if len(of.get(s, ())) != len(own):
             raise RuntimeError(_ORDER)
-        p[own] = of[s]
-    for k, back, offsets in found:
-        sums.append(np.add.reduceat(p[np.searchsorted(keys, k)][back], offsets[:-1] + np.arange(len(offsets) - 1)))
-    return np.concatenate(sums)
+        out[own] = of[s]
+    return out
+
+
+def _looked_up(found: list[tuple], by, answers: list[dict], shards: int) -> Iterator[np.ndarray]:
+    """What the shards say of each (distinct keys, places among them)."""
+    keys = np.unique(np.concatenate([k for k, *_ in found]))
+    p = _answered(keys, by(keys), answers, shards)
+    for k, back, *_ in found:
+        yield p[np.searchsorted(keys, k)][back]
 
 
 def _assemble(order: int, shards: int):
@@ -276,15 +280,19 @@ def _assembled(texts: pa.Table, parts: pa.Table, order: int, shards: int) -> pa.
         raise RuntimeError(_ORDER)
     ids = np.frombuffer(docs["a"], np.int64)
     n = len(ids)
+    words, keys = [], []
+    for part in _texts(texts):
+        hashes, rows = _tokens(part)
+        words.append((*np.unique(hashes, return_inverse=True), rows + part.row))
+        data, offsets = W.joined(part, np.ones(len(part.starts), bool))
+        keys.append((*np.unique(grams(data, offsets, order), return_inverse=True), offsets))
     sums, known, tokens = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    # the shards' parts come in any order; floating sums are made the same each time
-    for r in sorted((r for r in given if r["kind"] == TOKENS), key=lambda r: (r["a"], r["b"])):
-        at = unpack(r["a"])
-        sums[at] += np.frombuffer(r["b"], np.float64)
-        both = np.frombuffer(r["c"], np.uint32).reshape(2, -1)
-        known[at] += both[0]
-        tokens[at] += both[1]
-    scores = _model_scores(texts, [r for r in given if r["kind"] == MODEL], order, shards)
+    for logs, (_, _, rows) in zip(_looked_up(words, lambda k: k, [r for r in given if r["kind"] == TOKENS], shards), words):
+        sums += np.bincount(rows, logs, n)
+        known += np.bincount(rows, logs > 0, n).astype(np.int64)
+        tokens += np.bincount(rows, minlength=n)
+    chances = _looked_up(keys, lambda k: _contexts(k, order), [r for r in given if r["kind"] == MODEL], shards)
+    scores = np.concatenate([np.add.reduceat(p, o[:-1] + np.arange(len(o) - 1)) for p, (_, _, o) in zip(chances, keys)])
     valid = np.unpackbits(np.frombuffer(docs["c"], np.uint8), count=n).astype(bool)
     held = np.unpackbits(np.frombuffer(docs["b"], np.uint8), count=n).astype(bool)
     return pa.table(
@@ -302,7 +310,8 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, fold: int = 2) -> Dat
     shards = shards_for(slim, "text", SHARD_BYTES)
     rows = slim.mapInArrow(_gather(shards, order, folds, fold), "shard int, kind int, batch long, a binary, b binary, c binary")
     parts = "kind int, batch long, a binary, b binary, c binary"
-    added = stage(rows.groupBy("shard").applyInArrow(_add_up(order), parts))
+    # a number of partitions of its own, so that a task's share stays near a shard's
+    added = stage(rows.repartition(shards, "shard").groupBy("shard").applyInArrow(_add_up(order), parts))
     totals = np.zeros(2, np.int64)
     for row in added.where(F.col("kind") == TOTALS).select("a").toLocalIterator():
         totals += np.frombuffer(row["a"], np.int64)
@@ -312,6 +321,7 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, fold: int = 2) -> Dat
     both = added.where(F.col("kind").isin(TOKENS, DOCS)).unionByName(answers)
     # on a side of its own: in a union the partitions, and so the batches, had other numbers
     texts = slim.mapInArrow(_texts_of, "batch long, at long, doc_id long, text string")
+    texts, both = texts.repartition(shards, "batch"), both.repartition(shards, "batch")
     found = texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_assemble(order, shards), _SCORES)
     less = F.log10(F.lit(float(tokens + distinct + 1)))
     return found.select(
