@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import shards_for, stage
+from .common import shards_for, stage, unstage
 from .packed import LOW, batch_of, by_shard, pack, slices, unpack
 
 #: Bytes of text whose probes make one shard.
@@ -260,13 +260,16 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     shards = shards_for(slim, "text", SHARD_BYTES)
     packed = "shard int, kind int, batch long, hashes binary, places binary"
     probes = slim.mapInArrow(_probes(shards, block, length), packed)
-    hits = probes.groupBy("shard").applyInArrow(_match, "batch long, kind int, ids binary, places binary")
+    hits = probes.repartition(shards, "shard").groupBy("shard").applyInArrow(_match, "batch long, kind int, ids binary, places binary")
     anchors = hits.groupBy("batch").applyInArrow(_locate, "doc_id long, anchors binary")
     anchors = stage(anchors.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")))
-    near = slim.join(anchors, "doc_id").select("doc_id", "text", "anchors")
+    # a number of partitions of its own, so that a task's share stays near a shard's
+    near = slim.repartition(shards, "doc_id").join(anchors, "doc_id").select("doc_id", "text", "anchors")
     passages = near.mapInArrow(_passages_of(shards, block, length), "shard int, hashes binary, ids binary, places binary")
-    found = passages.groupBy("shard").applyInArrow(_repeats(shards), "bucket int, ids binary, places binary")
-    return stage(found.groupBy("bucket").applyInArrow(_by_document, "doc_id long, repeats binary"))
+    found = passages.repartition(shards, "shard").groupBy("shard").applyInArrow(_repeats(shards), "bucket int, ids binary, places binary")
+    repeats = stage(found.repartition(shards, "bucket").groupBy("bucket").applyInArrow(_by_document, "doc_id long, repeats binary"))
+    unstage(anchors)
+    return repeats
 
 
 def _passages_of(shards: int, block: int, length: int):
@@ -287,6 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     kept words joined by one space), or with ``digest`` that text's kept_sha256."""
     repeats = repeated_passages(docs, length)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = slim.repartition(shards_for(slim, "text", SHARD_BYTES), "doc_id")
     rows = slim.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats")
     last = "kept_sha256" if digest else "kept_text"
     return rows.mapInArrow(_cut(length, digest), f"doc_id long, n_words long, n_removed long, {last} string")
