@@ -15,9 +15,13 @@ buckets in blocks and hands on each query's best by exact distance, never pairs.
 Vectors that are equal are one: only the smallest ids of each can be among a query's
 nearest, so a vector held by very many rows costs what one does.
 
+A query whose buckets held fewer than ``k`` others, though there are more, is then
+compared with all vectors, in blocks.
+
 Defined results: null ids and vectors that are null, zero or hold null or non-finite
 numbers (or another length than most) take no part; ties go to the smaller id; a
-query with few candidates returns them all; rows with an equal id are one candidate.
+query with few candidates returns them all; rows with an equal id are one candidate,
+with the smallest of their vectors.
 """
 
 from __future__ import annotations
@@ -206,9 +210,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 4, su
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row
     whose vec_id is divisible by ``every``. ``sample``: vectors on which the radius
     is fitted (the first by a hash of their ids)."""
-    rows = stage(_usable(vectors).dropDuplicates(["vec_id"]))
+    rows = stage(_usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dims = sizes[0]["d"] if sizes else 1
+    dims, total = (sizes[0]["d"], sizes[0]["n"]) if sizes else (1, 0)
     rows = rows.where(F.size("v") == dims)
     # -0.0 and 0.0 make equal vectors
     shown = F.transform("v", lambda x: x + F.lit(0.0))
@@ -229,6 +233,25 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 4, su
     counts = classes.select("v").mapInArrow(_codes(hashes), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") > SPLIT).select("bucket", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
     met = met.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = rows.where(ask).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).withColumn("query", F.xxhash64(F.transform("qv", lambda x: x + F.lit(0.0))))
+    found = stage(_ranked(met, asked, classes, k))
+    enough = found.where(F.col("rank") == min(k, total - 1)).select("query_id")
+    short = stage(asked.join(enough, "query_id", "left_anti"))
+    if total < 2 or short.isEmpty():
+        return found
+    # few as a rule; each meets every block of vectors once
+    nodes = short.select(F.col("query").alias("node")).distinct()
+    every_one = F.lit(-1).cast("long").alias("bucket")
+    sides = classes.select(every_one, F.lit(1).alias("side"), "node", F.col("v").alias("vector")).unionByName(
+        classes.join(nodes, "node", "left_semi").select(every_one, F.lit(0).alias("side"), "node", F.col("v").alias("vector"))
+    )
+    more = _ranked(sides.withColumn("parts", F.lit(-(-n // SPLIT))), short, classes, k)
+    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(more)
+
+
+def _ranked(met: DataFrame, asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id and score of the best that ``asked`` (query_id, qv,
+    query) meet in ``met`` (bucket, side, node, vector, parts)."""
     own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.withColumn("part", F.explode(F.when(F.col("side") == 1, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     met = met.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side", "node").select("bucket", "side", "node", "vector", "part")
@@ -240,7 +263,6 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 4, su
     cut = F.element_at(F.col("all.close"), F.least(F.size("all"), F.lit(k + 1))) - F.lit(1e-9)
     top = top.withColumn("cut", cut).select("query", F.explode(F.filter("all", lambda x: x["close"] >= F.col("cut"))).alias("x"))
     pairs = top.select("query", F.col("x.node").alias("node"))
-    asked = rows.where(ask).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).withColumn("query", F.xxhash64(F.transform("qv", lambda x: x + F.lit(0.0))))
     joined = asked.join(pairs, "query").join(classes.select("node", "ids", "v"), "node")
     scored = joined.select("query_id", F.col("query").alias("own"), "ids", "qv", "v").mapInArrow(_exact, "query_id long, own long, ids array<long>, score double")
     each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
