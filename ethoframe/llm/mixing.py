@@ -108,6 +108,8 @@ def solve(groups: DataFrame, sources: DataFrame, most: float = 3.0, rounds: int
         worst = state.where("target > 0 and target < source_size * %r * (1 - 1e-9)" % float(most)).agg(F.max("miss")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"the multipliers did not settle in {rounds} rounds: a source misses its target by {worst:.2g} of it")
     # a source that is asked for all it can give has no finite multiplier
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-9)
     top = F.when(F.col("target") <= 0, -_FAR * F.col("scale")).when(full, _FAR * F.col("scale")).otherwise(F.col("lambda"))
@@ -181,7 +183,10 @@ def take(docs: DataFrame, most: int = 3) -> DataFrame:
     # rows with one id, text and source are told apart by number
     chosen = chosen.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_body", "_from").orderBy("copies")))
     rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("source").cast("string").alias("_source"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash", "_source").orderBy(F.lit(1))))
+    # by all their other columns, so that reruns number them alike
+    rest = [F.col("_row")[c] for c in docs.columns if c not in ("doc_id", "text", "source")]
+    told = F.to_json(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(rest)])) if rest else F.lit(1)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_hash", "_source").orderBy(told)))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")) & F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_n") == F.col("_k"))
     joined = rows.join(chosen, same)
     return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*columns_of(docs))
