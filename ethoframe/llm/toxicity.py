@@ -24,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import stage, unstage
 
 BUCKETS = 1 << 18
 DIMS = 8
@@ -264,10 +265,11 @@ def _constant(rate: float) -> Network:
     return Network(np.zeros((2, 1, DIMS), np.float32), np.zeros((sum(WIDTHS) * FILTERS, DIMS), np.float32), none, none, float(np.log(rate / (1 - rate))))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int = 4, fold: int = 2, label: str = "toxic", epochs: int = 6) -> Network:
-    """Learns from labelled ``docs`` outside the fold; at most ``per_class`` rows of
-    label 1 and twice as many of label 0. Thresholds come from all that aren't learned
-    from."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int = 4, fold: int = 2, label: str = "toxic", epochs: int = 6, most_bytes: int = 96 << 20) -> Network:
+    """Learns from labelled ``docs`` outside the fold; at most ``per_class`` ids of
+    label 1 and twice as many of label 0, one row of each, and of those as many whole
+    texts as make ``most_bytes`` of word buckets (eight bytes a word). Thresholds come
+    from all that aren't learned from."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("key", F.xxhash64("doc_id", F.lit(11)))
     rates = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -278,8 +280,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     slim = docs.select("doc_id", "text", lang.alias("lang"))
     rows = slim.join(F.broadcast(some), "doc_id").select("text", "label", "lang", "key")
-    table = rows.mapInArrow(_sampled, "label int, lang string, pairs binary, key long").toArrow()
+    sampled = stage(rows.mapInArrow(_sampled, "label int, lang string, pairs binary, key long"))
+    # one row of each id, and of those, by their keys, whole texts up to the bound
+    sizes = sampled.groupBy("key").agg(F.min(F.struct(F.octet_length("pairs").alias("size"), F.xxhash64("pairs").alias("body"))).alias("row"))
+    sizes = sizes.withColumn("upto", F.sum("row.size").over(Window.partitionBy().orderBy("key")))
+    fits = sizes.where(F.col("upto") <= most_bytes).select(F.col("key").alias("_key"), F.col("row.body").alias("_body"))
+    table = sampled.join(fits, (F.col("key") == F.col("_key")) & (F.xxhash64("pairs") == F.col("_body"))).select("label", "lang", "pairs", "key").dropDuplicates(["key"]).toArrow()
     table = table.sort_by("key").combine_chunks()
+    unstage(sampled)
     if not len(table):
         return _constant(0.5)
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in table.column("pairs")]
