@@ -106,7 +106,7 @@ def test_sum_of_squares_fills_windows():
     for i in range(6000):
         ids = np.zeros(int(rng.integers(1, 64)), np.uint32)
         total += len(ids)
-        if w := levels.place((i, 0, ids, len(ids))):
+        if w := levels.place([(i, 0, ids, len(ids))]):
             out.append(w)
     assert all(sum(len(p[2]) for p in w) == 64 for w in out)
     held = sum(int(levels.count[h]) * h for h in range(65))
@@ -184,6 +184,171 @@ def test_pseudonyms_are_valid_and_linked(spark):
         pii.pseudonymise(df, "")
 
 
+def test_each_kind_alone(spark):
+    """A value gets its pseudonym whatever else its text holds, and no other value gets it."""
+    same = {
+        "8.8.8.8": "ip", "31/12/1999": "date", "12/31/1999": "date", "2024-02-29": "date", "29.02.2024": "date", "4111 1111 1111 1111": "card", "3782 822463 10005": "card",
+        "BE68 5390 0754 7034": "iban", "123-45-6789": "ssn", "(708) 555-4315": "nanp", "+49 30 1234 5678": "phone", "0049 30 1234 5678": "phone", "030 1234567": "phone", "a.b@c.org": "email",
+    }
+    around = ("{}", "see {} there", "item 2 {}", "{} PAID NOW", "{} and {}", "x {} 10", "at 10 {}.")
+    rows = [(i, j, a.replace("{}", v)) for i, v in enumerate(same) for j, a in enumerate(around)]
+    df = spark.createDataFrame([(len(around) * i + j, t) for i, j, t in rows], "doc_id long, text string")
+    out = [r for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    for i, (v, kind) in enumerate(same.items()):
+        own = out[i * len(around) : (i + 1) * len(around)]
+        new = own[0].text
+        assert new != v and own[0].kinds == [kind], (v, own[0])
+        # a phone number has no fixed length: a number right after it belongs to it
+        seen = [(r.text, a.replace("{}", new)) for r, a in zip(own, around) if kind != "phone" or a != "x {} 10"]
+        assert all(a == b for a, b in seen), (v, seen)
+    assert out[10 * len(around)].text[1:] == out[11 * len(around)].text[2:]
+
+
+def test_dates_are_permuted_within_their_form(spark):
+    days = spark.range(40_000, 40_800).select(F.date_add(F.lit("1850-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for form, keep in (("yyyy-MM-dd", "true"), ("dd/MM/yyyy", "true"), ("MM/dd/yyyy", "day(d) > 12")):
+        rows = days.where(keep).select(F.date_format("d", form).alias("text"), F.unix_date("d").alias("doc_id"))
+        new = [r.text for r in pii.pseudonymise(rows, "k").where("n_found = 1").collect()]
+        assert len(set(new)) == rows.count()
+        if form == "MM/dd/yyyy":
+            assert all(int(t[3:5]) > 12 and int(t[:2]) <= 12 for t in new)
+
+
+def test_parts_against_brute_force(spark):
+    import brute
+
+    rng = np.random.default_rng(8)
+    bits = ["4111", "1111", "BE68 5390 0754 7034", "DE89", "3704 0044 0532 0130 00", "A1B2", "12", "31/12/1999", "12/31/1999", "-", "8.8.8.8", "0049 30 12345", "030/1234567", "4111-1111-1111-1111", "x@y.de", "ÉÉ", "PAID", "3782 822463 10005", "123-45-6789"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(1, 12)))) for _ in range(300)] + [None, "", " ".join(["1234"] * 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        assert (r.text, list(r.kinds)) == tuple(brute.pseudonyms(texts[r.doc_id], "k")), texts[r.doc_id]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoding(packing.default_vocabulary())
+    rng = np.random.default_rng(0)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endo"] + ["".join(rng.choice(["a", " ", "\n", "<|endoftext|>", "é", "日", "1", "'s"], 40)) for _ in range(300)]
+    assert all(plain.encode(t, add_special_tokens=False).ids == fast.encode(t, allowed_special="all") for t in texts)
+
+
+def test_filters_learn_what_words_alone_do_not_show():
+    """Every word comes as often in both classes: only their order tells. Without any
+    training no document is told from another."""
+    rng = np.random.default_rng(5)
+    texts, y = [], []
+    for k in range(1200):
+        own = [f"w{i}" for i in rng.integers(0, 300, 20)]
+        at = int(rng.integers(0, 18))
+        own[at : at + 2] = ["bad", "thing"] if k % 2 else ["thing", "bad"]
+        texts.append(" ".join(own))
+        y.append(float(k % 2))
+    part = words.Texts(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]), 0)
+    pairs, first = toxicity._tokens(part)
+    each, y = [pairs[a:b] for a, b in zip(first, first[1:])], np.array(y)
+
+    def right(epochs):
+        net = toxicity.fit(each[:900], y[:900], epochs)
+        z = toxicity.logits(net, np.concatenate(each[900:]), np.concatenate([[0], np.cumsum([len(x) for x in each[900:]])]))
+        return ((z > np.median(z)) == (y[900:] == 1)).mean()
+
+    assert right(0) < 0.65 and right(12) > 0.9
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Repeated rows of an id and long texts don't grow what the driver learns from."""
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, epochs: seen.append(sum(t.nbytes for t in texts)) or fit(texts, labels, epochs))
+    rows = [(k, f"text {k % 7} is {'vile' if k % 2 else 'fine'} here " + "so " * (900 * (k % 3))) for k in range(200)]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, most_bytes=200_000)
+    assert 0 < seen[0] <= 200_000
+
+
+def test_many_directions_against_brute_force(spark):
+    """50,000 vectors, in clusters and outside them: several directions a table."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(400, 24))
+    x = centres[rng.integers(0, 400, 50_000)] + 0.4 * rng.normal(size=(50_000, 24))
+    x[::500] = rng.normal(size=(100, 24)) * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, every=500).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 50_000, 500):
+        close = unit @ unit[q]
+        close[q] = -9
+        assert len(found[q]) == 5
+        hits += len(set(found[q]) & set(np.argsort(-close)[:5].tolist()))
+    assert hits >= 0.9 * 500, hits
+
+
+def test_lonely_queries_find_all_they_can(spark):
+    """One dense cluster, and queries far from it and from each other."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.eye(16)[:6] * -1.0, np.ones((6000, 16)) + 0.001 * rng.normal(size=(6000, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, every=1000).where("query_id = 0").collect()
+    assert [r.rank for r in sorted(rows, key=lambda r: r.rank)] == [1, 2, 3, 4, 5] and {r.vec_id for r in rows} == {1, 2, 3, 4, 5}
+    few = neighbours.nearest(df.where("vec_id < 4 or vec_id = 1000"), every=1000).collect()
+    assert sum(r.query_id == 0 for r in few) == 4 and sum(r.query_id == 1000 for r in few) == 4
+
+
+def test_an_id_with_several_vectors_is_the_smallest(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [-1.0, 5.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    for part in (df, df.orderBy(F.desc("embedding"))):
+        assert {r.vec_id: round(r.score, 6) for r in neighbours.nearest(part).collect()} == {2: round(math.sqrt(0.5), 6), 1: round(-1 / math.sqrt(26), 6)}
+
+
+def test_equal_rows_with_other_columns_are_taken_alike(spark):
+    from ethoframe.llm import mixing
+
+    rows = [(1, "a b c", "s", k) for k in range(40)] + [(2, "d e", "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    taken = [sorted(r.extra for r in mixing.take(df.repartition(n, "extra")).collect()) for n in (1, 3)]
+    assert taken[0] == taken[1]
+
+
+def test_multipliers_that_do_not_settle_are_told(spark):
+    from ethoframe.llm import mixing
+
+    groups = spark.createDataFrame([("a", 3, 5), ("a", 7, 9)], "source string, size long, n long")
+    sources = spark.createDataFrame([("a", 78, 14, 40.0)], "source string, source_size long, n_full long, target double")
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.solve(groups, sources, rounds=1)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from ethoframe.llm import common
+
+    class Context:
+        master = "spark://one:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_frequent_short_lines_in_ten_documents(spark):
+    """A block of two lines, each line also alone in an older document."""
+    block = ["thirty characters in line one..", "thirty characters in line two.."]
+    docs = [(1, block[0]), (2, block[1])] + [(10 + k, f"own {k}\n" + "\n".join(block) + f"\nend {k}") for k in range(10)]
+    rows = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[10 + k] for k in range(1, 10)] == [f"own {k}\nend {k}" for k in range(1, 10)]
+
+
 def test_rules_compile_to_one_projection(spark):
     df = quality.quality(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
