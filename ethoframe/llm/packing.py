@@ -1,17 +1,16 @@
 """Packing token sequences by the sum-of-squares rule.
 
-1. Each partition packs its own stream of documents: whole windows are cut off long
-   documents, and each remainder goes to the fill level that makes the sum of the
+1. Each partition encodes its documents and cuts whole windows off the long ones.
+2. The remainders of ``STREAMS`` partitions meet in one task, in order: the rule works
+   well on long streams only. Each goes to the fill level that makes the sum of the
    squared counts of partially filled windows least. Counts by level are one array
    of the window's length, so a placement costs one pass over it whatever has been
    packed.
-2. The windows that are still open when a partition's stream ends are passed on:
-   those of ``STREAMS`` partitions meet in one task, in order, and are placed into one
-   another by the same rule, each as one item.
-3. What is open after that is laid end to end and cut into full windows; the last
-   rest becomes windows of 2^k tokens, which need no padding, and one short one.
+3. The windows that are open at the end of a stream are laid end to end and cut into
+   full ones; the last rest becomes windows of 2^k tokens, which need no padding, and
+   one short one.
 
-Memory is the open windows'; only they are exchanged, never a corpus.
+Memory is the open windows': at most a few for each level.
 
 Defined results: null and empty texts are the end mark alone; the string of a special
 token in a text is that token; repeated rows are packed as often as they come; null
@@ -36,8 +35,8 @@ from .common import stage
 
 #: Rests of a stream below this are padded rather than cut into powers of two.
 LEAST_REST = 128
-#: Partitions whose open windows meet in one task.
-STREAMS = 64
+#: Partitions whose remainders meet in one task.
+STREAMS = 16
 #: Special tokens of the default vocabulary.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -71,10 +70,9 @@ class Levels:
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
 
-    def place(self, pieces: list[Piece]) -> list[Piece] | None:
-        """Puts the pieces, together, into a window; returns the window if that
-        filled it."""
-        n, count, size = sum(len(p[2]) for p in pieces), self.count, self.size
+    def place(self, piece: Piece) -> list[Piece] | None:
+        """Puts the piece into a window; returns the window if that filled it."""
+        n, count, size = len(piece[2]), self.count, self.size
         best, level = 2 * int(count[n]) + 1 if n < size else 1, 0
         if n < size:
             # from level h to h + n: the change of the sum of squares
@@ -87,20 +85,16 @@ class Levels:
         window = self.open[level].pop() if level else []
         if level:
             count[level] -= 1
-        window += pieces
+        window.append(piece)
         if level + n == size:
             return window
         count[level + n] += 1
         self.open[level + n].append(window)
         return None
 
-    def left(self) -> Iterator[list[Piece]]:
-        """The open windows, fullest first."""
-        return (window for level in reversed(self.open) for window in level)
-
     def rest(self) -> Iterator[list[Piece]]:
         """The open windows, laid end to end and cut anew."""
-        pieces = [p for window in self.left() for p in window]
+        pieces = [p for level in reversed(self.open) for window in level for p in window]
         left = sum(len(p[2]) for p in pieces)
         at, used = 0, 0
         while left:
@@ -120,20 +114,20 @@ class Levels:
 
 
 class _Rows:
-    """Finished and passed on windows as rows of one schema."""
+    """Finished windows, and remainders passed on, as rows of one schema."""
 
-    def __init__(self, digest: bool, sequence: int):
+    def __init__(self, digest: bool, sequence: int, raw: type = np.uint32):
         last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int32()))
         names = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), last, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
         self.schema = pa.schema([*names, ("stream", pa.int64()), ("raw", pa.binary()), ("how", pa.string())])
-        self.digest, self.sequence = digest, sequence
+        self.digest, self.sequence, self.raw = digest, sequence, raw
         self.rows: dict[str, list] = {f.name: [] for f in self.schema}
 
     def put(self, window: list[Piece], how: str, stream: int | None = None) -> None:
         offset = 0
         for doc, start, ids, n in window:
             shown = None if stream is not None else zlib.crc32(ids.tobytes()) if self.digest else ids.astype(np.int32)
-            raw = ids.tobytes() if stream is not None else None
+            raw = ids.astype(self.raw).tobytes() if stream is not None else None
             for k, v in zip(self.rows, (doc, start, len(ids), shown, n, self.sequence, offset, stream, raw, how)):
                 self.rows[k].append(v)
             offset += len(ids)
@@ -149,65 +143,54 @@ class _Rows:
         return made
 
 
+def _raw(code) -> type:
+    """The least type for ids on their way."""
+    return np.uint16 if code.n_vocab <= 1 << 16 else np.uint32
+
+
 def _packer(size: int, vocabulary: str, digest: bool, end: int):
-    """One partition: its finished windows, and those still open with their ids."""
+    """One partition: its whole windows, and its remainders with their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, levels, partition = encoding(vocabulary), Levels(size), TaskContext.get().partitionId()
-        rows = _Rows(digest, partition << 33)
+        code, partition = encoding(vocabulary), TaskContext.get().partitionId()
+        rows = _Rows(digest, partition << 33, _raw(code))
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
                 ids = np.array([*code.encode(text.as_py() or "", allowed_special="all"), end], np.uint32)
                 doc, n = doc.as_py(), len(ids)
                 whole = n - n % size
                 for start in range(0, whole, size):
-                    rows.put([(doc, start, ids[start : start + size], n)], "rule")
-                if whole < n and (window := levels.place([(doc, whole, ids[whole:], n)])):
-                    rows.put(window, "rule")
+                    rows.put([(doc, start, ids[start : start + size], n)], "whole")
+                if whole < n:
+                    rows.put([(doc, whole, ids[whole:], n)], "open", partition // STREAMS)
                 if rows.full():
                     yield rows.flush()
-        for window in levels.left():
-            rows.put(window, "open", partition // STREAMS)
-            if rows.full():
-                yield rows.flush()
         yield rows.flush()
 
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[Piece]]]:
-    """(stream, pieces) of each window passed on, from sorted rows."""
-    at, window, stream = None, [], None
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in ("doc_id", "start", "doc_tokens", "sequence_id", "stream", "raw")]
-        for doc, start, n, sequence, own, raw in zip(*columns):
-            if sequence != at and window:
-                yield stream, window
-                window = []
-            at, stream = sequence, own
-            window.append((doc, start, np.frombuffer(raw, np.uint32), n))
-    if window:
-        yield stream, window
-
-
-def _merger(size: int, digest: bool):
-    """Open windows of several partitions, placed into one another by the rule."""
+def _merger(size: int, vocabulary: str, digest: bool):
+    """The remainders of several partitions, by the rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, rows, at = Levels(size), _Rows(digest, 0), None
+        levels, rows, at, raw = Levels(size), _Rows(digest, 0), None, _raw(encoding(vocabulary))
 
         def close() -> None:
             for window in levels.rest():
                 rows.put(window, "rest")
 
-        for stream, window in _windows(batches):
-            if stream != at:
-                close()
-                levels, rows.sequence, at = Levels(size), 1 << 62 | stream << 33, stream
-            if done := levels.place(window):
-                rows.put(done, "rule")
-            if rows.full():
-                yield rows.flush()
+        for batch in batches:
+            for doc, start, n, stream, ids in zip(*(batch.column(k) for k in ("doc_id", "start", "doc_tokens", "stream", "raw"))):
+                if stream.as_py() != at:
+                    close()
+                    at = stream.as_py()
+                    levels, rows.sequence = Levels(size), 1 << 62 | at << 33
+                piece = (doc.as_py(), start.as_py(), np.frombuffer(ids.as_py(), raw).astype(np.uint32), n.as_py())
+                if done := levels.place(piece):
+                    rows.put(done, "rule")
+                if rows.full():
+                    yield rows.flush()
         close()
         yield rows.flush()
 
@@ -216,8 +199,8 @@ def _merger(size: int, digest: bool):
 
 def pack(docs: DataFrame, size: int = 1024, vocabulary: str | None = None, digest: bool = False, end: int = 0) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (or with ``digest`` their
-    ids_crc32), doc_tokens, sequence_id, offset, and how (rule, or rest: its window was
-    laid end to end).
+    ids_crc32), doc_tokens, sequence_id, offset, and how (whole: a window of one
+    document, rule, or rest: its window was laid end to end).
 
     ``vocabulary`` is the path of the ranks, which executors must have.
     """
@@ -228,5 +211,5 @@ def pack(docs: DataFrame, size: int = 1024, vocabulary: str | None = None, diges
     slim = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     packed = stage(slim.mapInArrow(_packer(size, vocabulary or default_vocabulary(), digest, end), schema))
     open_ = packed.where("how = 'open'").repartition("stream").sortWithinPartitions("stream", "sequence_id", "offset")
-    merged = open_.mapInArrow(_merger(size, digest), schema)
+    merged = open_.mapInArrow(_merger(size, vocabulary or default_vocabulary(), digest), schema)
     return packed.where("how <> 'open'").unionByName(merged).drop("stream", "raw")

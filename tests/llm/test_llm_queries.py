@@ -143,12 +143,12 @@ def test_packing(spark, texts):
 
 
 def test_packing_mostly_by_the_rule(spark):
-    """What one partition leaves open is merged with others' windows by the rule."""
+    """Remainders of several partitions meet in one long stream."""
     from ethoframe.llm import packing
 
     rng = np.random.default_rng(4)
-    docs = spark.createDataFrame([(i, " a" * int(n)) for i, n in enumerate(rng.integers(1, 1023, 6000))], "doc_id long, text string").repartition(8)
-    rows = packing.pack(docs, digest=True).collect()
+    docs = spark.createDataFrame([(i, " a" * int(n)) for i, n in enumerate(rng.integers(1, 63, 40000))], "doc_id long, text string").repartition(8)
+    rows = packing.pack(docs, size=64, digest=True).collect()
     by = Counter()
     for r in rows:
         by[r.how] += r.length
