@@ -83,30 +83,68 @@ def t_ppf(p: float, df: Column) -> Column:
     return F.when(df > 0, _t_quantile(F.lit(p), df.cast("double")))
 
 
+@F.pandas_udf(DoubleType())
+def _f_tail(f: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    x = b / (b + a * f)
+    return pd.Series(incomplete_beta(b.to_numpy(float) / 2, a.to_numpy(float) / 2, x.to_numpy(float)))
+
+
+def f_tail(f: Column, df1: Column, df2: Column) -> Column:
+    """The chance that F with these degrees of freedom is at least ``f``."""
+    return F.when(f.isNotNull() & (df1 > 0) & (df2 > 0), _f_tail(f.cast("double"), df1.cast("double"), df2.cast("double")))
+
+
 def t_two_sided(t: Column, df: Column) -> Column:
     return 2 * (F.lit(1.0) - t_cdf(F.abs(t), df))
 
 
-def with_average_rank(df: DataFrame, column: str, name: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs; nulls get none.
+@F.pandas_udf(DoubleType())
+def _normal_tail(z: pd.Series) -> pd.Series:
+    return pd.Series([math.erfc(abs(x) / math.sqrt(2)) for x in z])
 
-    Without groups, values are dealt into buckets by approximate quantiles, so that
-    no task sorts all of them: a rank is the rows in lower buckets and the rank within
-    its own.
-    """
-    if by:
-        w, same = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
-        rank = F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0
-        nulls = F.count_if(F.col(column).isNull()).over(Window.partitionBy(*by))
-        return df.withColumn(name, F.when(F.col(column).isNotNull(), rank - nulls))
+
+def normal_two_sided(z: Column) -> Column:
+    """The chance of a standard normal value at least as far from 0."""
+    return F.when(z.isNotNull(), _normal_tail(z.cast("double")))
+
+
+def with_places(values: DataFrame, column: str, n: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Adds ``_before`` to a table of distinct values (within ``by``) with their counts
+    ``n``: how many rows come before each. Values are dealt into buckets by approximate
+    quantiles, whose counts are added up apart, so no task sorts all of them."""
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(column, shares, 10_000).alias("_bounds"))  # one row
-    dealt = df.crossJoin(F.broadcast(bounds))
+    bounds = values.groupBy(*by).agg(F.percentile_approx(column, shares, 10_000).alias("_bounds"))
+    if by:
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+        bounds = bounds.select("_bounds", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)])
+        on = same[0]
+        for x in same[1:]:
+            on = on & x
+        dealt = values.join(bounds, on).drop(*[f"_g{i}" for i in range(len(by))])
+    else:
+        dealt = values.crossJoin(F.broadcast(bounds))  # one row
     dealt = dealt.withColumn("_bucket", F.size(F.filter(F.coalesce("_bounds", F.array()), lambda b: b < F.col(column)))).drop("_bounds")
-    counts = dealt.where(F.col(column).isNotNull()).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    lower = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("_bucket").alias("_b"), lower.alias("_lower"))  # a row a bucket
-    w, same = Window.partitionBy("_bucket").orderBy(F.col(column).asc_nulls_last()), Window.partitionBy("_bucket", column)
-    ranked = dealt.withColumn("_rank", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
-    ranked = ranked.join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"), "left")
-    return ranked.withColumn(name, F.when(F.col(column).isNotNull(), F.col("_rank") + F.col("_lower"))).drop("_bucket", "_rank", "_b", "_lower")
+    counts = dealt.groupBy(*by, "_bucket").agg(F.sum(n).alias("_s"))
+    lower = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), lower.alias("_lower"))
+    on = F.col("_bucket") == F.col("_b")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    up = Window.partitionBy(*by, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(n).over(up), F.lit(0))
+    placed = dealt.withColumn("_own", own).join(offsets, on)
+    return placed.withColumn("_before", F.col("_own") + F.col("_lower")).drop("_bucket", "_b", "_own", "_lower", *[f"_g{i}" for i in range(len(by))])
+
+
+def with_average_rank(df: DataFrame, column: str, name: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Ranks from 1 (within ``by``), equal values sharing the mean of theirs; nulls get
+    none. Equal values are counted first and ranked as one, so neither a very common
+    value nor a very large group is one task's."""
+    values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_places(values, column, "_n", by, buckets)
+    keys = [*by, column]
+    ranks = placed.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(keys)], (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
+    on = F.col(column) == F.col(f"_r{len(by)}")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    return df.join(ranks, on, "left").drop(*[f"_r{i}" for i in range(len(keys))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from itertools import product
 
@@ -18,8 +19,12 @@ from ..functions.roles import roles
 def encode(df: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
     """Codes from 0 of the columns' joined strings in string order. The codes are
     made from the distinct keys and joined back, so rows are never sorted in one
-    place."""
-    key = F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
+    place; distinct keys are, so this is for environments and classes. Columns that
+    the table lacks are left out with a warning; with none left, all codes are 0."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        warnings.warn(f"no columns {missing}: left out of {name}", stacklevel=2)
+    key = F.concat_ws("_", *[F.col(c).cast("string") for c in columns if c not in missing])
     keys = df.select(key.alias("_key")).distinct().withColumn(name, (F.dense_rank().over(Window.partitionBy().orderBy("_key")) - 1).cast("int"))
     return df.withColumn("_key", key).join(keys, "_key").drop("_key")
 
@@ -120,3 +125,76 @@ def temperature_grid(df: DataFrame, y: str, logit: str, temperatures: tuple[floa
 
     per = df.agg(*[F.avg(loss(t)).alias(f"_{i}") for i, t in enumerate(temperatures)])
     return per.select(F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.col(f"_{i}").alias("loss")) for i, t in enumerate(temperatures)])).alias("x")).select("x.*")
+
+
+def temperature(df: DataFrame, y: str, logit: str, low: float = -3.0, high: float = 3.0, passes: int = 4, points: int = 17) -> DataFrame:
+    """(temperature, loss): the temperature with the least mean cross entropy, its log
+    between ``low`` and ``high``. Each pass tries ``points`` temperatures in one
+    aggregation and goes on between the best one's neighbours."""
+    from math import exp
+
+    for _ in range(passes):
+        step = (high - low) / (points - 1)
+        tried = temperature_grid(df, y, logit, tuple(exp(low + k * step) for k in range(points)))
+        best = tried.orderBy("loss", "temperature").limit(1)
+        found = best.collect()
+        if not found or found[0]["loss"] is None:
+            return tried.limit(0)
+        at = np.log(found[0]["temperature"])
+        low, high = max(low, at - step), min(high, at + step)
+    return best
+
+
+def noisy(df: DataFrame, vector: str, scale: float, unit: str, seed: int) -> DataFrame:
+    """Gaussian noise on each number of a vector, the same in each run: by Box and
+    Muller from two hashes of the row's ``unit`` and the number's place."""
+
+    def uniform(i: Column, side: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(side), F.col(unit), i), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+
+    def add(x: Column, i: Column) -> Column:
+        return x + scale * F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * np.pi * uniform(i, 1))
+
+    return df.withColumn(vector, F.transform(vector, add))
+
+
+def late_fusion(score: Column, distance: Column, reach: float, weight: float = 0.5) -> Column:
+    """A score mixed with nearness, 1 at distance 0 and 0 from ``reach`` on; without a
+    distance the score alone."""
+    near = F.greatest(F.lit(0.0), 1 - distance / reach)
+    return F.when(distance.isNull(), score).otherwise((1 - weight) * score + weight * near)
+
+
+def siamese_scorer(shared: list[tuple[np.ndarray, np.ndarray]], head: list[tuple[np.ndarray, np.ndarray]]):
+    """A UDF of two views of a pair: the same ReLU layers encode both; what the head
+    sees is their sum, their absolute difference and their product, so that it does not
+    matter which view comes first."""
+
+    def layers(x: np.ndarray, of: list, last: bool) -> np.ndarray:
+        for k, (w, b) in enumerate(of):
+            x = x @ w + b
+            x = x if last and k + 1 == len(of) else np.maximum(x, 0)
+        return x
+
+    @F.pandas_udf(DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=float)
+        u, v = (layers(np.stack(s.to_numpy()).astype(float), shared, False) for s in (a, b))
+        z = layers(np.concatenate([u + v, np.abs(u - v), u * v], 1), head, True)
+        return pd.Series(1 / (1 + np.exp(-z[:, 0])))
+
+    return score
+
+
+def class_scorer(weights: np.ndarray, bias: np.ndarray):
+    """A UDF of vectors: the chances of each class, by a linear layer and softmax."""
+    from pyspark.sql.types import ArrayType
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def score(x: pd.Series) -> pd.Series:
+        z = np.stack(x.to_numpy()).astype(float) @ weights + bias if len(x) else np.zeros((0, len(bias)))
+        p = np.exp(z - z.max(1, keepdims=True)) if len(x) else z
+        return pd.Series(list(p / p.sum(1, keepdims=True)) if len(x) else [], dtype=object)
+
+    return score

@@ -100,34 +100,70 @@ def probe_scores(model, df: DataFrame, vector: str, name: str = "yhat") -> DataF
     return scored.drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def invariant_probe(df: DataFrame, features: tuple[str, ...], y: str, env: str, penalty: float = 1.0, rounds: int = 30, rate: float = 1.0) -> list[float]:
-    """Logistic weights (bias last) that make the mean loss of environments, and
-    ``penalty`` times its variance among them, small. A round is one aggregation
-    that sums losses and gradients by environment."""
-    w = [0.0] * (len(features) + 1)
+def invariant_probe(df: DataFrame, features: tuple[str, ...], y: str, env: str, penalty: float = 1.0, rounds: int = 30, rate: float = 1.0, kind: str = "variance", tries: int = 2) -> list[float]:
+    """Logistic weights (bias last) that make small the mean loss of environments and
+    ``penalty`` times what differs among them: the variance of their losses, or, with
+    ``kind`` irm, the square of each one's slope in a common scale of the logits.
+
+    A round is one aggregation that sums losses and slopes by environment; the weights
+    of the best round are kept. A run whose last loss is above its first is tried again,
+    up to ``tries`` times, at a third of the rate.
+    """
+    if kind not in ("variance", "irm"):
+        raise ValueError(f"unknown penalty {kind!r}")
     rows = df.where(F.col(y).isNotNull()).select(F.col(env).alias("e"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).cache()
+
+    def summed(w: list[float]) -> tuple[float, list[float]]:
+        x = [*[F.col(c) for c in features], F.lit(1.0)]
+        logit = sum((F.lit(a) * c for a, c in zip(w, x)), F.lit(0.0))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+        safe = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+        loss = -(F.col("y") * F.log(safe) + (1 - F.col("y")) * F.log(1 - safe))
+        off = p - F.col("y")
+        # the slope of the loss in a factor of the logits, and how it moves with each weight
+        turn = [F.avg(c * (off + p * (1 - p) * logit)).alias(f"t{i}") for i, c in enumerate(x)]
+        sums = rows.groupBy("e").agg(F.avg(loss).alias("loss"), F.avg(off * logit).alias("s"), *[F.avg(off * c).alias(f"g{i}") for i, c in enumerate(x)], *turn).collect()
+        mean, at = sum(s["loss"] for s in sums) / len(sums), range(len(w))
+        if kind == "irm":
+            total = mean + penalty * sum(s["s"] ** 2 for s in sums) / len(sums)
+            return total, [sum(s[f"g{i}"] + 2 * penalty * s["s"] * s[f"t{i}"] for s in sums) / len(sums) for i in at]
+        total = mean + penalty * sum((s["loss"] - mean) ** 2 for s in sums) / len(sums)
+        return total, [sum((1 + 2 * penalty * (s["loss"] - mean)) * s[f"g{i}"] for s in sums) / len(sums) for i in at]
+
     try:
-        for _ in range(rounds):
-            logit = sum((F.lit(w[i]) * F.col(c) for i, c in enumerate(features)), F.lit(w[-1]))
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
-            safe = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-            loss = -(F.col("y") * F.log(safe) + (1 - F.col("y")) * F.log(1 - safe))
-            slopes = [F.avg((p - F.col("y")) * F.col(c)) for c in features] + [F.avg(p - F.col("y"))]
-            sums = rows.groupBy("e").agg(F.avg(loss).alias("loss"), *[g.alias(f"g{i}") for i, g in enumerate(slopes)]).collect()
-            mean = sum(s["loss"] for s in sums) / len(sums)
-            grad = [sum((1 + 2 * penalty * (s["loss"] - mean)) * s[f"g{i}"] for s in sums) / len(sums) for i in range(len(w))]
-            w = [a - rate * g for a, g in zip(w, grad)]
+        for _ in range(tries + 1):
+            w, seen = [0.0] * (len(features) + 1), []
+            for _ in range(rounds):
+                total, grad = summed(w)
+                seen.append((total, w))
+                w = [a - rate * g for a, g in zip(w, grad)]
+            seen.append((summed(w)[0], w))
+            if seen[-1][0] <= seen[0][0]:
+                break
+            rate /= 3
     finally:
         rows.unpersist()
-    return w
+    return min(seen, key=lambda x: x[0])[1]
 
 
-def mixed_up(df: DataFrame, vector: str, y: str, share: float, seed: int) -> DataFrame:
-    """Each row mixed with another of the same hash bucket: x and y move ``share``
-    of the way to their partner's."""
+def mixed_up(df: DataFrame, vector: str, y: str, share: float, seed: int, unit: str = "frame_idx") -> DataFrame:
+    """Each row mixed with the next one, by a hash of ``unit``, of the same of 256
+    buckets: x and y move ``share`` of the way to their partner's; the last of a bucket
+    stays."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), vector), F.lit(64))).orderBy(F.xxhash64(F.lit(seed + 1), vector))
+    from .resample import hash_order
+
+    w = Window.partitionBy(F.substring(hash_order(unit, seed=seed), 1, 2)).orderBy(hash_order(unit, seed=seed + 1), unit)
     rows = df.withColumns({"_x": F.coalesce(F.lead(vector).over(w), F.col(vector)), "_y": F.coalesce(F.lead(y).over(w), F.col(y))})
     mixed = F.zip_with(vector, "_x", lambda a, b: a * (1 - share) + b * share)
     return rows.withColumns({vector: mixed, y: F.col(y) * (1 - share) + F.col("_y") * share}).drop("_x", "_y")
+
+
+def two_pass(df: DataFrame, fit, loss, is_val: str, epochs: tuple[int, ...]) -> tuple[int, object]:
+    """The number of epochs with the least loss on validation rows of a model fitted to
+    the others, and a model fitted to all rows with it. ``fit(rows, epochs)`` gives a
+    model, ``loss(model, rows)`` a number."""
+    train, val = df.where(~F.col(is_val)), df.where(is_val)
+    best = min(epochs, key=lambda n: (loss(fit(train, n), val), n))
+    return best, fit(df, best)

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import normal_two_sided, with_places
+from .folds import fold
+
 
 def hash_order(*columns: str, seed: int | str = 0) -> Column:
     """A pseudo-random order that other engines can repeat."""
@@ -39,13 +42,25 @@ def anova(df: DataFrame, value: str, arm: str, by: tuple[str, ...] = ()) -> Data
 
 
 def permuted(df: DataFrame, unit: str, arm: str, n: int, seed: int = 0, blocks: tuple[str, ...] = ()) -> DataFrame:
-    """``n`` copies of ``df`` with the arms dealt anew (within blocks): the k-th row
-    in one random order gets the arm of the k-th row in the units' own order."""
-    rows = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    per = Window.partitionBy("_rep", *blocks)
-    shuffled = rows.withColumn("_k", F.row_number().over(per.orderBy(F.xxhash64(F.lit(seed), "_rep", unit), unit)))
-    given = rows.withColumn("_k", F.row_number().over(per.orderBy(unit))).select("_rep", *blocks, "_k", F.col(arm).alias("_arm"))
-    return shuffled.join(given, ["_rep", *blocks, "_k"]).withColumn(arm, F.col("_arm")).drop("_arm", "_k")
+    """``n`` copies of ``df`` with the arms dealt anew (within blocks): in a random
+    order of the units, the first ones get the first arm, as many as have it, and so
+    on. Places are found in the 256 buckets of each order's hash, whose counts are
+    added up apart, so a replicate is never sorted in one task."""
+    rows = df.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_h", hash_order("_rep", unit, seed=seed))
+    rows = rows.withColumn("_bucket", F.substring("_h", 1, 2))
+    own = ["_rep", *blocks]
+    counts = rows.groupBy(*own, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*own).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lower = counts.select(*own, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lower"))
+    place = F.row_number().over(Window.partitionBy(*own, "_bucket").orderBy("_h", unit))
+    placed = rows.withColumn("_k", place).join(lower, [*own, "_bucket"]).withColumn("_k", F.col("_k") + F.col("_lower"))
+    # how many units the arms up to each have; arms are few
+    arms = df.groupBy(*blocks, arm).agg(F.count(F.lit(1)).alias("_n"))
+    upto = arms.select(*blocks, F.struct(F.sum("_n").over(Window.partitionBy(*blocks).orderBy(arm)).alias("upto"), F.col(arm).alias("arm")).alias("_a"))
+    line = upto.groupBy(*blocks).agg(F.array_sort(F.collect_list("_a")).alias("_arms"))
+    dealt = placed.join(line, list(blocks)) if blocks else placed.crossJoin(F.broadcast(line))  # one row
+    new = F.get(F.filter("_arms", lambda x: x["upto"] >= F.col("_k")), 0)["arm"]
+    return dealt.withColumn(arm, new).drop("_k", "_h", "_bucket", "_lower", "_arms")
 
 
 def permutation_anova(df: DataFrame, value: str, unit: str, arm: str, n: int = 200, seed: int = 0, blocks: tuple[str, ...] = ()) -> DataFrame:
@@ -74,10 +89,10 @@ def permutation_pairwise(df: DataFrame, value: str, unit: str, arm: str, n: int
 def bootstrap(df: DataFrame, value: str, unit: str, arm: str, n: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile intervals of the arms' means. Each row is drawn a Poisson(1) number
     of times in each replicate, from a hash: no draws need to be coordinated."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_rep", unit), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
     # the Poisson(1) distribution function up to 6, beyond which less than 1e-4 lies
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    times = sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
+    u = F.substring(hash_order("_rep", unit, seed=seed), 1, 8)
+    times = sum(((u >= f"{int(s * (1 << 32)):08x}").cast("int") for s in steps), F.lit(0))
     rows = df.where(F.col(value).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_n", times)
     means = rows.groupBy("_rep", arm).agg((F.sum(F.col("_n") * F.col(value)) / F.nullif(F.sum("_n"), F.lit(0))).alias("m"))
     low, high = (1 - level) / 2, (1 + level) / 2
@@ -126,12 +141,41 @@ def slice_rows(df: DataFrame, start: int, n: int, key: str = "obs", order: str =
 
 
 def min_gap(df: DataFrame, gap: int, key: str = "obs", order: str = "frame_idx") -> DataFrame:
-    """Greedily keeps rows that come at least ``gap`` after the last one kept. The
-    fold runs over each key's sorted positions, which are one number a row."""
-    nothing = F.array().cast("array<long>")
-    kept = F.aggregate(
-        F.array_sort(F.collect_set(F.col(order).cast("long"))),
-        nothing,
-        lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= gap), F.concat(a, F.array(x))).otherwise(a),
-    )
-    return df.groupBy(key).agg(kept.alias("_kept")).select(key, F.explode("_kept").alias(order))
+    """Greedily keeps rows that come at least ``gap`` after the last one kept; nulls
+    go, and of equal positions one stays."""
+
+    def begin():
+        last = None
+
+        def step(at):
+            nonlocal last
+            if last is not None and at - last < gap:
+                return ()
+            last = at
+            return ((),)
+
+        return step
+
+    rows = df.where(F.col(order).isNotNull()).select(key, F.col(order).cast("long").alias(order)).distinct()
+    return fold(rows, key, order, (), {}, begin)
+
+
+def mann_whitney(df: DataFrame, value: str, arm: str, first: object, second: object) -> DataFrame:
+    """Mann and Whitney's test of two arms, two-sided, by the normal distribution with
+    the variance corrected for ties and half a unit for continuity: n0, n1, u (of the
+    first), z and p. Null values take no part; all values equal give z null and p 1."""
+    two = df.where(F.col(arm).isin(first, second) & F.col(value).isNotNull()).select(F.col(value).alias("_v"), (F.col(arm) == first).alias("_first"))
+    # equal values are one row: a tie costs nothing, and no task ranks all rows
+    each = two.groupBy("_v").agg(F.count_if("_first").alias("_a"), F.count(F.lit(1)).alias("_n"))
+    placed = with_places(each, "_v", "_n")
+    n0, n1, n = F.sum("_a"), F.sum(F.col("_n") - F.col("_a")), F.sum("_n")
+    sums = placed.agg(
+        n0.alias("n0"), n1.alias("n1"), n.cast("double").alias("_all"), F.sum(F.col("_a") * (F.col("_before") + (F.col("_n") + 1) / 2.0)).alias("_ranks"),
+        F.sum(F.col("_n").cast("double") * (F.col("_n") * F.col("_n") - 1)).alias("_ties"),
+    )
+    u = F.col("_ranks") - F.col("n0") * (F.col("n0") + 1) / 2
+    far = F.col("u") - F.col("n0") * F.col("n1") / 2
+    spread = F.col("n0") * F.col("n1") / 12.0 * (F.col("_all") + 1 - F.col("_ties") / (F.col("_all") * (F.col("_all") - 1)))
+    out = sums.where("n0 > 0 and n1 > 0").withColumn("u", u)
+    out = out.withColumn("z", F.signum(far) * F.greatest(F.abs(far) - 0.5, F.lit(0.0)) / F.sqrt(F.nullif(spread, F.lit(0.0))))
+    return out.withColumn("p", F.coalesce(normal_two_sided(F.col("z")), F.lit(1.0))).select("n0", "n1", "u", "z", "p")

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import effects
+from . import effects, meta
 
 #: Estimators by name: (observations, value, arm, control, treated, covariates) -> table.
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {
     "ead": lambda df, y, arm, c, t, w: effects.difference_in_means(df.where(F.col(arm).isin(c, t)), y, arm),
     "welch": lambda df, y, arm, c, t, w: effects.matrix(df.where(F.col(arm).isin(c, t)), y, arm),
     "aipw": lambda df, y, arm, c, t, w: effects.doubly_robust(df, y, arm, c, t, w[0]),
+    "aipw_forest": meta.aipw_forest,
+    "s_learner": meta.s_learner,
+    "t_learner": meta.t_learner,
+    "x_learner": meta.x_learner,
+    "dr_learner": meta.dr_learner,
 }
 
 
@@ -44,6 +49,46 @@ def bound_grid(points: DataFrame, value: str, target: str, lows: tuple[float, ..
     return rows.withColumn("f1", 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)))
 
 
+def two_stage_bounds(points: DataFrame, value: str, target: str, lows: tuple[float, ...], highs: tuple[float, ...], floor: float = 0.0, points_each: int = 9) -> DataFrame:
+    """The best bounds of a coarse grid, then of a finer one between its neighbours;
+    ``floor`` is the least that a lower bound may be. One row, or none without a
+    target."""
+    for stage in range(2):
+        rows = bound_grid(points, value, target, tuple(x for x in lows if x >= floor), highs).where("f1 is not null").orderBy(F.desc("f1"), "low", "high").limit(1)
+        found = rows.collect()
+        if not found or stage:
+            return rows
+
+        def near(grid: tuple[float, ...], best: float) -> tuple[float, ...]:
+            grid = sorted(grid)
+            at = grid.index(best)
+            a, b = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+            return tuple(sorted({a + (b - a) * k / (points_each - 1) for k in range(points_each)} | {best}))
+
+        lows, highs = near(lows, found[0]["low"]), near(highs, found[0]["high"])
+    return rows
+
+
+def suite(observations: DataFrame, value: str, arm: str = "T", control: object | None = None) -> DataFrame:
+    """All tests of one outcome: the overall F, and each pair of arms (or each arm
+    against ``control``) by Welch, with p and p after Holm. Rows: test, t0, t1, effect,
+    statistic, df, p, p_holm."""
+    from ..functions.stats import f_tail
+    from . import multiplicity
+    from .resample import anova
+
+    each = effects.versus_control(observations, value, control, arm) if control is not None else effects.matrix(observations, value, arm)
+    each = effects.with_p(each, sides=2).withColumn("_id", F.concat_ws("|", F.col("t0").cast("string"), F.col("t1").cast("string")))
+    each = multiplicity.holm(each, "p", "_id")
+    none = F.lit(None)
+    overall = anova(observations, value, arm).select(
+        F.lit("anova").alias("test"), none.cast("string").alias("t0"), none.cast("string").alias("t1"), none.cast("double").alias("effect"), F.col("f").alias("statistic"),
+        F.col("df2").cast("double").alias("df"), f_tail(F.col("f"), F.col("df1"), F.col("df2")).alias("p"), none.cast("double").alias("p_holm"),
+    )
+    pairs = each.select(F.lit("welch").alias("test"), F.col("t0").cast("string").alias("t0"), F.col("t1").cast("string").alias("t1"), F.col("ate").alias("effect"), F.col("t").alias("statistic"), "df", "p", "p_holm")
+    return overall.unionByName(pairs)
+
+
 def near_best(df: DataFrame, score: str, share: float, most: int, *tie: Column) -> DataFrame:
     """Rows within ``share`` of the best score, at most ``most`` of them."""
     best = df.agg(F.max(score).alias("_best"))

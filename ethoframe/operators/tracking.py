@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from .folds import fold
+
+#: The animals, in the order in which marks claim blobs; the last one has no mark.
+ANIMALS = ("blue", "yellow", "focal")
 
 
 def proximity(n_blobs: Column, gap: Column, near: float) -> Column:
@@ -24,61 +26,101 @@ def with_proximity(df: DataFrame, near: float) -> DataFrame:
     return df.withColumns({"B2F": proximity(F.col("n_blobs"), gap("blue"), near), "Y2F": proximity(F.col("n_blobs"), gap("yellow"), near)})
 
 
+def held(raw: tuple | None, last: tuple, body: tuple, longest: float) -> tuple:
+    """A mark's next place: the raw detection if there is one; else the last place
+    while it lies within ``longest`` of the body; else the body itself."""
+    if raw is not None:
+        return raw
+    return last if math.dist(last, body) <= longest else body
+
+
 def leash(df: DataFrame, longest: float, key: str = "obs", order: str = "frame_idx") -> DataFrame:
-    """The mark of each frame: the raw detection if there is one; else the previous
-    mark while it lies within ``longest`` of the body; else the body itself. Before
-    any detection the body stands in."""
-    step = F.struct(F.col(order).alias("k"), F.col("raw_x").cast("double").alias("rx"), F.col("raw_y").cast("double").alias("ry"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-
-    def follow(marks: Column, s: Column) -> Column:
-        last = F.get(marks, F.size(marks) - 1)
-        stays = distance(last["mx"], last["my"], s["x"], s["y"]) <= longest
-        mx = F.when(s["rx"].isNotNull(), s["rx"]).when(stays, last["mx"]).otherwise(s["x"])
-        my = F.when(s["rx"].isNotNull(), s["ry"]).when(stays, last["my"]).otherwise(s["y"])
-        return F.concat(marks, F.array(F.struct(s["k"].alias("k"), mx.alias("mx"), my.alias("my"))))
-
-    start = F.array().cast(f"array<struct<k:{dict(df.dtypes)[order]},mx:double,my:double>>")
-    marks = F.aggregate(F.array_sort(F.collect_list(step)), start, follow)
-    rows = df.groupBy(key).agg(marks.alias("_m")).select(key, F.explode("_m").alias("m"))
-    return rows.select(key, F.col("m.k").alias(order), F.col("m.mx").alias("mark_x"), F.col("m.my").alias("mark_y"))
-
-
-def track(detections: DataFrame, animals: tuple[str, ...] = ("blue", "yellow", "focal"), longest: float = 100.0, key: str = "obs") -> DataFrame:
-    """Identities through an observation's frames: (key, frame_idx, animal, x, y).
-
-    ``detections`` has one row a frame with xs and ys of its blobs. Each animal goes
-    to the blob that makes the sum of squared steps least (several may share one when
-    blobs are fewer); without blobs, or beyond ``longest``, it stays where it was.
-    State is the last positions alone; an observation's frames are read in order.
+    """The mark of each frame (raw_x, raw_y, x, y), held as by ``held``. Before any
+    detection the body stands in. Null bodies are taken as out of reach."""
+
+    def begin():
+        last = None
+
+        def step(_, rx, ry, x, y):
+            nonlocal last
+            body = (math.inf if x is None else x, math.inf if y is None else y)
+            last = held(None if rx is None else (rx, ry), last or body, body, longest)
+            return ((None if v is not None and math.isinf(v) else v for v in last),)
+
+        return step
+
+    doubles = [F.col(c).cast("double").alias(c) for c in ("raw_x", "raw_y", "x", "y")]
+    return fold(df.select(key, order, *doubles), key, order, ("raw_x", "raw_y", "x", "y"), {"mark_x": "double", "mark_y": "double"}, begin)
+
+
+def assign(slots: list[tuple], claims: dict[str, int], last: dict[str, tuple]) -> dict[str, tuple]:
+    """Each animal's slot: a marked animal takes the first free one of its blob, the
+    others take, nearest pair of slot and last place first, what is left; an animal for
+    whom nothing is left stays where it was. ``slots``: (blob, place) of each."""
+    free, out = dict(enumerate(slots)), {}
+    for animal in ANIMALS[:-1]:
+        own = next((k for k, (blob, _) in free.items() if blob == claims.get(animal)), None)
+        if own is not None:
+            out[animal] = free.pop(own)[1]
+    open_ = [a for a in ANIMALS if a not in out]
+    near = sorted((math.dist(place, last[a]), k, i) for k, (_, place) in free.items() for i, a in enumerate(open_))
+    for _, k, i in near:
+        if k in free and open_[i] not in out:
+            out[open_[i]] = free.pop(k)[1]
+    return {a: out.get(a, last[a]) for a in ANIMALS}
+
+
+def track(detections: DataFrame, width: float = 400.0, height: float = 300.0, longest: float = 100.0, scan: int = 300, key: str = "obs") -> DataFrame:
+    """Identities through an observation's frames: (key, frame_idx, animal, x, y,
+    mark_x, mark_y), one row for each animal.
+
+    ``detections`` has a row for each frame: ``xs`` and ``ys`` of its blobs, and where
+    marks were seen ``blue_blob`` and ``yellow_blob`` (the marked blob, from 0) with
+    ``blue_x``, ``blue_y``, ``yellow_x``, ``yellow_y``; ``sizes`` (animals in each
+    blob) if blobs may be merged. Missing columns count as never seen, sizes as 1.
+    Blobs go to animals as by ``assign``, marks follow as by ``held``. The first marks
+    are those of the first of ``scan`` frames that shows both; without one, and up to
+    it, places on the frame's diagonal stand in. State is the last marks alone, and the
+    frames of the scan, which wait for its end.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        state: np.ndarray | None = None
-        rows = []
-        for frame, xs, ys in zip(pdf["frame_idx"], pdf["xs"], pdf["ys"]):
-            blobs = np.column_stack([xs, ys]) if len(xs) else np.zeros((0, 2))
-            if state is None and len(blobs):
-                state = blobs[np.arange(len(animals)) % len(blobs)].astype(float)
-            elif state is not None and len(blobs):
-                state = step(state, blobs, longest)
-            if state is not None:
-                rows += [(pdf[key].iloc[0], frame, a, *state[i]) for i, a in enumerate(animals)]
-        return pd.DataFrame(rows, columns=[key, "frame_idx", "animal", "x", "y"])
-
-    kind = dict(detections.dtypes)[key]
-    return detections.groupBy(key).applyInPandas(run, f"{key} {kind}, frame_idx long, animal string, x double, y double")
-
-
-def step(state: np.ndarray, blobs: np.ndarray, longest: float) -> np.ndarray:
-    """The next positions."""
-    squares = ((state[:, None, :] - blobs[None, :, :]) ** 2).sum(2)
-    n, m = squares.shape
-    if m >= n and m <= 6:
-        # few enough to try all
-        best = min(permutations(range(m), n), key=lambda p: sum(squares[i, j] for i, j in enumerate(p)))
-    else:
-        best = squares.argmin(1)
-    moved = blobs[np.asarray(best)].astype(float)
-    near = squares[np.arange(n), np.asarray(best)] <= longest**2
-    return np.where(near[:, None], moved, state)
+    types = {"xs": "array<double>", "ys": "array<double>", "sizes": "array<int>", "blue_blob": "int", "yellow_blob": "int", "blue_x": "double", "blue_y": "double", "yellow_x": "double", "yellow_y": "double"}
+    rows = detections.select(key, "frame_idx", *[(F.col(c) if c in detections.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    plain = {a: (width * q, height * q) for a, q in zip(ANIMALS, (0.25, 0.5, 0.75))}
+    made = {"frame": rows.schema["frame_idx"].dataType.simpleString(), "animal": "string", "x": "double", "y": "double", "mark_x": "double", "mark_y": "double"}
+    # the end of each observation is a row too: it lets the waiting frames go
+    ends = rows.groupBy(key).agg((F.max("frame_idx") + 1).cast(made["frame"]).alias("frame_idx")).withColumn("last", F.lit(True))
+    rows = rows.withColumn("last", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+
+    def begin():
+        marks, waiting, seen = None, [], 0
+
+        def placed(frame, xs, ys, sizes, blue, yellow, bx, by, yx, yy):
+            nonlocal marks
+            slots = [(b, p) for b, (p, n) in enumerate(zip(zip(xs or (), ys or ()), sizes or [1] * len(xs or ()))) for _ in range(n)]
+            at = assign(slots, {"blue": blue, "yellow": yellow}, marks)
+            raw = {"blue": None if bx is None else (bx, by), "yellow": None if yx is None else (yx, yy)}
+            marks = {a: held(raw[a], marks[a], at[a], longest) for a in ANIMALS[:-1]} | {"focal": at["focal"]}
+            return [(frame, a, *at[a], *marks[a]) for a in ANIMALS]
+
+        def step(frame, *row):
+            nonlocal marks, seen
+            *row, last = row
+            if marks is not None:
+                return [] if last else placed(frame, *row)
+            if not last:
+                waiting.append((frame, *row))
+                seen += 1
+            both = not last and row[5] is not None and row[7] is not None
+            if not (both or last or seen == scan):
+                return []
+            marks = plain
+            if both:
+                # the focal animal starts where this frame has it
+                focal = assign([(b, p) for b, (p, n) in enumerate(zip(zip(row[0] or (), row[1] or ()), row[2] or [1] * len(row[0] or ()))) for _ in range(n)], {"blue": row[3], "yellow": row[4]}, plain)["focal"]
+                marks = {"blue": (row[5], row[6]), "yellow": (row[7], row[8]), "focal": focal}
+            return [made for w in waiting for made in placed(*w)]
+
+        return step
+
+    out = fold(rows, key, "frame_idx", (*types, "last"), made, begin)
+    return out.select(key, F.col("frame").alias("frame_idx"), "animal", "x", "y", "mark_x", "mark_y")

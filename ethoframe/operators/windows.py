@@ -62,9 +62,17 @@ def cumulative_minutes(df: DataFrame, value: str, arm: str, minute: str = "minut
     rows up to that minute. Observations keep their last mean in minutes without
     rows; before their first row they don't count."""
     per = df.groupBy(key, arm, minute).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    grid = df.select(minute).distinct()
-    spans = per.groupBy(key, arm).agg(F.min(minute).alias("first"))
-    full = spans.join(grid, grid[minute] >= spans["first"]).select(key, arm, minute)
-    upto = Window.partitionBy(key, arm).orderBy(minute).rowsBetween(Window.unboundedPreceding, 0)
-    run = full.join(per, [key, arm, minute], "left").withColumn("so_far", F.sum("s").over(upto) / F.nullif(F.sum("n").over(upto), F.lit(0)))
-    return run.groupBy(arm, minute).agg(F.avg("so_far").alias("mean"), F.count("so_far").alias("n_obs"))
+    upto = Window.partitionBy(key, arm).orderBy(minute)
+    mean = F.sum("s").over(upto) / F.nullif(F.sum("n").over(upto), F.lit(0))
+    # a mean only changes in minutes with rows: an arm's sum of means is the running
+    # sum of its observations' changes, so minutes without rows are never made
+    run = per.withColumn("_mean", mean).withColumn("_last", F.lag("_mean").over(upto))
+    change = F.coalesce("_mean", F.lit(0.0)) - F.coalesce("_last", F.lit(0.0))
+    new = F.count_if(F.col("_mean").isNotNull() & F.col("_last").isNull())
+    moved = run.groupBy(arm, minute).agg(F.sum(change).alias("_c"), new.alias("_new"))
+    # every arm has every minute of the clock from its first on
+    clock = moved.select(minute).distinct().crossJoin(F.broadcast(moved.agg(F.collect_set(arm).alias("_arms"))))  # one row
+    grid = clock.select(F.explode("_arms").alias(arm), minute)
+    so_far = Window.partitionBy(arm).orderBy(minute)
+    full = grid.join(moved, [arm, minute], "left").withColumns({"_n": F.sum("_new").over(so_far), "_s": F.sum("_c").over(so_far)})
+    return full.where("_n is not null").select(arm, minute, (F.col("_s") / F.nullif("_n", F.lit(0))).alias("mean"), F.col("_n").alias("n_obs"))

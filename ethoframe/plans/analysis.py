@@ -11,7 +11,7 @@ from ..functions.stats import with_average_rank
 from ..operators import aggregate, effects, learn, metrics, multiplicity, resample, tracking, windows
 from ..sources.tables import table
 from . import views as V
-from .frames import _OBS, r6
+from .frames import _OBS, _clamped, r6, t_area
 
 PAIRS = {"Y_a": "Yhat_a", "Y_b": "Yhat_b"}
 
@@ -92,12 +92,12 @@ def anova_f(spark, d):
 
 
 def permutation_anova(spark, d):
-    rows = _obs(spark, d).select("obs", "T", "Yhat_b").where("obs < 600")
+    rows = _obs(spark, d).select("obs", "T", "Yhat_b")
     return rounded(resample.permutation_anova(rows, "Yhat_b", "obs", "T", 200, 7))
 
 
 def permutation_pairwise(spark, d):
-    rows = _obs(spark, d).select("obs", "T", "Yhat_b").where("obs < 600")
+    rows = _obs(spark, d).select("obs", "T", "Yhat_b")
     return rounded(resample.permutation_pairwise(rows, "Yhat_b", "obs", "T", 200, 7), "t0", "t1")
 
 
@@ -106,16 +106,13 @@ def bootstrap_ci(spark, d):
 
 
 def mann_whitney_u(spark, d):
-    two = _obs(spark, d).where(F.col("T").isin("BUILDING", "MACHINERY"))
-    ranked = with_average_rank(two, "Yhat_b", "r")
-    first = F.col("T") == "BUILDING"
-    rows = ranked.agg(
-        F.count_if(first).alias("n0"), F.count_if(~first).alias("n1"), F.sum(F.when(first, F.col("r"))).alias("r0")
-    )
-    u = F.col("r0") - F.col("n0") * (F.col("n0") + 1) / 2
-    mean = F.col("n0") * F.col("n1") / 2
-    z = (u - mean) / F.sqrt(F.col("n0") * F.col("n1") * (F.col("n0") + F.col("n1") + 1) / 12)
-    return rounded(rows.select("n0", "n1", u.alias("u"), z.alias("z")))
+    return rounded(resample.mann_whitney(_obs(spark, d), "Yhat_b", "T", "BUILDING", "MACHINERY"))
+
+
+def mann_whitney_ties(spark, d):
+    """Of a value with many ties: an observation's count of large orders."""
+    rows = V.frames_orders(spark, d).groupBy("obs", "T").agg(F.sum("Y_b").alias("y"))
+    return rounded(resample.mann_whitney(rows, "y", "T", "BUILDING", "MACHINERY"))
 
 
 def confusion_metrics(spark, d):
@@ -267,7 +264,7 @@ def grid_configs(spark, d):
 
 
 def percentile_background(spark, d):
-    e = V.vectors(spark, d).select("label", F.posexplode("x").alias("dim", "v")).where("dim < 8")
+    e = V.vectors(spark, d).select("label", F.posexplode("x").alias("dim", "v"))
     return e.groupBy("label", "dim").agg(r6(F.percentile("v", F.lit(0.85)), "background"), r6(F.percentile("v", F.lit(0.05)), "low"))
 
 
@@ -283,6 +280,11 @@ def survival_2d(spark, d):
     return rows.select("s", "v", F.sum("_a").over(Window.partitionBy("s").orderBy(F.desc("v")).rowsBetween(down, 0)).alias("n_at_least"))
 
 
+def temperature_search(spark, d):
+    f = V.frames_orders(spark, d).where("Y_a is not null").withColumn("logit", F.log(F.col("Yhat_a") / (1 - F.col("Yhat_a"))))
+    return rounded(learn.temperature(f, "Y_a", "logit").select("loss"), digits=5)
+
+
 def temperature_grid(spark, d):
     f = V.frames_orders(spark, d).where("Y_a is not null").withColumn("logit", F.log(F.col("Yhat_a") / (1 - F.col("Yhat_a"))))
     return rounded(learn.temperature_grid(f, "Y_a", "logit", (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)), "temperature")
@@ -295,17 +297,23 @@ def linear_probe_scores(spark, d):
     return rounded(learn.linear_scores(V.vectors(spark, d), "x", _W, 0.1).select("frame_idx", "score"), "frame_idx")
 
 
-def mlp_scores_udf(spark, d):
+def _mlp_layers():
     rng = np.random.default_rng(0)
-    layers = [(rng.normal(0, 0.3, (64, 16)), np.zeros(16)), (rng.normal(0, 0.3, (16, 1)), np.zeros(1))]
-    return V.vectors(spark, d).select("frame_idx", r6(learn.mlp_scorer(layers)("x"), "score"))
+    return [(rng.normal(0, 0.3, (64, 16)), np.zeros(16)), (rng.normal(0, 0.3, (16, 1)), np.zeros(1))]
 
 
-def attention_pool_udf(spark, d):
+def mlp_scores_udf(spark, d):
+    return V.vectors(spark, d).select("frame_idx", r6(learn.mlp_scorer(_mlp_layers())("x"), "score"))
+
+
+def _attention():
     rng = np.random.default_rng(1)
-    q, k, v = rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, (64, 64))
+    return rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, (64, 64)), rng.normal(0, 0.3, 64)
+
+
+def attention_pool_udf(spark, d):
     rows = windows.context_rows(V.vectors(spark, d), "x", 2)
-    return rows.select("frame_idx", r6(learn.attention_scorer(q, k, v, rng.normal(0, 0.3, 64))("context"), "score"))
+    return rows.select("frame_idx", r6(learn.attention_scorer(*_attention())("context"), "score"))
 
 
 def min_gap_dedupe(spark, d):
@@ -332,8 +340,12 @@ def proximity_flags(spark, d):
 
 
 def identity_fold(spark, d):
-    b = _bodies(spark, d)
-    blobs = b.select("obs", "frame_idx", F.array("x", F.col("x") + 40, F.col("x") - 60).alias("xs"), F.array("y", F.col("y") + 10, F.col("y") - 20).alias("ys"))
+    e = F.col("obs") * 31 + F.col("frame_idx")
+    blobs = _bodies(spark, d).select(
+        "obs", "frame_idx", F.array("x", F.col("x") + 40, F.col("x") - 60).alias("xs"), F.array("y", F.col("y") + 10, F.col("y") - 20).alias("ys"),
+        F.when(e % 5 == 0, 0).alias("blue_blob"), F.when(e % 5 == 0, F.col("x")).alias("blue_x"), F.when(e % 5 == 0, F.col("y")).alias("blue_y"),
+        F.when(e % 3 == 0, 1).alias("yellow_blob"), F.when(e % 3 == 0, F.col("x") + 40).alias("yellow_x"), F.when(e % 3 == 0, F.col("y") + 10).alias("yellow_y"),
+    )
     return tracking.track(blobs)
 
 
@@ -389,10 +401,10 @@ def training_diagnostics(spark, d):
 QUERIES = {f.__name__: f for f in (
     ead_all_pairs, ead_pvalues, teb_all_pairs, teb_average, ate_matrix_welch, ate_matrix_pvalues, ate_versus_control, paired_phase_change,
     genotype_contrast_grouping_sets, interaction_did, aipw_cellmean, holm, bh, anova_f, permutation_anova, permutation_pairwise, bootstrap_ci,
-    mann_whitney_u, confusion_metrics, metrics_by_treatment, macro_metrics, micro_macro, continuous_metrics, multiclass_bacc, always_zero,
+    mann_whitney_u, mann_whitney_ties, confusion_metrics, metrics_by_treatment, macro_metrics, micro_macro, continuous_metrics, multiclass_bacc, always_zero,
     rater_agreement, worst_pair, noise_bound, mixed_bound, agreement_matrix, disagreement_tags, spearman_overall, spearman_by_condition, env_ids,
     derm_weights, class_weights, label_encode, concat_datasets, topk_leaderboard, stratified_topn, stratified_sample, round_robin_sample,
-    best_by_priority, val_split_by_obs, negative_sampling, grid_configs, percentile_background, survival_2d, temperature_grid,
+    best_by_priority, val_split_by_obs, negative_sampling, grid_configs, percentile_background, survival_2d, temperature_grid, temperature_search,
     linear_probe_scores, mlp_scores_udf, attention_pool_udf, min_gap_dedupe, leash_fold, proximity_flags, identity_fold, detection_rates,
     embedding_frame_quality, file_stats, evenly_spaced_frames, offset_limit_slice, error_rows, training_diagnostics,
 )}
@@ -451,6 +463,32 @@ s AS (SELECT * FROM oa WHERE y IS NOT NULL)"""
 _FO = V.with_views("frames_orders")
 _EV = V.with_views("ev")
 _BODY = _EV + """, b AS (SELECT obs, frame_idx, (event_id * 37 % 400)::DOUBLE AS x, (event_id * 53 % 300)::DOUBLE AS y, event_id % 3 = 0 AS seen FROM ev)"""
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+_PERMUTED = """k AS (SELECT rep, Yhat_b, row_number() OVER (PARTITION BY rep ORDER BY md5('7|' || rep || '|' || obs), obs) AS k FROM o, range(1, 201) AS g(rep)),
+c AS (SELECT "T", sum(count(*)) OVER (ORDER BY "T") AS upto FROM o GROUP BY "T"), b AS (SELECT "T", upto, lag(upto, 1, 0) OVER (ORDER BY "T") AS below FROM c),
+dealt AS (SELECT rep, b."T", Yhat_b FROM k JOIN b ON k > below AND k <= upto)"""
+_F_OF = """{name}_a AS (SELECT rep, count(*) AS n, avg(Yhat_b) AS m, sum(Yhat_b) AS s, var_pop(Yhat_b) * count(*) AS w FROM {source} GROUP BY rep, "T"),
+{name}_g AS (SELECT *, sum(s) OVER (PARTITION BY rep) / sum(n) OVER (PARTITION BY rep) AS g FROM {name}_a),
+{name} AS (SELECT rep, (sum(n * (m - g) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f, (count(*) - 1)::BIGINT AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM {name}_g GROUP BY rep)"""
+# the normal tail by its series: (2k + 1)!! from the gamma function
+_MANN = """w AS (SELECT "T" = 'BUILDING' AS f, y FROM m WHERE "T" IN ('BUILDING', 'MACHINERY') AND y IS NOT NULL),
+k AS (SELECT f, y, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS r FROM w),
+t AS (SELECT sum(n::DOUBLE * (n::DOUBLE * n - 1)) AS ties FROM (SELECT count(*) AS n FROM w GROUP BY y)),
+s AS (SELECT count(*) FILTER (WHERE f) AS n0, count(*) FILTER (WHERE NOT f) AS n1, count(*)::DOUBLE AS n, sum(r) FILTER (WHERE f) AS ranks FROM k),
+z AS (SELECT n0, n1, ranks - n0 * (n0 + 1) / 2 AS u, u - n0 * n1 / 2 AS far, sign(far) * greatest(abs(far) - 0.5::DOUBLE, 0) / sqrt(n0 * n1 / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)))) AS z FROM s, t)
+SELECT n0, n1, round(u, 6) AS u, round(z, 6) AS z, round(CASE WHEN z = 0 THEN 1 ELSE 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200),
+  lambda i: exp((2 * i + 1) * ln(abs(z)) - (i + 1) * ln(2.0::DOUBLE) - lgamma(i + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi())))) END, 6) AS p FROM z"""
+
+
+def _numbers(x: np.ndarray) -> str:
+    """An array as a DuckDB list of doubles."""
+    return "[" + ", ".join(_numbers(v) if v.ndim else f"{float(v):.17e}" for v in x) + "]"
+
+
+_PROBE = _mlp_layers()
+_QUERY, _KEY, _VALUE, _OUT = _attention()
+_DOTS = "list_transform({m}, lambda w: list_dot_product({x}, w))"
+
 
 SQL = {
     "ead_all_pairs": f"""{_OBS}, {_ARMS.format('Y_b')},
@@ -479,9 +517,28 @@ SELECT count(*) AS n, round(avg(v), 6) AS ate, round(sqrt(var_samp(v) / count(*)
     "anova_f": f"""{_OBS}, a AS (SELECT count(*) AS n, avg(Yhat_b) AS m, sum(Yhat_b) AS s, var_pop(Yhat_b) * count(*) AS w FROM o GROUP BY "T"),
 g AS (SELECT sum(s) / sum(n) AS m FROM a)
 SELECT round((sum(n * (a.m - g.m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) AS f, (count(*) - 1)::BIGINT AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM a, g""",
-    "mann_whitney_u": f"""{_OBS}, s AS (SELECT "T", Yhat_b AS x, rank() OVER (ORDER BY Yhat_b) + (count(*) OVER (PARTITION BY Yhat_b) - 1) / 2.0 AS r FROM o WHERE "T" IN ('BUILDING', 'MACHINERY')),
-g AS (SELECT count(*) FILTER (WHERE "T" = 'BUILDING') AS n0, count(*) FILTER (WHERE "T" <> 'BUILDING') AS n1, sum(r) FILTER (WHERE "T" = 'BUILDING')::DOUBLE AS r0 FROM s)
-SELECT n0, n1, round(r0 - n0 * (n0 + 1) / 2, 6) AS u, round((r0 - n0 * (n0 + 1) / 2 - n0 * n1 / 2) / sqrt(n0 * n1 * (n0 + n1 + 1) / 12), 6) AS z FROM g""",
+    "mann_whitney_u": f"""{_OBS}, m AS (SELECT "T", Yhat_b AS y FROM o), {_MANN}""",
+    "mann_whitney_ties": f"""{_FO}, m AS (SELECT obs, "T", sum(Y_b) AS y FROM frames_orders GROUP BY ALL), {_MANN}""",
+    "ead_pvalues": f"""{_OBS}, {_ARMS.format('Y_b')},
+q AS (SELECT *, mean1 - mean0 AS ate, sqrt(((n0 - 1) * var0 + (n1 - 1) * var1) / (n0 + n1 - 1)) / sqrt(n0 + n1) AS e FROM p),
+r AS (SELECT t0, t1, ate, ate / nullif(e, 0) AS t, (n0 + n1 - 1)::DOUBLE AS df FROM q)
+SELECT t0, t1, round(ate, 6) AS ate, round(t, 6) AS t, df, round(0.5::DOUBLE - {t_area('abs(t)')}, 6) AS p FROM r""",
+    "ate_matrix_pvalues": f"""{_OBS}, {_ARMS.format('Yhat_b')},
+r AS (SELECT t0, t1, mean1 - mean0 AS ate, sqrt(var1 / n1 + var0 / n0) AS se, {_WELCH} AS t, {_WELCH_DF} AS df FROM p),
+s AS (SELECT *, 1 - 2 * {t_area('abs(t)')} AS p FROM r)
+SELECT t0, t1, round(ate, 6) AS ate, round(se, 6) AS se, round(t, 6) AS t, round(df, 6) AS df, round(p, 6) AS p,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS mark FROM s""",
+    "permutation_anova": f"""{_OBS}, {_PERMUTED}, {_F_OF.format(name='seen', source='(SELECT 0 AS rep, "T", Yhat_b FROM o)')}, {_F_OF.format(name='drawn', source='dealt')}
+SELECT round(s.f, 6) AS f, s.df1, s.df2, round((1 + count(*) FILTER (WHERE d.f >= s.f - 1e-12)) / 201.0::DOUBLE, 6) AS p, count(*) AS n_replicates FROM seen s, drawn d GROUP BY ALL""",
+    "permutation_pairwise": f"""{_OBS}, {_PERMUTED},
+a AS (SELECT 0 AS rep, "T", avg(Yhat_b) AS m FROM o GROUP BY "T" UNION ALL SELECT rep, "T", avg(Yhat_b) FROM dealt GROUP BY ALL),
+g AS (SELECT x.rep, x."T" AS t0, y."T" AS t1, y.m - x.m AS gap FROM a x JOIN a y ON x.rep = y.rep AND x."T" < y."T")
+SELECT s.t0, s.t1, round(s.gap, 6) AS gap, round((1 + count(*) FILTER (WHERE abs(d.gap) >= abs(s.gap) - 1e-12)) / 201.0::DOUBLE, 6) AS p
+FROM g s JOIN g d ON s.t0 = d.t0 AND s.t1 = d.t1 AND s.rep = 0 AND d.rep > 0 GROUP BY s.t0, s.t1, s.gap""",
+    "bootstrap_ci": f"""{_OBS}, r AS (SELECT rep, "T", Yhat_b, substr(md5('7|' || rep || '|' || obs), 1, 8) AS u FROM o, range(1, 201) AS g(rep) WHERE Yhat_b IS NOT NULL),
+w AS (SELECT rep, "T", Yhat_b, {' + '.join(f"(u >= '{int(x * (1 << 32)):08x}')::INT" for x in _POISSON)} AS n FROM r),
+m AS (SELECT rep, "T", sum(n * Yhat_b) / nullif(sum(n), 0) AS m FROM w GROUP BY ALL)
+SELECT "T", round(quantile_cont(m, 0.025), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY "T\"""",
     "confusion_metrics": f"{_FO}, {_LONG}, c AS (SELECT outcome, {_COUNTS} FROM l GROUP BY outcome) SELECT outcome, {_rates('0')} FROM c",
     "metrics_by_treatment": f"{_FO}, {_LONG}, c AS (SELECT \"T\", outcome, {_COUNTS} FROM l GROUP BY ALL) SELECT \"T\", outcome, {_rates('NULL')} FROM c",
     "macro_metrics": f"""{_FO}, {_LONG}, c AS (SELECT "T", outcome, {_COUNTS} FROM l GROUP BY ALL),
@@ -540,15 +597,30 @@ SELECT doc_id, toxic FROM t WHERE toxic > 0 UNION ALL SELECT doc_id, toxic FROM
 FROM (SELECT unnest([0, 1, 2]) AS layers), (SELECT unnest([0, 128, 512]) AS hidden), (SELECT unnest([0, 2, 4]) AS context), (SELECT unnest(['none', 'mean', 'concat']) AS mode), (SELECT unnest([0.001, 0.0003]) AS rate)
 WHERE (layers = 0) = (hidden = 0) AND (context = 0) = (mode = 'none')""",
     "percentile_background": f"""{V.with_views('vectors')}, e AS (SELECT label, unnest(range(0, 64))::INT AS dim, unnest(x) AS v FROM vectors)
-SELECT label, dim, round(quantile_cont(v, 0.85), 6) AS background, round(quantile_cont(v, 0.05), 6) AS low FROM e WHERE dim < 8 GROUP BY ALL""",
+SELECT label, dim, round(quantile_cont(v, 0.85), 6) AS background, round(quantile_cont(v, 0.05), 6) AS low FROM e GROUP BY ALL""",
     "survival_2d": """WITH l AS (SELECT floor(l_quantity / 5)::INT AS s, round(l_discount * 100)::INT AS v FROM lineitem),
 h AS (SELECT s, v, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT s FROM h), (SELECT DISTINCT v FROM h))
 SELECT g.s, g.v, coalesce(sum(h.n), 0)::BIGINT AS n_at_least FROM g LEFT JOIN h ON h.s >= g.s AND h.v >= g.v GROUP BY ALL""",
     "temperature_grid": f"""{_FO}, l AS (SELECT Y_a AS y, ln(Yhat_a / (1 - Yhat_a)) AS z FROM frames_orders WHERE Y_a IS NOT NULL),
 t AS (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS temperature), p AS (SELECT temperature, y, least(greatest(1 / (1 + exp(-z / temperature)), 1e-7), 1 - 1e-7) AS p FROM l, t)
 SELECT temperature, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS loss FROM p GROUP BY temperature""",
+    # the loss is nearly flat about its least: a grid of 2401 log temperatures finds it
+    "temperature_search": f"""{_FO}, l AS (SELECT Y_a AS y, ln(Yhat_a / (1 - Yhat_a)) AS z, count(*) AS n FROM frames_orders WHERE Y_a IS NOT NULL GROUP BY ALL),
+t AS (SELECT exp(i / 400.0::DOUBLE) AS temperature FROM range(-1200, 1201) AS g(i)),
+p AS (SELECT temperature, y, n, least(greatest(1 / (1 + exp(-z / temperature)), 1e-7), 1 - 1e-7) AS p FROM l, t),
+s AS (SELECT temperature, sum(n * -(y * ln(p) + (1 - y) * ln(1 - p))) / sum(n) AS loss FROM p GROUP BY temperature) SELECT round(min(loss), 5) AS loss FROM s""",
     "linear_probe_scores": f"""{V.with_views('vectors')}
 SELECT frame_idx, round(1 / (1 + exp(-(0.1 + list_sum(list_transform(range(1, 65), lambda i: x[i] * (((i - 1) * 37) % 11 - 5) / 10.0::DOUBLE))))), 6) AS score FROM vectors""",
+    "mlp_scores_udf": f"""{V.with_views('vectors')}, h AS (SELECT frame_idx, list_transform({_DOTS.format(m=_numbers(_PROBE[0][0].T), x='x')}, lambda v: greatest(v, 0)) AS h FROM vectors)
+SELECT frame_idx, round(1 / (1 + exp(-list_dot_product(h, {_numbers(_PROBE[1][0][:, 0])}))), 6) AS score FROM h""",
+    "attention_pool_udf": f"""{V.with_views('vectors')}, {_clamped('x', 'vectors', '', 2)},
+e AS (SELECT a.frame_idx, b.o, a.x AS middle, list_dot_product({_DOTS.format(m=_numbers(_QUERY.T), x='a.x')}, {_DOTS.format(m=_numbers(_KEY.T), x='b.v')}) / sqrt(8) AS logit,
+  {_DOTS.format(m=_numbers(_VALUE.T), x='b.v')} AS v FROM vectors a JOIN c b ON a.obs = b.obs AND a.frame_idx = b.frame_idx),
+s AS (SELECT frame_idx, middle, v, exp(logit) / sum(exp(logit)) OVER (PARTITION BY frame_idx) AS p FROM e),
+u AS (SELECT frame_idx, unnest(range(1, 65)) AS i, unnest(middle) AS m, unnest(v) * p AS v FROM s),
+h AS (SELECT frame_idx, i, any_value(m) + sum(v) AS h FROM u GROUP BY frame_idx, i),
+n AS (SELECT frame_idx, i, (h - avg(h) OVER w) / sqrt(var_pop(h) OVER w + 1e-5) AS h FROM h WINDOW w AS (PARTITION BY frame_idx))
+SELECT frame_idx, round(1 / (1 + exp(-sum(h * {_numbers(_OUT)}[i]))), 6) AS score FROM n GROUP BY frame_idx""",
     "min_gap_dedupe": _EV.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT obs, minute FROM ev WHERE behavior = 'error'),
 k AS (SELECT obs, min(minute) AS minute FROM e GROUP BY obs UNION ALL SELECT k.obs, (SELECT min(e.minute) FROM e WHERE e.obs = k.obs AND e.minute >= k.minute + 2000) FROM k WHERE k.minute IS NOT NULL)
 SELECT obs, minute FROM k WHERE minute IS NOT NULL""",

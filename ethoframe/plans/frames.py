@@ -40,8 +40,9 @@ def pair_labels_symmetric_dedupe(spark, d):
 
 
 def ordered_pairs_fill0(spark, d):
-    frames = labels.frames_of(V.observations(spark, d)).where("frame_idx < 200").select("obs", "frame_idx")
-    return labels.fill_pairs(frames, _pairs(spark, d), 4)
+    frames = labels.frames_of(V.observations(spark, d)).select("obs", "frame_idx")
+    rows = labels.fill_pairs(frames, _pairs(spark, d), 4)
+    return rows.groupBy("obs", "agent1", "agent2", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_idx").alias("frames"))
 
 
 def _two(spark, d):
@@ -217,6 +218,17 @@ c AS (SELECT a.obs, a.frame_idx, o, b.{values} AS v{extra} FROM r a, range({-k},
   WHERE b.obs = a.obs AND b.rn = greatest(1, least(a.n, a.rn + o)))"""
 
 
+def t_density(t: str) -> str:
+    """Student's density at t; needs df."""
+    return f"exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + ({t}) ** 2 / df) ** (-(df + 1) / 2)"
+
+
+def t_area(t: str) -> str:
+    """Student's density between 0 and t, by Simpson's rule on 4000 steps; needs df."""
+    return f"""({t} / 12000 * list_sum(list_transform(range(0, 4001), lambda i:
+  (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {t_density(f'{t} * i / 4000.0::DOUBLE')})))"""
+
+
 _EVENTS = V.with_views("ev")
 
 QUERIES = {
@@ -261,8 +273,8 @@ SQL = {
     "WHERE trim(behavior) NOT IN ('view', 'click', 'purchase', '') GROUP BY 1",
     "pair_labels_symmetric_dedupe": _HITS + " SELECT obs, frame_idx, agent1, agent2, label FROM p",
     "ordered_pairs_fill0": _HITS + """,
-q AS (SELECT obs, frame_idx, a.a::INT AS agent1, b.b::INT AS agent2 FROM f, range(4) AS a(a), range(4) AS b(b) WHERE a.a <> b.b AND frame_idx < 200)
-SELECT q.*, coalesce(label, 0)::INT AS label FROM q LEFT JOIN p USING (obs, frame_idx, agent1, agent2)""",
+q AS (SELECT obs, frame_idx, a.a::INT AS agent1, b.b::INT AS agent2 FROM f, range(4) AS a(a), range(4) AS b(b) WHERE a.a <> b.b)
+SELECT obs, agent1, agent2, coalesce(label, 0)::INT AS label, count(*) AS n, sum(frame_idx)::BIGINT AS frames FROM q LEFT JOIN p USING (obs, frame_idx, agent1, agent2) GROUP BY ALL""",
     "bout_rle": _RUNS + " SELECT * FROM r",
     "rle_interval_clip": _RUNS + " SELECT obs, y2f, b2f, greatest(start_frame, 10) AS start_frame, least(end_frame, 39) AS end_frame, n_rows FROM r WHERE end_frame >= 10 AND start_frame < 40",
     "fps_upsample": f"""{V.with_views('frames_orders')},
@@ -289,6 +301,11 @@ SELECT label, count(*) AS n, sum((len(list_filter(x, lambda v: v <> 0)) = 0)::BI
     "obs_level_sum": _obs_sql("sum"),
     "obs_level_partial": _OBS + ' SELECT "T", count(*) AS n_obs, sum(has_annotations)::BIGINT AS n_annotated, count(*) FILTER (WHERE Y_a IS NULL) AS n_without FROM o GROUP BY "T"',
     "arm_summary_se": _OBS + ' SELECT "T", count(Y_b) AS n, round(avg(Y_b), 6) AS mean, round(stddev_samp(Y_b), 6) AS std, round(stddev_samp(Y_b) / sqrt(count(Y_b)), 6) AS se FROM o GROUP BY "T"',
+    # the quantile by Newton steps on the area
+    "arm_summary_ci95_t": _OBS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+a AS (SELECT "T", count(Y_b) AS n, avg(Y_b) AS mean, stddev_samp(Y_b) / sqrt(count(Y_b)) AS se, (count(Y_b) - 1)::DOUBLE AS df FROM o GROUP BY "T"),
+q AS (SELECT *, 1.96::DOUBLE AS q, 0 AS i FROM a UNION ALL SELECT "T", n, mean, se, df, q - ({t_area('q')} - 0.475) / ({t_density('q')}), i + 1 FROM q WHERE i < 10)
+SELECT "T", n, round(mean, 6) AS mean, round(mean - q * se, 6) AS low, round(mean + q * se, 6) AS high FROM q WHERE i = 10""",
     "minute_means": f"{_EVENTS} SELECT obs, minute // 60 AS hour, behavior, round(avg(value), 6) AS mean, count(*) AS n FROM ev GROUP BY ALL",
     "minute_bins": f"{_EVENTS} SELECT obs, minute // 2880 AS bin, behavior, round(avg(value), 6) AS mean FROM ev GROUP BY ALL",
     "cumulative_minute_means": f"""{_EVENTS},

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, learn, meta, quality
+from ..operators import aggregate, learn, meta, quality, search
 from ..sources.tables import table
 from ..streaming import twins
 from . import views as V
-from .analysis import rounded
-from .frames import r6
+from .analysis import _ARMS as _ARMS_SQL
+from .analysis import _WELCH, _WELCH_DF, rounded
+from .frames import _OBS, r6
 
 _ARMS = ("Yhat_b", "T", "BUILDING", "MACHINERY", ("W_nation", "Yhat_a"))
 
@@ -47,7 +48,20 @@ def invariant_probe(spark, d):
 
 def mixup_augmented(spark, d):
     rows = V.vectors(spark, d).withColumn("y", F.col("label").cast("double"))
-    return meta.mixed_up(rows, "x", "y", 0.3, 5).select("frame_idx", r6(F.col("y"), "y"))
+    return meta.mixed_up(rows, "x", "y", 0.3, 5).select("frame_idx", r6(F.col("y"), "y"), r6(F.element_at("x", 1), "first"), r6(F.element_at("x", 64), "last"))
+
+
+def inference_suite(spark, d):
+    return rounded(search.suite(_obs(spark, d), "Yhat_b").drop("p", "p_holm"), "test", "t0", "t1")
+
+
+def inference_suite_pvalues(spark, d):
+    return rounded(search.suite(_obs(spark, d), "Yhat_b", control="BUILDING"), "test", "t0", "t1")
+
+
+def two_stage_bounds(spark, d):
+    f = V.frames_orders(spark, d).where("Y_b is not null").select("price", "Y_b")
+    return rounded(search.two_stage_bounds(f, "price", "Y_b", (0.0, 100000.0, 200000.0, 300000.0), (200000.0, 400000.0, 600000.0)), "low", "high")
 
 
 def vector_quality(spark, d):
@@ -92,11 +106,21 @@ def stream_session(spark, d):
 QUERIES = {
     "s_learner": _learner(meta.s_learner), "t_learner": _learner(meta.t_learner), "x_learner": _learner(meta.x_learner), "dr_learner": _learner(meta.dr_learner),
     "aipw_forest": _learner(meta.aipw_forest), "probe_train_scores": probe_train_scores, "probe_train_weighted": probe_train_weighted,
-    "invariant_probe": invariant_probe, "mixup_augmented": mixup_augmented, "vector_quality": vector_quality, "frame_quality": frame_quality,
+    "invariant_probe": invariant_probe, "mixup_augmented": mixup_augmented, "inference_suite": inference_suite, "inference_suite_pvalues": inference_suite_pvalues, "two_stage_bounds": two_stage_bounds, "vector_quality": vector_quality, "frame_quality": frame_quality,
     "pending_runs": pending_runs, "stream_tumbling": stream_tumbling, "stream_session": stream_session,
 }
 
+_F = """a AS (SELECT count(*) AS n, avg(Yhat_b) AS m, sum(Yhat_b) AS s, var_pop(Yhat_b) * count(*) AS w FROM o GROUP BY "T"), g AS (SELECT sum(s) / sum(n) AS m FROM a),
+f AS (SELECT (sum(n * (a.m - g.m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f, (sum(n) - count(*))::DOUBLE AS df FROM a, g)"""
+
 SQL = {
+    "mixup_augmented": f"""{V.with_views('vectors')},
+m AS (SELECT frame_idx, label::DOUBLE AS y, x, lead(label::DOUBLE) OVER w AS y2, lead(x) OVER w AS x2 FROM vectors WINDOW w AS (PARTITION BY substr(md5('5|' || frame_idx), 1, 2) ORDER BY md5('6|' || frame_idx), frame_idx))
+SELECT frame_idx, round(y * 0.7::DOUBLE + coalesce(y2, y) * 0.3::DOUBLE, 6) AS y, round(x[1] * 0.7::DOUBLE + coalesce(x2[1], x[1]) * 0.3::DOUBLE, 6) AS first,
+  round(x[64] * 0.7::DOUBLE + coalesce(x2[64], x[64]) * 0.3::DOUBLE, 6) AS last FROM m""",
+    "inference_suite": f"""{_OBS}, {_ARMS_SQL.format('Yhat_b')}, {_F}
+SELECT 'anova' AS test, NULL AS t0, NULL AS t1, NULL::DOUBLE AS effect, round(f, 6) AS statistic, df FROM f
+UNION ALL SELECT 'welch', t0, t1, round(mean1 - mean0, 6), round({_WELCH}, 6), round({_WELCH_DF}, 6) FROM p""",
     "vector_quality": f"""{V.with_views('vectors')}
 SELECT count(*) AS n, count(*) FILTER (WHERE len(list_filter(x, lambda v: v <> 0)) = 0) AS n_zero, count(*) FILTER (WHERE len(list_filter(x, lambda v: isnan(v))) > 0) AS n_nan,
   count(DISTINCT len(x)) AS n_lengths FROM vectors""",

@@ -54,9 +54,9 @@ def tracking_left_join(spark, d):
 
 def vector_hconcat(spark, d):
     v = V.vectors(spark, d)
-    a, b = v.select("obs", "frame_idx", F.slice("x", 1, 3).alias("x")), v.select("obs", "frame_idx", F.slice("x", 10, 2).alias("x"))
+    a, b = v.select("obs", "frame_idx", F.slice("x", 33, 32).alias("x")), v.select("obs", "frame_idx", F.slice("x", 1, 32).alias("x"))
     rows = relate.joined_vectors([a, b], ["x", "x"])
-    return rows.select("frame_idx", F.size("x").alias("n"), r6(F.aggregate("x", F.lit(0.0), lambda s, x: s + x), "total"))
+    return rows.select("frame_idx", F.size("x").alias("n"), r6(F.element_at("x", 1), "first"), r6(F.aggregate("x", F.lit(0.0), lambda s, x: s + x), "total"))
 
 
 def _blobs(spark, d):
@@ -72,7 +72,7 @@ def nearest_blob(spark, d):
 
 
 def min_cost_pairs(spark, d):
-    blobs = _blobs(spark, d).where("frame_idx < 5")
+    blobs = _blobs(spark, d)
     agents = F.explode(F.array(F.struct(F.lit(0).alias("agent"), F.abs(F.col("x") - 100).alias("cost")), F.struct(F.lit(1).alias("agent"), F.abs(F.col("x") - 120).alias("cost"))))
     options = blobs.select("obs", "frame_idx", F.col("blob").alias("slot"), agents.alias("a")).select("obs", "frame_idx", "slot", "a.*")
     room = blobs.select("obs", "frame_idx", F.col("blob").alias("slot"), (1 + (F.col("obs") + F.col("blob")) % 2).alias("room"))
@@ -191,7 +191,7 @@ def slot_join(spark, d):
 
 
 def long_tracking(spark, d):
-    b = _bodies(spark, d).where("frame_idx < 10").select("obs", "frame_idx", F.col("x").alias("blue"), F.col("y").alias("yellow"))
+    b = _bodies(spark, d).select("obs", "frame_idx", F.col("x").alias("blue"), F.col("y").alias("yellow"))
     return b.unpivot(["obs", "frame_idx"], ["blue", "yellow"], "animal", "x")
 
 
@@ -226,12 +226,12 @@ SQL = {
     "filename_id_parse": """SELECT page_id, page_id AS frame_idx, 'frame_' || lpad(page_id::VARCHAR, 6, '0') AS stem, 'l' || page_id % 3 || '_m_' || page_id % 7 AS pool, 'frame_' || lpad(page_id::VARCHAR, 6, '0') || '.jpg' AS file FROM pages""",
     "stride_subsample": f"{_FO} SELECT obs, frame_idx FROM frames_orders WHERE frame_idx % 3 = 0 AND Y_a IS NOT NULL AND Y_b IS NOT NULL",
     "tracking_left_join": f"{_BODY} SELECT obs, frame_idx, CASE WHEN frame_idx % 2 = 0 AND seen THEN x + 5 ELSE 0 END AS raw_x, CASE WHEN frame_idx % 2 = 0 THEN x ELSE 0 END AS x FROM b",
-    "vector_hconcat": f"{V.with_views('vectors')} SELECT frame_idx, 5::INT AS n, round(x[1] + x[2] + x[3] + x[10] + x[11], 6) AS total FROM vectors",
+    "vector_hconcat": f"{V.with_views('vectors')} SELECT frame_idx, 64::INT AS n, round(x[33], 6) AS first, round(list_sum(x), 6) AS total FROM vectors",
     "nearest_blob": f"""{_BODY}, m AS (SELECT obs, frame_idx, unnest(['a', 'b']) AS mark, unnest([x + 30, x - 45]) AS mx, unnest([y, y - 5]) AS my FROM b),
 l AS (SELECT obs, frame_idx, unnest([0, 1, 2]) AS blob, unnest([x, x + 40, x - 60]) AS x, unnest([y, y + 10, y - 20]) AS y FROM b),
 g AS (SELECT m.obs, m.frame_idx, mark, blob, sqrt((mx - x) ** 2 + (my - y) ** 2) AS gap FROM m JOIN l ON m.obs = l.obs AND m.frame_idx = l.frame_idx)
 SELECT obs, frame_idx, mark, arg_min(blob, gap)::INT AS blob, round(min(gap), 6) AS gap FROM g GROUP BY ALL""",
-    "min_cost_pairs": f"""{_BODY}, l AS (SELECT obs, frame_idx, unnest([0, 1, 2]) AS slot, unnest([x, x + 40, x - 60]) AS x FROM b WHERE frame_idx < 5),
+    "min_cost_pairs": f"""{_BODY}, l AS (SELECT obs, frame_idx, unnest([0, 1, 2]) AS slot, unnest([x, x + 40, x - 60]) AS x FROM b),
 p AS (SELECT a.obs, a.frame_idx, a.slot AS s0, c.slot AS s1, abs(a.x - 100) + abs(c.x - 120) AS cost FROM l a JOIN l c ON a.obs = c.obs AND a.frame_idx = c.frame_idx
   WHERE a.slot <> c.slot OR 1 + (a.obs + a.slot) % 2 >= 2)
 SELECT obs, frame_idx, s0, s1, round(cost, 6) AS cost FROM p QUALIFY row_number() OVER (PARTITION BY obs, frame_idx ORDER BY cost, s0, s1) = 1""",
@@ -264,7 +264,7 @@ c AS (SELECT low, high, count(*) FILTER (WHERE price BETWEEN low AND high AND Y_
 SELECT low, high, tp, fp, fn, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1 FROM c""",
     "estimator_dispatch": f"""{_OBS}, {_ARMS.format('Yhat_a')} SELECT unnest(['ead', 'welch']) AS method, round(mean1 - mean0, 6) AS ate FROM p WHERE t0 = 'BUILDING' AND t1 = 'MACHINERY'""",
     "slot_join": f"{_EV} SELECT obs, count(*) AS n, sum(k)::BIGINT AS k FROM ev WHERE frame_idx % 6 = 0 GROUP BY obs",
-    "long_tracking": f"{_BODY} SELECT obs, frame_idx, unnest(['blue', 'yellow']) AS animal, unnest([x, y]) AS x FROM b WHERE frame_idx < 10",
+    "long_tracking": f"{_BODY} SELECT obs, frame_idx, unnest(['blue', 'yellow']) AS animal, unnest([x, y]) AS x FROM b",
     "summary_with_total": f"""{_FO} SELECT coalesce("T", 'All') AS "T", count(*) AS n, round(avg(price), 6) AS price FROM frames_orders GROUP BY ROLLUP ("T")""",
     "frame_gaps": f"{_EV}, g AS (SELECT obs, minute - lag(minute) OVER (PARTITION BY obs ORDER BY minute, event_id) AS gap FROM ev) SELECT obs, max(gap) AS longest, round(avg(gap), 6) AS mean FROM g GROUP BY obs",
     "bout_expansion_counts": f"""{V.with_views('ev', 'bouts', 'observations')}, f AS (SELECT obs, unnest(range(0, n_frames)) AS i, "offset", ratio FROM observations)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import stem
-from ..functions.roles import find_column
 
 
 def is_valid(df: DataFrame) -> Column:
@@ -22,6 +21,10 @@ def is_valid(df: DataFrame) -> Column:
     return F.coalesce(F.expr("try_cast(valid as double)"), F.lit(1.0)) != 0
 
 
+#: Fields of a bout file's line that are read.
+MOST_FIELDS = 64
+
+
 def experiment(spark: SparkSession, path: str, only_valid: bool = True) -> DataFrame:
     """An experiment CSV; header names are trimmed and their spaces made ``_``."""
     df = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -39,19 +42,28 @@ def bouts(spark: SparkSession, path: str, skip_head: int = 3, skip_foot: int = 1
     up, down = Window.partitionBy("obs").orderBy("b", "i"), Window.partitionBy("obs").orderBy(F.desc("b"), F.desc("i"))
     numbered = lines.withColumns({"k": F.row_number().over(up), "z": F.row_number().over(down)})
     kept = numbered.where((F.col("k") > skip_head) & (F.col("z") > skip_foot))
-    head = kept.where(F.col("k") == skip_head + 1).select("value").limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], "obs string, ord long, start_frame long, end_frame long, behavior string")
-    names = [c.strip() for c in head[0]["value"].split(",")]
-    start, end, what = (names.index(find_column(names, *c)) for c in (("Beginning-frame", "start_frame", "Image index start"), ("End-frame", "end_frame", "Image index stop"), ("Behavior",)))
-    parts = F.split("value", ",")
-    rows = kept.where(F.col("k") > skip_head + 1)
+    # each file has its own header: its columns may come in another order
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(MOST_FIELDS)), {"mode": "PERMISSIVE"})
+    cells = kept.withColumn("_c", F.transform(F.array(*[fields[f"c{i}"] for i in range(MOST_FIELDS)]), lambda c: F.trim(c)))
+    head = F.max(F.when(F.col("k") == skip_head + 1, F.col("_c"))).over(Window.partitionBy("obs"))
+    rows = cells.withColumn("_head", F.transform(head, _form)).where(F.col("k") > skip_head + 1)
+
+    def cell(*names: str) -> Column:
+        at = F.coalesce(*[F.nullif(F.array_position("_head", _form(F.lit(n))), F.lit(0)) for n in names])
+        missing = F.raise_error(F.concat(F.lit(f"none of {names} in the header of "), F.col("obs")))
+        return F.when(at.isNull(), missing).otherwise(F.get("_c", (at - 1).cast("int")))
+
     return rows.select(
-        "obs", (F.col("k") - skip_head - 2).cast("long").alias("ord"), F.trim(F.get(parts, F.lit(start))).try_cast("long").alias("start_frame"),
-        F.trim(F.get(parts, F.lit(end))).try_cast("long").alias("end_frame"), F.trim(F.get(parts, F.lit(what))).alias("behavior"),
+        "obs", (F.col("k") - skip_head - 2).cast("long").alias("ord"), cell("Beginning-frame", "start_frame", "Image index start").try_cast("long").alias("start_frame"),
+        cell("End-frame", "end_frame", "Image index stop").try_cast("long").alias("end_frame"), cell("Behavior").alias("behavior"),
     )
 
 
+def _form(name: Column) -> Column:
+    """A header name without case and separators."""
+    return F.regexp_replace(F.lower(name), r"[-_\s]", "")
+
+
 def per_observation(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All CSVs of a folder, ``obs`` from the file's stem."""
     return spark.read.schema(schema).csv(path, header=True).withColumn("obs", stem(F.col("_metadata.file_name")))

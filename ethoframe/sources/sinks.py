@@ -12,10 +12,12 @@ def save(df: DataFrame, path: str, overwrite: bool = False, by: tuple[str, ...]
 
 
 def save_vectors(df: DataFrame, path: str, vector: str = "x") -> None:
-    """Parquet, after checking that no vector is null or all zeros."""
-    bad = df.agg(F.count_if(F.col(vector).isNull() | F.forall(vector, lambda v: v == 0)).alias("n")).first()["n"]
+    """Parquet, after checking that no vector is null, all zeros or holds null or
+    non-finite numbers. Spark's commit makes the files visible once all are written."""
+    odd = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    bad = df.agg(F.count_if(F.col(vector).isNull() | F.forall(vector, lambda v: v == 0) | odd).alias("n")).first()["n"]
     if bad:
-        raise ValueError(f"{bad} vectors are null or all zeros")
+        raise ValueError(f"{bad} vectors are null, all zeros or not finite")
     df.write.parquet(path)
 
 

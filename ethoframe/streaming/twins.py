@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.tracking import step
+from ..operators.tracking import held
 
 
 def tumbling(events: DataFrame, width: str, by: tuple[str, ...], value: str, time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -41,23 +40,20 @@ def without_repeats(events: DataFrame, keys: tuple[str, ...], time: str = "ts",
 
 
 def marks(bodies: DataFrame, longest: float, key: str = "obs") -> DataFrame:
-    """The tracking fold with its last positions as state: rows of a key are taken
-    in frame order within a batch, and later batches are taken to be later frames."""
+    """The leash of raw marks (raw_x, raw_y, x, y) with the last mark as state: rows of
+    a key are taken in frame order within a batch, and later batches are taken to be
+    later frames."""
     kind = dict(bodies.dtypes)[key]
 
     def fold(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = list(state.get) if state.exists else None
+        last = tuple(state.get) if state.exists else None
         pdf = pd.concat(list(frames)).sort_values("frame_idx")
         rows = []
-        for r in pdf.itertuples():
-            body = np.array([[r.x, r.y]])
-            if last is None:
-                last = [float(r.x), float(r.y)]
-            else:
-                last = [float(v) for v in step(np.array([last]), body, longest)[0]]
-            rows.append((name[0], r.frame_idx, *last))
+        for frame, rx, ry, x, y in zip(*(pdf[c].tolist() for c in ("frame_idx", "raw_x", "raw_y", "x", "y"))):
+            last = held(None if pd.isna(rx) else (float(rx), float(ry)), last or (float(x), float(y)), (float(x), float(y)), longest)
+            rows.append((name[0], frame, *last))
         if last is not None:
-            state.update(tuple(last))
+            state.update(last)
         yield pd.DataFrame(rows, columns=[key, "frame_idx", "mark_x", "mark_y"])
 
     return bodies.groupBy(key).applyInPandasWithState(

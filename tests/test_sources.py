@@ -20,6 +20,24 @@ def test_bouts_skip_head_and_foot(spark, tmp_path):
     assert [(r.obs, r.ord, r.start_frame, r.end_frame, r.behavior) for r in rows] == [(o, *b) for o in ("a1", "a2") for b in ((0, 1, 5, "groom"), (1, 7, 9, "rest"))]
 
 
+def test_bouts_go_by_each_files_own_header(spark, tmp_path):
+    (tmp_path / "a1.csv").write_text("x\ny\nz\nBeginning-frame, End-frame,Behavior\n1,5,groom\nend,,\n")
+    (tmp_path / "a2.csv").write_text('x\ny\nz\nnote,behavior,end frame,Start_frame\n"a, b",rest,9,7\nend,,,\n')
+    rows = readers.bouts(spark, str(tmp_path)).orderBy("obs").collect()
+    assert [(r.obs, r.start_frame, r.end_frame, r.behavior) for r in rows] == [("a1", 1, 5, "groom"), ("a2", 7, 9, "rest")]
+    (tmp_path / "a3.csv").write_text("x\ny\nz\nnote,what\n1,2\nend,\n")
+    with pytest.raises(Exception, match="header of a3"):
+        readers.bouts(spark, str(tmp_path)).collect()
+
+
+def test_vectors_that_are_not_finite_are_not_saved(spark, tmp_path):
+    for bad in ([1.0, float("nan")], [1.0, None], [0.0, 0.0], [float("inf"), 1.0], None):
+        with pytest.raises(ValueError):
+            sinks.save_vectors(spark.createDataFrame([([1.0, 2.0],), (bad,)], "x array<double>"), str(tmp_path / "v"))
+    sinks.save_vectors(spark.createDataFrame([([1.0, 2.0],)], "x array<double>"), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 1
+
+
 def test_per_observation_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("o1", 1, 0.5), ("o1", 0, 0.25), ("o2", 0, 1.0)], "obs string, frame_idx long, p double")
     sinks.save_per_observation(df, str(tmp_path / "out"))
