@@ -86,3 +86,13 @@ def mean_of(*c: Column) -> Column:
     total = reduce(lambda a, x: a + F.coalesce(x, F.lit(0.0)), c, F.lit(0.0))
     n = reduce(lambda a, x: a + x.isNotNull().cast("int"), c, F.lit(0))
     return total / F.nullif(n, F.lit(0))
+
+
+def from_one(number: Column, most: int) -> Column:
+    """A number from 1 to ``most`` as one from 0; null for the rest."""
+    return F.when(number.between(1, most), number - 1)
+
+
+def widened(value: Column, margin: float, low: float, high: float) -> Column:
+    """A whole-number bound moved by ``margin`` (downwards if negative), kept in range."""
+    return F.least(F.greatest(value.cast("int") + F.lit(margin), F.lit(low)), F.lit(high)).cast("int")

@@ -45,3 +45,8 @@ def in_order(df: DataFrame, first: tuple[str, ...] = ()) -> DataFrame:
     by_role = {*r.covariates, *r.outcomes, *r.predictions}
     base = [c for c in first if c in df.columns] + [c for c in df.columns if c not in by_role and c not in first]
     return df.select(*base, *r.covariates, *r.outcomes, *r.predictions)
+
+
+def without_suffix(df: DataFrame, suffix: str) -> DataFrame:
+    """``df`` without the columns whose name ends so."""
+    return df.drop(*[c for c in df.columns if c.endswith(suffix)])

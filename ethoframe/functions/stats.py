@@ -108,32 +108,36 @@ def normal_two_sided(z: Column) -> Column:
     return F.when(z.isNotNull(), _normal_tail(z.cast("double")))
 
 
-def with_places(values: DataFrame, column: str, n: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+def same_keys(by: tuple[str, ...], prefix: str) -> Column:
+    """Whether the columns of ``by`` are those named ``prefix`` and their number, nulls
+    being equal."""
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{i}"))
+    return same
+
+
+def with_places(values: DataFrame, column: str, n: str, by: tuple[str, ...] = (), buckets: int = 64, bucket: str | None = None) -> DataFrame:
     """Adds ``_before`` to a table of distinct values (within ``by``) with their counts
-    ``n``: how many rows come before each. Values are dealt into buckets by approximate
-    quantiles, whose counts are added up apart, so no task sorts all of them."""
+    ``n``: how many rows come before each; and its bucket's number under the name
+    ``bucket``, if one is given. Values are dealt into buckets by approximate quantiles,
+    whose counts are added up apart, so no task sorts all of them."""
     shares = [i / buckets for i in range(1, buckets)]
     bounds = values.groupBy(*by).agg(F.percentile_approx(column, shares, 10_000).alias("_bounds"))
     if by:
-        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
         bounds = bounds.select("_bounds", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)])
-        on = same[0]
-        for x in same[1:]:
-            on = on & x
-        dealt = values.join(bounds, on).drop(*[f"_g{i}" for i in range(len(by))])
+        dealt = values.join(bounds, same_keys(by, "_g")).drop(*[f"_g{i}" for i in range(len(by))])
     else:
         dealt = values.crossJoin(F.broadcast(bounds))  # one row
     dealt = dealt.withColumn("_bucket", F.size(F.filter(F.coalesce("_bounds", F.array()), lambda b: b < F.col(column)))).drop("_bounds")
     counts = dealt.groupBy(*by, "_bucket").agg(F.sum(n).alias("_s"))
     lower = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), lower.alias("_lower"))
-    on = F.col("_bucket") == F.col("_b")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     up = Window.partitionBy(*by, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(n).over(up), F.lit(0))
-    placed = dealt.withColumn("_own", own).join(offsets, on)
-    return placed.withColumn("_before", F.col("_own") + F.col("_lower")).drop("_bucket", "_b", "_own", "_lower", *[f"_g{i}" for i in range(len(by))])
+    placed = dealt.withColumn("_own", own).join(offsets, same_keys(by, "_g") & (F.col("_bucket") == F.col("_b")))
+    placed = placed.withColumn("_before", F.col("_own") + F.col("_lower")).drop("_b", "_own", "_lower", *[f"_g{i}" for i in range(len(by))])
+    return placed.withColumnRenamed("_bucket", bucket) if bucket else placed.drop("_bucket")
 
 
 def with_average_rank(df: DataFrame, column: str, name: str, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
@@ -144,7 +148,5 @@ def with_average_rank(df: DataFrame, column: str, name: str, by: tuple[str, ...]
     placed = with_places(values, column, "_n", by, buckets)
     keys = [*by, column]
     ranks = placed.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(keys)], (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
-    on = F.col(column) == F.col(f"_r{len(by)}")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    on = same_keys(by, "_r") & (F.col(column) == F.col(f"_r{len(by)}"))
     return df.join(ranks, on, "left").drop(*[f"_r{i}" for i in range(len(keys))])

@@ -45,6 +45,22 @@ def continuous_metrics(df: DataFrame, y: str, guess: str, by: tuple[str, ...] =
     return df.groupBy(*by).agg(F.avg(gap * gap).alias("mse"), F.avg(F.abs(gap)).alias("mae"), F.count(gap).alias("n"))
 
 
+def outcome_metrics(df: DataFrame, outcomes: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of each outcome against its prediction by the kind of the outcome: rates
+    where all its values (of the whole table) are 0 or 1, mse and mae otherwise; the other
+    ones are null."""
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("outcome"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("g")) for y, p in outcomes.items()]))
+    rows = df.select(*by, each.alias("o")).select(*by, "o.*")
+    gap, binary = F.col("y") - F.col("g"), F.bool_and(F.col("y").isin(0.0, 1.0))
+    counts = rows.groupBy(*by, "outcome").agg(
+        *[c.cast("long").alias(n) for n, c in confusion(F.col("y"), F.rint("g")).items()], F.avg(gap * gap).alias("mse"), F.avg(F.abs(gap)).alias("mae"), binary.alias("_own")
+    )
+    kinds = counts.groupBy("outcome").agg(F.coalesce(F.bool_and("_own"), F.lit(True)).alias("binary"))
+    rated = with_rates(counts.drop("_own"), 0.0).join(kinds, "outcome")
+    shown = {c: F.when(F.col("binary"), F.col(c)) for c in ("accuracy", "balanced", "recall", "precision")} | {c: F.when(~F.col("binary"), F.col(c)) for c in ("mse", "mae")}
+    return rated.select(*by, "outcome", "binary", *[c.alias(n) for n, c in shown.items()])
+
+
 def macro(metrics: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """Means over outcomes; nulls don't count."""
     return metrics.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])

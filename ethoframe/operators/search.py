@@ -78,8 +78,7 @@ def suite(observations: DataFrame, value: str, arm: str = "T", control: object |
     from .resample import anova
 
     each = effects.versus_control(observations, value, control, arm) if control is not None else effects.matrix(observations, value, arm)
-    each = effects.with_p(each, sides=2).withColumn("_id", F.concat_ws("|", F.col("t0").cast("string"), F.col("t1").cast("string")))
-    each = multiplicity.holm(each, "p", "_id")
+    each = multiplicity.holm(effects.with_p(each, sides=2))
     none = F.lit(None)
     overall = anova(observations, value, arm).select(
         F.lit("anova").alias("test"), none.cast("string").alias("t0"), none.cast("string").alias("t1"), none.cast("double").alias("effect"), F.col("f").alias("statistic"),

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, learn, meta, quality, search
+from ..functions.columns import from_one, widened
+from ..operators import aggregate, learn, meta, metrics, quality, search
 from ..sources.tables import table
 from ..streaming import twins
 from . import views as V
@@ -80,8 +81,53 @@ def pending_runs(spark, d):
     return quality.pending(wanted, done, "run")
 
 
+def run_states(spark, d):
+    """Nations with orders in 2001 above three prices: started, with a result, and broken."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderdate >= timestamp'2001-06-01'")
+    runs = o.select(F.col("c_nationkey").cast("int").alias("run"), "o_totalprice", "o_orderstatus")
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("run"))
+    broken = runs.where("o_totalprice > 470000 and o_orderstatus = 'F'")
+    return quality.run_states(wanted, runs.where("o_totalprice > 450000"), runs.where("o_totalprice > 490000"), broken, "run")
+
+
+def recording_check(spark, d):
+    """Orders as recordings of a frame for each unit of their price; those in process
+    have no file, and low priority is at another rate."""
+    o = table(spark, d, "orders").withColumn("end_frame", F.col("o_totalprice").cast("long"))
+    seen = o.select(F.col("o_orderkey").alias("obs"), F.lit(0).alias("start_frame"), "end_frame")
+    fps = F.when(F.col("o_orderpriority") == "5-LOW", 4.0).otherwise(5.0)
+    files = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("obs"), fps.alias("fps"), (F.floor(F.col("end_frame") / 30) * 5 + F.col("o_custkey") % 7).alias("frames"))
+    return quality.recordings(seen, files, 5.0, 30.0)
+
+
+def selected_share(spark, d):
+    li = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("n_all"), F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0).alias("n_det"))
+    return rounded(quality.selected_share(li, "n_det", "n_all", ("l_returnflag",)), "l_returnflag")
+
+
+def outcome_metrics(spark, d):
+    """A 0/1 outcome and a price, each by the metrics of its kind."""
+    f = V.frames_orders(spark, d).withColumn("guess", F.floor(F.col("price") / 1000) * 1000)
+    return rounded(metrics.outcome_metrics(f, {"Y_b": "Yhat_a", "price": "guess"}, ("T",)), "T", "outcome", digits=4)
+
+
+def agent_range(spark, d):
+    """Line numbers as agents of four, from 0; others are errors and go."""
+    li = table(spark, d, "lineitem").withColumn("agent", from_one(F.col("l_linenumber"), 4)).where("agent is not null")
+    return li.groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
+
+
+def widened_bounds(spark, d):
+    """Percentile bounds of the prices of each line number, with a margin, in range."""
+    li = table(spark, d, "lineitem").groupBy("l_linenumber").agg(*[F.percentile("l_extendedprice", F.lit(q)).alias(n) for n, q in (("low", 0.05), ("high", 0.95))])
+    return li.select("l_linenumber", widened(F.col("low"), -2000, 0, 90000).alias("low"), widened(F.col("high"), 2000, 0, 90000).alias("high"))
+
+
 def _streamed(spark, d, make, key):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    root = root or "file://" + tempfile.gettempdir() + "/checkpoints"
     path = f"{root}/stream-{uuid.uuid4().hex}"
     source = f"{path}/in"
     e = table(spark, d, "events").select(F.col("user_id").alias("obs"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("behavior"))
@@ -107,7 +153,8 @@ QUERIES = {
     "s_learner": _learner(meta.s_learner), "t_learner": _learner(meta.t_learner), "x_learner": _learner(meta.x_learner), "dr_learner": _learner(meta.dr_learner),
     "aipw_forest": _learner(meta.aipw_forest), "probe_train_scores": probe_train_scores, "probe_train_weighted": probe_train_weighted,
     "invariant_probe": invariant_probe, "mixup_augmented": mixup_augmented, "inference_suite": inference_suite, "inference_suite_pvalues": inference_suite_pvalues, "two_stage_bounds": two_stage_bounds, "vector_quality": vector_quality, "frame_quality": frame_quality,
-    "pending_runs": pending_runs, "stream_tumbling": stream_tumbling, "stream_session": stream_session,
+    "pending_runs": pending_runs, "run_states": run_states, "recording_check": recording_check, "selected_share": selected_share,
+    "outcome_metrics": outcome_metrics, "agent_range": agent_range, "widened_bounds": widened_bounds, "stream_tumbling": stream_tumbling, "stream_session": stream_session,
 }
 
 _F = """a AS (SELECT count(*) AS n, avg(Yhat_b) AS m, sum(Yhat_b) AS s, var_pop(Yhat_b) * count(*) AS w FROM o GROUP BY "T"), g AS (SELECT sum(s) / sum(n) AS m FROM a),
@@ -129,6 +176,25 @@ SELECT "T", count(*) AS n, count(*) FILTER (WHERE Y_a IS NOT NULL AND Y_b IS NOT
   count(*) FILTER (WHERE Y_a IS NULL) AS n_missing_Y_a, count(*) FILTER (WHERE Y_b IS NULL) AS n_missing_Y_b FROM frames_orders GROUP BY "T\"""",
     "pending_runs": """WITH done AS (SELECT DISTINCT c_nationkey::INT AS run FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '2001-06-01' AND o_totalprice > 480000)
 SELECT n_nationkey::INT AS run, CASE WHEN run IN (SELECT run FROM done) THEN 'done' ELSE 'pending' END AS status FROM nation""",
+    "run_states": """WITH r AS (SELECT c_nationkey AS run, o_totalprice AS p, o_orderstatus AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '2001-06-01')
+SELECT n_nationkey::INT AS run, CASE WHEN n_nationkey IN (SELECT run FROM r WHERE p > 490000) THEN 'done' WHEN n_nationkey NOT IN (SELECT run FROM r WHERE p > 450000) THEN 'pending'
+  WHEN n_nationkey IN (SELECT run FROM r WHERE p > 470000 AND s = 'F') THEN 'failed' ELSE 'running' END AS status FROM nation""",
+    "recording_check": """WITH o AS (SELECT o_orderkey AS obs, trunc(o_totalprice)::BIGINT // 30 AS expected, o_orderstatus <> 'P' AS there,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 4 ELSE 5 END AS fps, o_custkey % 7 AS more FROM orders),
+a AS (SELECT *, CASE WHEN there THEN (expected * 5 + more) // fps END AS actual FROM o)
+SELECT obs, expected, actual, CASE WHEN NOT there THEN 'missing' WHEN fps <> 5 THEN 'fps' WHEN expected <> actual THEN 'duration' ELSE 'ok' END AS status FROM a""",
+    "selected_share": """WITH s AS (SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS n_selected, sum(l_quantity) AS n_total FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, round(n_selected, 6) AS n_selected, round(n_total, 6) AS n_total, round(n_selected / nullif(n_total, 0), 6) AS share FROM s""",
+    "outcome_metrics": f"""{V.with_views('frames_orders')},
+c AS (SELECT "T", count(*) FILTER (WHERE Y_b = 1 AND round_even(Yhat_a, 0) = 1) AS tp, count(*) FILTER (WHERE Y_b = 0 AND round_even(Yhat_a, 0) = 1) AS fp,
+  count(*) FILTER (WHERE Y_b = 1 AND round_even(Yhat_a, 0) = 0) AS fn, count(*) FILTER (WHERE Y_b = 0 AND round_even(Yhat_a, 0) = 0) AS tn FROM frames_orders GROUP BY "T"),
+r AS (SELECT "T", coalesce((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 0) AS a, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r, coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0) AS s,
+  coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p FROM c)
+SELECT "T", 'Y_b' AS outcome, true AS binary, round(a, 4) AS accuracy, round((r + s) / 2, 4) AS balanced, round(r, 4) AS recall, round(p, 4) AS precision, NULL::DOUBLE AS mse, NULL::DOUBLE AS mae FROM r
+UNION ALL SELECT "T", 'price', false, NULL, NULL, NULL, NULL, round(avg((price - floor(price / 1000) * 1000) ** 2), 4), round(avg(abs(price - floor(price / 1000) * 1000)), 4) FROM frames_orders GROUP BY "T\"""",
+    "agent_range": """SELECT l_linenumber - 1 AS agent, count(*) AS n FROM lineitem WHERE l_linenumber BETWEEN 1 AND 4 GROUP BY ALL""",
+    "widened_bounds": """WITH b AS (SELECT l_linenumber, quantile_cont(l_extendedprice, 0.05) AS low, quantile_cont(l_extendedprice, 0.95) AS high FROM lineitem GROUP BY ALL)
+SELECT l_linenumber, least(greatest(trunc(low)::INT - 2000, 0), 90000)::INT AS low, least(greatest(trunc(high)::INT + 2000, 0), 90000)::INT AS high FROM b""",
     "stream_tumbling": """SELECT (epoch(ts)::BIGINT // 21600) * 21600 AS start, event_type AS behavior, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
     "stream_session": """WITH g AS (SELECT user_id AS obs, ts, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 3 HOUR)::INT AS s FROM events),
 k AS (SELECT obs, ts, sum(s) OVER (PARTITION BY obs ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ethoframe.functions import columns as C
 from ethoframe.functions import roles, stats
-from ethoframe.operators import aggregate, effects, labels, learn, metrics, multiplicity, resample, tracking, windows
+from ethoframe.operators import aggregate, effects, labels, learn, metrics, multiplicity, quality, resample, tracking, windows
 
 MAPPING = {"y": (1, 0), "b": (0, 1), "both": (1, 1)}
 
@@ -275,3 +275,41 @@ def test_weighted_probe_separates(spark):
     df = frames(spark, rows, "x array<double>, y int, w double")
     scored = meta.probe_scores(meta.linear_probe(df, "x", "y", "w"), df, "x").collect()
     assert all((r.yhat > 0.5) == (r.y == 1) for r in scored)
+
+
+@pytest.mark.parametrize("by", [(), ("family",)])
+def test_corrections_of_many_tests(spark, by):
+    """Against sorting in one place: ties, a hot value, families, and no p-value."""
+    rng = np.random.default_rng(8)
+    ps = np.where(rng.random(900) < 0.3, 0.02, np.round(rng.random(900) ** 3, 3)).tolist()
+    rows = [(i, None if i % 11 == 0 else 0, None if i % 17 == 0 else p) for i, p in enumerate(ps)]
+    rows = [(i, f if i % 3 else 1, p) for i, f, p in rows]
+    df = spark.createDataFrame(rows, "id int, family int, p double")
+    wanted = {}
+    for family in {f for _, f, _ in rows} if by else {0}:
+        own = sorted((p, i) for i, f, p in rows if p is not None and (not by or f == family))
+        n, top, least = len(own), 0.0, 1.0
+        for k, (p, i) in enumerate(own):
+            top = max(top, (n - k) * p)
+            wanted[i] = [min(1.0, top), 0.0]
+        for k in range(n - 1, -1, -1):
+            least = min(least, n * own[k][0] / (k + 1))
+            wanted[own[k][1]][1] = least
+    found = multiplicity.benjamini_hochberg(multiplicity.holm(df, by=by), by=by).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.id in wanted:
+            assert np.allclose([r.p_holm, r.q], wanted[r.id], rtol=1e-12)
+        else:
+            assert r.p is None and r.p_holm is None and r.q is None
+
+
+def test_columns_by_suffix(spark):
+    assert roles.without_suffix(spark.sql("select 1 a, 2 b_OL, 3 c_OL"), "OL").columns == ["a"]
+
+
+def test_recordings(spark):
+    seen = spark.createDataFrame([("a", 0, 300), ("b", 0, 300), ("c", 0, 300), ("d", 30, 300), ("e", None, 3)], "obs string, start_frame long, end_frame long")
+    files = spark.createDataFrame([("a", 5.0, 52), ("b", 4.0, 40), ("c", 5.0, 49), ("e", 0.0, 9)], "obs string, fps double, frames long")
+    rows = {r.obs: (r.expected, r.actual, r.status) for r in quality.recordings(seen, files, 5, 30).collect()}
+    assert rows == {"a": (10, 10, "ok"), "b": (10, 10, "fps"), "c": (10, 9, "duration"), "d": (9, None, "missing"), "e": (None, 0, "fps")}
