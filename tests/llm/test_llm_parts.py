@@ -371,3 +371,39 @@ def test_probes_come_likeliest_first(n):
         low = (cells * hashes.width - hashes.b[1] - middle) / spread
         p = np.prod(0.5 * (neighbours._erf((low + hashes.width / spread) / np.sqrt(2)) - neighbours._erf(low / np.sqrt(2))), axis=1)
         assert (np.diff(p) <= 1e-12).all() and p.sum() >= hashes.each
+
+
+@given(st.lists(st.lists(st.sampled_from([0, 3, 9, 14, 22, 45]), max_size=9), min_size=1, max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_runs_cover_every_long_block(docs):
+    """The runs that propose pairs, and that they hold each line of any block long enough
+    to go (a line long enough by itself proposes on its own)."""
+    from ethoframe.llm import lines
+
+    hashes = [[k * 100 + i for i in range(len(d))] for k, d in enumerate(docs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(docs, pa.list_(pa.int32()))], names=["doc_id", "hashes", "chars"])
+    found = {(r["doc_id"], r["line"]) for out in lines._long_runs(40)(iter([batch])) for r in out.to_pylist()}
+    wanted = set()
+    for k, d in enumerate(docs):
+        long = {(a, b) for a in range(len(d)) for b in range(a + 1, len(d) + 1) if sum(d[a:b]) >= 40}
+        on = {(a, min(b for x, b in long if x == a)) for a, _ in long}
+        up = {(max(a for a, y in long if y == b), b) for _, b in long}
+        spans = {(a, b) for a, b in on if d[a]} | {(a, b) for a, b in up if d[b - 1]}
+        spans = {(a, b) for a, b in spans if b - a > 1}
+        own = words.spans(np.array(hashes[k], np.uint64), np.array([a for a, _ in spans], int), np.array([b for _, b in spans], int)) if spans else np.zeros(0, np.uint64)
+        wanted |= {(k, int(h)) for h in own.view(np.int64)}
+        for a, b in long:
+            inside = [s for s in spans if a <= s[0] and s[1] <= b]
+            assert all(d[x] >= 40 or not d[x] or any(s[0] <= x < s[1] for s in inside) for x in range(a, b))
+    assert found == wanted
+
+
+def test_a_short_line_after_a_long_one(spark):
+    """The long line is first held by one document, the short one by another: the block
+    of both is found by the run up to the short one."""
+    from ethoframe.llm.lines import dedup_lines
+
+    long, short = "a long line that many documents have, once in each", "and a short one"
+    rows = [(1, f"first\n{long}\nof all"), (2, f"x\n{short}\ny")] + [(i, f"own {i}\n{long}\n{short}\nend {i}") for i in range(3, 13)]
+    found = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 0, 2: 0, 3: 1} | dict.fromkeys(range(4, 13), 2)
