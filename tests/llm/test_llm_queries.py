@@ -112,6 +112,21 @@ def test_toxicity(spark, duck):
     assert np.mean(by[1]) > np.mean(by[0]) + 0.2
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """On rows that nothing was learned from: rank, and hits and false alarms at 0.3.
+    Bounds somewhat below what was measured (0.958, 98 of 120, 5 of 870)."""
+    import duckdb
+
+    folder = DATA.parent / "sf0.1"
+    if not folder.exists():
+        pytest.skip("no larger tables here")
+    rows = {r.doc_id: r for r in queries.op7_toxicity(spark, str(folder)).where("held_out").collect()}
+    labels = duckdb.sql(f"select doc_id, max(toxic) from '{folder}/labels.parquet' group by 1").fetchall()
+    toxic, clean = (np.array([rows[i].score for i, y in labels if y == k and i in rows]) for k in (1, 0))
+    area = np.mean([(s > clean).mean() + (s == clean).mean() / 2 for s in toxic])
+    assert area > 0.94 and (toxic >= 0.3).mean() > 0.75 and (clean >= 0.3).mean() < 0.01
+
+
 def test_packing(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
