@@ -42,14 +42,15 @@ def without_repeats(events: DataFrame, keys: tuple[str, ...], time: str = "ts",
 def marks(bodies: DataFrame, longest: float, key: str = "obs") -> DataFrame:
     """The leash of raw marks (raw_x, raw_y, x, y) with the last mark as state: rows of
     a key are taken in frame order within a batch, and later batches are taken to be
-    later frames."""
+    later frames. Without columns of raw marks the bodies are the detections."""
     kind = dict(bodies.dtypes)[key]
+    seen = ("raw_x", "raw_y") if {"raw_x", "raw_y"} <= set(bodies.columns) else ("x", "y")
 
     def fold(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = tuple(state.get) if state.exists else None
         pdf = pd.concat(list(frames)).sort_values("frame_idx")
         rows = []
-        for frame, rx, ry, x, y in zip(*(pdf[c].tolist() for c in ("frame_idx", "raw_x", "raw_y", "x", "y"))):
+        for frame, rx, ry, x, y in zip(*(pdf[c].tolist() for c in ("frame_idx", *seen, "x", "y"))):
             last = held(None if pd.isna(rx) else (float(rx), float(ry)), last or (float(x), float(y)), (float(x), float(y)), longest)
             rows.append((name[0], frame, *last))
         if last is not None:

@@ -99,3 +99,11 @@ def test_streamed_marks_carry_state(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = twins.run_to_end(spark, str(tmp_path / "in"), df.schema, lambda s: twins.marks(s, 15.0), str(tmp_path / "state"), str(tmp_path / "out"))
     assert [r.mark_x for r in out.orderBy("frame_idx").collect()] == [0, 10, 20, 30, 40]
+
+
+def test_streamed_raw_marks_are_held(spark, tmp_path):
+    rows = [("o", 0, 0.0, 0.0, 5.0, 0.0), ("o", 1, None, None, 60.0, 80.0), ("o", 2, None, None, 61.0, 80.0), ("o", 3, 70.0, 90.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "obs string, frame_idx long, raw_x double, raw_y double, x double, y double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = twins.run_to_end(spark, str(tmp_path / "in"), df.schema, lambda s: twins.marks(s, 100.0), str(tmp_path / "state"), str(tmp_path / "out"))
+    assert [(r.mark_x, r.mark_y) for r in out.orderBy("frame_idx").collect()] == [(0, 0), (0, 0), (61, 80), (70, 90)]
