@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, mixing, neighbours, packing, pii, quality, scoring, substrings, toxicity
+from . import codes, jaccard, lines, mixing, neighbours, packing, periods, pii, quality, scoring, substrings, toxicity
 from .common import table
 
 
@@ -66,6 +66,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.repeat_tails(table(spark, sf_dir, "documents"))
+    return periods.collapse_runs(docs, shortest=24, digest=True)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -77,8 +87,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+def _codes_sql(rounds: int) -> str:
+    """Assignments and new codebooks, round by round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT vec_id, label, part, any_value(p.x) AS x, min(struct_pack(far := list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), entry := c.entry)) AS best
+  FROM p JOIN c{r} c USING (part) GROUP BY vec_id, label, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT part, entry, list(m ORDER BY i) AS x FROM (
+    SELECT part, best.entry AS entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r}, range(1, (SELECT max(len(x)) FROM p) + 1) AS k(i) GROUP BY ALL) GROUP BY ALL),
+c{r + 1} AS (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x, len(embedding) // 16 AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, part, x[part * d + 1:part * d + d] AS x FROM v, range(0, 16) AS r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < 64),{','.join(steps)},
+f AS (SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.far)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h"""
+
+
 _SPACES = r"[^\x20\x09-\x0D]"
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS.split()))
@@ -143,4 +179,5 @@ n AS (SELECT l.a AS copy_of, sum(c.size) AS linked, count(*) AS texts FROM l JOI
 SELECT g.doc_id, c.copy_of, m.class_id, (c.size - 1 + coalesce(n.linked, 0))::BIGINT AS n_links, coalesce(n.texts, 0)::BIGINT AS n_texts
 FROM g JOIN c ON md5(array_to_string(g.s, chr(10))) = c.k JOIN m USING (copy_of) LEFT JOIN n USING (copy_of)
 UNION ALL SELECT doc_id, doc_id, doc_id, 0, 0 FROM t WHERE len(w) = 0""",
+    "op12_vector_codes": _codes_sql(2),
 }
