@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, jaccard, lines, mixing, neighbours, packing, periods, pii, quality, scoring, substrings, toxicity
+from . import codes, jaccard, lines, mixing, neighbours, packing, pages, periods, pii, quality, scoring, substrings, toxicity
 from .common import table
 
 
@@ -76,6 +76,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
+    "op13_main_text": op13_main_text,
 }
 
 def _codes_sql(rounds: int) -> str:
