@@ -156,45 +156,3 @@ def noisy(df: DataFrame, vector: str, scale: float, unit: str, seed: int) -> Dat
         return x + scale * F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * np.pi * uniform(i, 1))
 
     return df.withColumn(vector, F.transform(vector, add))
-
-
-def late_fusion(score: Column, distance: Column, reach: float, weight: float = 0.5) -> Column:
-    """A score mixed with nearness, 1 at distance 0 and 0 from ``reach`` on; without a
-    distance the score alone."""
-    near = F.greatest(F.lit(0.0), 1 - distance / reach)
-    return F.when(distance.isNull(), score).otherwise((1 - weight) * score + weight * near)
-
-
-def siamese_scorer(shared: list[tuple[np.ndarray, np.ndarray]], head: list[tuple[np.ndarray, np.ndarray]]):
-    """A UDF of two views of a pair: the same ReLU layers encode both; what the head
-    sees is their sum, their absolute difference and their product, so that it does not
-    matter which view comes first."""
-
-    def layers(x: np.ndarray, of: list, last: bool) -> np.ndarray:
-        for k, (w, b) in enumerate(of):
-            x = x @ w + b
-            x = x if last and k + 1 == len(of) else np.maximum(x, 0)
-        return x
-
-    @F.pandas_udf(DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        u, v = (layers(np.stack(s.to_numpy()).astype(float), shared, False) for s in (a, b))
-        z = layers(np.concatenate([u + v, np.abs(u - v), u * v], 1), head, True)
-        return pd.Series(1 / (1 + np.exp(-z[:, 0])))
-
-    return score
-
-
-def class_scorer(weights: np.ndarray, bias: np.ndarray):
-    """A UDF of vectors: the chances of each class, by a linear layer and softmax."""
-    from pyspark.sql.types import ArrayType
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def score(x: pd.Series) -> pd.Series:
-        z = np.stack(x.to_numpy()).astype(float) @ weights + bias if len(x) else np.zeros((0, len(bias)))
-        p = np.exp(z - z.max(1, keepdims=True)) if len(x) else z
-        return pd.Series(list(p / p.sum(1, keepdims=True)) if len(x) else [], dtype=object)
-
-    return score

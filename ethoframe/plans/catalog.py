@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, frames, models, relations
+from . import analysis, frames, models, networks, relations
 
-_PARTS = (frames, analysis, relations, models)
+_PARTS = (frames, analysis, relations, models, networks)
 QUERIES: dict = {name: make for part in _PARTS for name, make in part.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_one, widened
 from ..operators import aggregate, learn, meta, metrics, quality, search
+from ..sources.staging import shared_folder
 from ..sources.tables import table
 from ..streaming import twins
 from . import views as V
@@ -124,11 +124,7 @@ def widened_bounds(spark, d):
 
 
 def _streamed(spark, d, make, key):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    root = root or "file://" + tempfile.gettempdir() + "/checkpoints"
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{path}/in"
     e = table(spark, d, "events").select(F.col("user_id").alias("obs"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("behavior"))
     # a last row far ahead moves the watermark past all others, and is dropped again

@@ -71,26 +71,6 @@ def test_noise_has_the_scale_and_repeats(spark):
     assert (a == b).all() and abs(a.mean() - 1) < 0.02 and abs(a.std() - 0.5) < 0.02
 
 
-def test_pair_scorer_does_not_mind_the_order(spark):
-    rng = np.random.default_rng(4)
-    score = learn.siamese_scorer([(rng.normal(size=(3, 4)), rng.normal(size=4))], [(rng.normal(size=(12, 1)), np.zeros(1))])
-    df = spark.createDataFrame([([1.0, 2.0, 3.0], [0.5, -1.0, 2.0]), ([0.0, 1.0, 0.0], [1.0, 1.0, 1.0])], "a array<double>, b array<double>")
-    rows = df.select(score("a", "b").alias("ab"), score("b", "a").alias("ba")).collect()
-    assert all(abs(r.ab - r.ba) < 1e-12 for r in rows) and rows[0].ab != rows[1].ab
-
-
-def test_class_chances(spark):
-    w, b = np.array([[1.0, 0.0, -1.0], [0.0, 1.0, 0.0]]), np.array([0.0, 0.1, 0.2])
-    p = spark.createDataFrame([([2.0, 1.0],)], "x array<double>").select(learn.class_scorer(w, b)("x").alias("p")).first().p
-    z = np.exp(np.array([2.0, 1.0]) @ w + b)
-    assert np.allclose(p, z / z.sum())
-
-
-def test_late_fusion(spark):
-    df = spark.createDataFrame([(0.8, 0.0), (0.8, 50.0), (0.8, 900.0), (0.8, None)], "s double, d double")
-    assert [round(r[0], 6) for r in df.select(learn.late_fusion(F.col("s"), F.col("d"), 100.0)).collect()] == [0.9, 0.65, 0.4, 0.8]
-
-
 def test_two_passes_fit_all_rows_with_the_best_number(spark):
     df = spark.range(10).select("id", (F.col("id") % 2 == 0).alias("is_val"))
     fits = []
