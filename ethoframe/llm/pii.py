@@ -5,8 +5,9 @@ digits, ranges, calendar) and, if valid, put through a keyed Feistel permutation
 the values of its format. Equal values get equal pseudonyms in all documents, unlike
 values unlike ones, and a pseudonym is again a valid value that reads like the
 original. A candidate that fails is cut at its spaces and hyphens: from the left, the
-longest run of its groups that is valid in one of the usual groupings is taken. What
-is left stays. All of it is one projection of Spark functions: no shuffle, no join,
+longest run of its groups that is valid in one of the usual groupings of any kind is
+taken, but only cards and ibans where the whole is grouped like a card. What is left
+stays. All of it is one projection of Spark functions: no shuffle, no join,
 no table of values.
 
 =========  ==========================================  =============================
@@ -16,14 +17,18 @@ email      name@domain.tld                             letters and digits of the
 iban       remainder of 97 is 1                        digits but the check digits
 card       13-19 digits, Luhn                          digits but the check digit
 ssn        area, group and serial in use               all valid (area, group, serial)
-nanp       +1 or national, area and exchange >= 200    all valid numbers
+nanp       +1, 001, 1 or national, area, exchange      all valid numbers
+           >= 200
 phone      +, 00 or 0 and 7-15 digits                  digits after the country code
 ip         four octets                                 all addresses
 date       a day in the 104,976 from 1850-01-01        those days
 =========  ==========================================  =============================
 
 A date with slashes is day first; one that is none is month first, and such dates
-are permuted among themselves. A number after 00 is linked to the same one after +.
+are permuted among themselves. A phone number has one pseudonym in all its spellings:
+after + or 00, with or without separators, and if it is nanp with or without its 1. The
+country code is told by the list of codes and stays; national numbers of other countries
+are not linked to their international form, as their country is not known.
 
 Defined results: null text stays null and has none; equal rows get equal results;
 other columns stay, but ``n_found`` and ``kinds`` are replaced.
@@ -47,17 +52,20 @@ _FIRST_DAY, _SIDE = "1850-01-01", 324
 #: Candidates, in the order in which they are tried at a place.
 _EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-_PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])"
+_PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4})+(?![0-9])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/\-])"
 _SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-_NANP = r"(?<![0-9+\-])(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9\-])"
-_TRUNK = r"(?<![0-9.,/+\-])(?:00[1-9][0-9]{0,2}[ \-]\(?[0-9]{1,4}\)?(?:[ \-]?[0-9]{2,4}){2,4}|\(?0[1-9][0-9]{1,4}(?:\) ?|[ /\-])[0-9]{3,8}(?:[ \-][0-9]{2,4}){0,3})(?![0-9]|[.,/\-][0-9])"
+_NANP = r"(?<![0-9+\-])(?:1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}[\-.])[0-9]{3}[\-.][0-9]{4}(?![0-9\-])"
+_TRUNK = r"(?<![0-9.,/+\-])(?:00[1-9][0-9]{0,2}[ \-]\(?[0-9]{1,4}\)?(?:[ \-]?[0-9]{2,4}){2,}|\(?0[1-9][0-9]{1,4}(?:\) ?|[ /\-])[0-9]{3,8}(?:[ \-][0-9]{2,4})*)(?![0-9]|[.,/\-][0-9])"
 _CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+"
 PATTERN = "|".join((_EMAIL, _IBAN, _PHONE, _IP, _DATE, _SSN, _NANP, _TRUNK, _CARD))
 _ANY = r"[0-9]{2}|@|[0-9]\.[0-9]"
 #: Usual groupings of card numbers, by which parts of a longer candidate are told.
 _GROUPED = r"^(?:[0-9]{13,19}|[2-9][0-9]{3}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|3[0-9]{3}([ \-])[0-9]{6}\2[0-9]{4,5})$"
+# The country codes of one and of two digits; all others have three.
+_CODES_1 = ("1", "7")
+_CODES_2 = tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Groups of the longest candidate that is written in groups: an IBAN of 34.
 _MOST_GROUPS = 9
 
@@ -187,22 +195,30 @@ def _ssn(key: str, m: Column) -> tuple[Column, Column]:
     return valid, F.format_string("%03d-%02d-%04d", F.when(new > 664, new + 2).otherwise(new + 1), s["a"] % 99 + 1, s["b"] + 1)
 
 
-def _nanp(key: str, m: Column) -> tuple[Column, Column]:
-    digits = _digits(m)
-    ten = F.substr(digits, F.length(digits) - 9, F.lit(10))
+def _ten(key: str, ten: Column) -> tuple[Column, Column]:
+    """A nanp number's ten digits: whether they are valid, and others."""
     area, exchange, line = (F.substr(ten, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (4, 3), (7, 4)))
-    ours = F.length(digits).isin(10) & ~m.startswith("+") | (F.length(digits) == 11) & m.rlike(r"^\+1[^0-9]")
     s = feistel(key, "nanp", (area - 200) * 800 + exchange - 200, line, 640_000, 10_000)
     new = F.format_string("%03d%03d%04d", F.floor(s["a"] / 800) + 200, s["a"] % 800 + 200, s["b"])
-    return ours & (area >= 200) & (exchange >= 200), _refill(m, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new))
+    return (area >= 200) & (exchange >= 200), new
+
+
+def _nanp(key: str, m: Column) -> tuple[Column, Column]:
+    digits = _digits(m)
+    before = F.substr(digits, F.lit(1), F.length(digits) - 10)
+    valid, new = _ten(key, F.substr(digits, F.length(digits) - 9, F.lit(10)))
+    # +1, 001, 1 or nothing; eleven digits without a separator after the 1 are no number
+    ours = (before == "") & ~m.startswith("+") | (before == "001") | (before == "1") & m.rlike(r"^\+|^1[^0-9]")
+    return ours & valid, _refill(m, F.concat(before, new))
 
 
 def _phone(key: str, m: Column) -> tuple[Column, Column]:
-    code = F.regexp_extract(m, r"^(?:\+|00)([0-9]{1,3}?)(?=[^0-9]|[0-9]{7})", 1)
-    digits = F.regexp_replace(_digits(m), "^00", "")
-    new = feistel_string(key, "phone", F.substr(digits, F.length(code) + 1, F.lit(20)))
     zeros = F.when(m.startswith("00"), "00").otherwise("")
-    return F.length(digits).between(7, 15), _refill(m, F.concat(zeros, code, new))
+    digits = F.regexp_replace(_digits(m), "^00", "")
+    short, long = F.substr(digits, F.lit(1), F.lit(1)), F.substr(digits, F.lit(1), F.lit(2))
+    n = F.when(short.isin(*_CODES_1), 1).when(long.isin(*_CODES_2), 2).otherwise(3)
+    new = feistel_string(key, "phone", F.substr(digits, n + 1, F.lit(20)))
+    return F.length(digits).between(7, 15), _refill(m, F.concat(zeros, F.substr(digits, F.lit(1), n), new))
 
 
 def _trunk(key: str, m: Column) -> tuple[Column, Column]:
@@ -267,35 +283,54 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "ip": (r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", _ip),
     "date": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$", _date),
     "ssn": (r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", _ssn),
-    "nanp": (r"^(?:\+1[ .\-]?)?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[\-. ]?[0-9]{4}$", _nanp),
+    "nanp": (r"^(?:(?:\+|00)?1[ .\-]?)?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[\-. ]?[0-9]{4}$", _nanp),
     "phone": (r"^(?:\+|00[1-9][0-9]{0,2}[ \-])[0-9 .()\-]+$", _phone),
     "trunk": (r"^\(?0[1-9][0-9]{1,4}(?:\) ?|[ /\-])[0-9 \-]+$", _trunk),
     "card": (r"^[0-9](?:[ \-]?[0-9]){12,18}$", _card),
 }
-#: Kinds whose candidates may take in what stands before or after them, each with the
-#: shape of their parts.
-_IN_PARTS = {"iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$", "card": _GROUPED}
+#: The shapes that parts of a candidate must have.
+_IN_PARTS = {
+    "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$",
+    "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
+    "nanp": r"^(?:(?:\+|00)1[ \-]\(?[0-9]{3}\)?[ \-]?[0-9]{3}[ \-]?[0-9]{4}|(?:1[ \-])?(?:\([0-9]{3}\) |[0-9]{3}-)[0-9]{3}-[0-9]{4})$",
+    "phone": r"^(?:\+[0-9]{1,3}[ \-]?\(?[0-9]{1,4}\)?(?:[ \-]?[0-9]{2,4}){1,4}|00[1-9][0-9]{0,2}[ \-]\(?[0-9]{1,4}\)?(?:[ \-]?[0-9]{2,4}){2,4})$",
+    "trunk": r"^\(?0[1-9][0-9]{1,4}(?:\) |[ \-])[0-9]{3,8}(?:[ \-][0-9]{2,4}){0,3}$",
+    "card": _GROUPED,
+}
 
 
-def _one(key: str, m: Column, shapes: dict[str, str] | None = None) -> Column:
-    """A candidate's struct (kind, text); a null kind where nothing fits."""
-    nothing = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
+def _kind(key: str, m: Column, shapes: dict[str, str], cards_only: Column | None = None) -> Column:
+    """The first kind of which a candidate is, or null; with ``cards_only`` true no
+    other than card and iban."""
     out = None
-    for kind, (shape, make) in KINDS.items():
-        if shapes is None or kind in shapes:
-            valid, new = make(key, m)
-            hit = m.rlike(shapes[kind] if shapes else shape) & F.coalesce(valid, F.lit(False))
-            # a national number is a phone number too
-            value = F.struct(F.lit("phone" if kind == "trunk" else kind).alias("kind"), new.alias("text"))
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(nothing)
+    for kind, shape in shapes.items():
+        hit = m.rlike(shape) & F.coalesce(KINDS[kind][1](key, m)[0], F.lit(False))
+        if cards_only is not None and kind not in ("card", "iban"):
+            hit = ~cards_only & hit
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out
+
+
+def _new(key: str, kind: Column, m: Column) -> Column:
+    """The pseudonym of a value of this kind; only that kind's is worked out."""
+    out = None
+    for k, (_, make) in KINDS.items():
+        new = make(key, m)[1]
+        out = F.when(kind == k, new) if out is None else out.when(kind == k, new)
+    return out.otherwise(m)
+
+
+def _told(kind: Column) -> Column:
+    """A national number is a phone number too."""
+    return F.when(kind == "trunk", "phone").otherwise(kind)
 
 
 def _in_parts(key: str, m: Column) -> Column:
     """A candidate that isn't valid as a whole: struct (kinds, text)."""
     ends = F.regexp_extract_all(m, F.lit("([ \\-])"), F.lit(1))
     parts = F.zip_with(F.split(m, "[ \\-]"), ends, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
-    none = F.array().cast("array<struct<g:int,h:int,kind:string,text:string>>")
+    none = F.array().cast("array<struct<g:int,h:int,kind:string,bare:string,end:string>>")
 
     def longest(parts: Column, g: Column) -> Column:
         """The longest valid span from group ``g`` on."""
@@ -305,8 +340,8 @@ def _in_parts(key: str, m: Column) -> Column:
             # the separator after it isn't part of it
             bare = F.regexp_replace(whole, "[ \\-]$", "")
             return _let(
-                F.struct(_one(key, bare, _IN_PARTS).alias("one"), F.substr(whole, F.length(bare) + 1, F.lit(1)).alias("end")),
-                lambda x: F.struct(g.alias("g"), h.alias("h"), x["one"]["kind"].alias("kind"), F.concat(x["one"]["text"], x["end"]).alias("text")),
+                F.struct(bare.alias("bare"), F.substr(whole, F.length(bare) + 1, F.lit(1)).alias("end")),
+                lambda x: F.struct(g.alias("g"), h.alias("h"), _kind(key, x["bare"], _IN_PARTS, m.rlike(_GROUPED)).alias("kind"), x["bare"].alias("bare"), x["end"].alias("end")),
             )
 
         to = F.least(F.size(parts) - 1, g + _MOST_GROUPS - 1)
@@ -318,11 +353,11 @@ def _in_parts(key: str, m: Column) -> Column:
 
     def shown(taken: Column, p: Column, i: Column) -> Column:
         over = F.filter(taken, lambda x: (x["g"] <= i) & (x["h"] >= i))
-        return _let(F.get(over, 0), lambda x: F.when(x.isNull(), p).when(x["g"] == i, x["text"]).otherwise(""))
+        return _let(F.get(over, 0), lambda x: F.when(x.isNull(), p).when(x["g"] == i, F.concat(_new(key, x["kind"], x["bare"]), x["end"])).otherwise(""))
 
     def with_taken(parts: Column, taken: Column) -> Column:
         text = F.array_join(F.transform(parts, lambda p, i: shown(taken, p, i)), "")
-        return F.struct(F.transform(taken, lambda x: x["kind"]).alias("kinds"), text.alias("text"))
+        return F.struct(F.transform(taken, lambda x: _told(x["kind"])).alias("kinds"), text.alias("text"))
 
     def with_parts(parts: Column) -> Column:
         taken = F.aggregate(F.transform(parts, lambda _, g: longest(parts, g)), F.struct(F.lit(0).alias("at"), none.alias("taken")), choose)["taken"]
@@ -334,11 +369,12 @@ def _in_parts(key: str, m: Column) -> Column:
 def _found(key: str, m: Column) -> Column:
     """A candidate's struct (kinds, text)."""
 
-    def settled(x: Column) -> Column:
-        whole = F.struct(F.array_compact(F.array(x["kind"])).alias("kinds"), x["text"].alias("text"))
-        return F.when(x["kind"].isNull() & m.rlike("^[A-Z0-9]+(?:[ \\-][A-Z0-9]+)+$"), _in_parts(key, m)).otherwise(whole)
+    def settled(kind: Column) -> Column:
+        whole = F.struct(F.array_compact(F.array(_told(kind))).alias("kinds"), _new(key, kind, m).alias("text"))
+        cut = kind.isNull() & m.rlike("^[^@]*[ \\-][^@]*$")
+        return F.when(cut, _in_parts(key, m)).otherwise(whole)
 
-    return _let(_one(key, m), settled)
+    return _let(_kind(key, m, {k: shape for k, (shape, _) in KINDS.items()}), settled)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

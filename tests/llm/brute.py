@@ -6,8 +6,6 @@ import re
 from collections import defaultdict
 from datetime import date, timedelta
 
-from ethoframe.llm import pii
-
 
 class Ppm:
     """Prediction by partial matching, by dictionaries, one symbol at a time."""
@@ -165,17 +163,18 @@ def _valid(key, kind, m):
         area = a // 99
         return f"{area + 1 + (area > 664):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
     if kind == "nanp":
-        ten = digits[-10:]
-        own = len(digits) == 10 and not m.startswith("+") or len(digits) == 11 and re.match(r"\+1[^0-9]", m)
-        if not own or int(ten[:3]) < 200 or int(ten[3:6]) < 200:
+        head, ten = digits[:-10], digits[-10:]
+        plus = m.startswith("+")
+        if not (head == "" and not plus or head == "001" or head == "1" and (plus or m[1] not in "0123456789")):
+            return None
+        if int(ten[:3]) < 200 or int(ten[3:6]) < 200:
             return None
         a, b = _pair(key, "nanp", (int(ten[:3]) - 200) * 800 + int(ten[3:6]) - 200, int(ten[6:]), 640_000, 10_000)
-        return _put(m, digits[:-10] + f"{a // 800 + 200:03d}{a % 800 + 200:03d}{b:04d}")
+        return _put(m, f"{head}{a // 800 + 200:03d}{a % 800 + 200:03d}{b:04d}")
     if kind == "phone":
-        code = re.match(r"(?:\+|00)([0-9]{1,3}?)(?=[^0-9]|[0-9]{7})", m)
-        code = code[1] if code else ""
         zeros = "00" if m.startswith("00") else ""
         digits = digits[len(zeros) :]
+        code = digits[:1] if digits[0] in "17" else digits[:2] if int(digits[:2]) in TWO else digits[:3]
         return _put(m, zeros + code + _letters(key, "phone", digits[len(code) :])) if 7 <= len(digits) <= 15 else None
     if kind == "trunk":
         return _put(m, digits[:2] + _letters(key, "trunk", digits[2:])) if 8 <= len(digits) <= 14 else None
@@ -185,38 +184,86 @@ def _valid(key, kind, m):
     return _put(m, new + str(-_luhn(new + "0") % 10))
 
 
-def _first(key, m, shapes):
-    for kind, shape in shapes.items():
-        if re.search(shape, m, re.A) and (new := _valid(key, kind, m)) is not None:
-            return "phone" if kind == "trunk" else kind, new
-    return None
+# the country codes of two digits, by their zones
+TWO = {20, 27, 30, 31, 32, 33, 34, 36, 39, *range(40, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98} - {42}
+
+D = "[0-9]"
+GAP = "[ -]"
+#: What a value of each kind looks like where it stands alone, in words of its own:
+#: (kind, what must not stand before, the value, what must not stand after).
+LOOKS = [
+    ("email", r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", None),
+    ("iban", r"[A-Za-z0-9]", rf"[A-Z]{{2}}{D}{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?", r"[A-Za-z0-9]"),
+    ("phone", r"[0-9+]", rf"\+{D}{{1,3}}[ .-]?\(?{D}{{1,4}}\)?(?:[ .-]?{D}{{2,4}})+", D),
+    ("ip", r"[0-9.]", rf"{D}{{1,3}}(?:\.{D}{{1,3}}){{3}}", rf"{D}|\.{D}"),
+    ("date", r"[0-9./-]", rf"(?:{D}{{4}}-{D}{{2}}-{D}{{2}}|{D}{{2}}/{D}{{2}}/{D}{{4}}|{D}{{2}}\.{D}{{2}}\.{D}{{4}})", r"[0-9/-]"),
+    ("ssn", r"[0-9-]", rf"{D}{{3}}-{D}{{2}}-{D}{{4}}", r"[0-9-]"),
+    ("nanp", r"[0-9+-]", rf"(?:1[ .-])?(?:\({D}{{3}}\) ?|{D}{{3}}[.-]){D}{{3}}[.-]{D}{{4}}", r"[0-9-]"),
+    ("phone", r"[0-9.,/+-]", rf"00[1-9]{D}{{0,2}}{GAP}\(?{D}{{1,4}}\)?(?:{GAP}?{D}{{2,4}}){{2,}}", rf"{D}|[.,/-]{D}"),
+    ("trunk", r"[0-9.,/+-]", rf"\(?0[1-9]{D}{{1,4}}(?:\) ?|[ /-]){D}{{3,8}}(?:{GAP}{D}{{2,4}})*", rf"{D}|[.,/-]{D}"),
+    ("card", D, rf"{D}(?:{GAP}?{D}){{12,}}", None),
+]
+FIND = re.compile("|".join((f"(?<!{before})" if before else "") + f"(?:{look})" + (f"(?!{after})" if after else "") for _, before, look, after in LOOKS), re.A)
+CARD = rf"{D}{{13,19}}|[2-9]{D}{{3}}({GAP}){D}{{4}}\1{D}{{4}}\1{D}{{1,4}}(?:\1{D}{{1,3}})?|3{D}{{3}}({GAP}){D}{{6}}\2{D}{{4,5}}"
+
+
+def _alone(key, m):
+    """(kind, pseudonym) of a whole candidate."""
+    def is_(pattern):
+        return re.fullmatch(pattern, m, re.A)
+
+    tried = [
+        ("email", "@" in m), ("iban", re.match(r"[A-Z]{2}[0-9]{2}", m)), ("ip", is_(rf"{D}{{1,3}}(?:\.{D}{{1,3}}){{3}}")),
+        ("date", is_(rf"{D}{{4}}-{D}{{2}}-{D}{{2}}|{D}{{2}}([./]){D}{{2}}\1{D}{{4}}")), ("ssn", is_(rf"{D}{{3}}-{D}{{2}}-{D}{{4}}")),
+        ("nanp", is_(rf"(?:(?:\+|00)?1[ .-]?)?\(?{D}{{3}}\)?[ .-]?{D}{{3}}[. -]?{D}{{4}}")), ("phone", is_(r"(?:\+|00[1-9][0-9]{0,2}[ -])[0-9 .()-]+")),
+        ("trunk", is_(rf"\(?0[1-9]{D}{{1,4}}(?:\) ?|[ /-])[0-9 -]+")), ("card", is_(rf"{D}(?:{GAP}?{D}){{12,18}}")),
+    ]
+    return next(((k, new) for k, fits in tried if fits and (new := _valid(key, k, m)) is not None), None)
+
+
+def _part(key, m):
+    """(kind, pseudonym) of some groups of a candidate, in the usual groupings."""
+    def is_(pattern):
+        return re.fullmatch(pattern, m, re.A)
+
+    tried = [
+        ("iban", is_(LOOKS[1][2])), ("date", is_(rf"{D}{{4}}-{D}{{2}}-{D}{{2}}")), ("ssn", is_(rf"{D}{{3}}-{D}{{2}}-{D}{{4}}")),
+        ("nanp", is_(rf"(?:\+|00)1{GAP}\(?{D}{{3}}\)?{GAP}?{D}{{3}}{GAP}?{D}{{4}}") or is_(rf"(?:1{GAP})?(?:\({D}{{3}}\) |{D}{{3}}-){D}{{3}}-{D}{{4}}")),
+        ("phone", is_(rf"\+{D}{{1,3}}{GAP}?\(?{D}{{1,4}}\)?(?:{GAP}?{D}{{2,4}}){{1,4}}") or is_(rf"00[1-9]{D}{{0,2}}{GAP}\(?{D}{{1,4}}\)?(?:{GAP}?{D}{{2,4}}){{2,4}}")),
+        ("trunk", is_(rf"\(?0[1-9]{D}{{1,4}}(?:\) |{GAP}){D}{{3,8}}(?:{GAP}{D}{{2,4}}){{0,3}}")), ("card", is_(CARD)),
+    ]
+    return next(((k, new) for k, fits in tried if fits and (new := _valid(key, k, m)) is not None), None)
 
 
 def pseudonyms(text, key):
     """The text with pseudonyms, and the kinds found."""
     kinds = []
 
+    def taken(found):
+        kinds.append("phone" if found[0] == "trunk" else found[0])
+        return found[1]
+
     def swap(match):
         m = match[0]
-        if found := _first(key, m, {k: shape for k, (shape, _) in pii.KINDS.items()}):
-            kinds.append(found[0])
-            return found[1]
-        if not re.fullmatch(r"[A-Z0-9]+(?:[ \-][A-Z0-9]+)+", m):
+        if found := _alone(key, m):
+            return taken(found)
+        if "@" in m or not re.search(GAP, m):
             return m
-        groups, out, g = re.findall(r"[A-Z0-9]+[ \-]?", m), "", 0
+        like_card = re.fullmatch(CARD, m, re.A)
+        groups, out, g = re.findall(r"[^ -]*[ -]|[^ -]+", m), "", 0
         while g < len(groups):
             for h in range(min(len(groups), g + 9), g, -1):
                 whole = "".join(groups[g:h])
-                bare = whole.rstrip(" -")
-                if found := _first(key, bare, pii._IN_PARTS):
-                    kinds.append(found[0])
-                    out, g = out + found[1] + whole[len(bare) :], h
+                bare = whole[:-1] if whole[-1] in " -" else whole
+                found = _part(key, bare)
+                if found and not (like_card and found[0] not in ("card", "iban")):
+                    out, g = out + taken(found) + whole[len(bare) :], h
                     break
             else:
                 out, g = out + groups[g], g + 1
         return out
 
-    return (None, []) if text is None else (re.sub(pii.PATTERN, swap, text, flags=re.A), kinds)
+    return (None, []) if text is None else (FIND.sub(swap, text), kinds)
 
 
 def _common(a, b, x, y, to_x, to_y):

@@ -204,6 +204,43 @@ def test_each_kind_alone(spark):
     assert out[10 * len(around)].text[1:] == out[11 * len(around)].text[2:]
 
 
+@pytest.mark.parametrize(
+    "spellings",
+    [
+        ("+1 708-555-4315", "+17085554315", "1-708-555-4315", "708-555-4315", "(708) 555-4315", "+1 (708) 555 4315", "001 708 555 4315"),
+        ("+49 30 12345678", "+493012345678", "0049 30 12345678", "+49-30-1234-5678", "+49 (30) 1234 5678"),
+        ("+353 1 234 5678", "+35312345678", "00353 1 234 5678"),
+        ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"),
+        ("BE68 5390 0754 7034", "BE68539007547034"),
+    ],
+)
+def test_a_value_has_one_pseudonym_in_all_spellings(spark, spellings):
+    """Also after, before and between other numbers that are nobody's."""
+    around = ("{}", "no {} there", "item 2 {}", "at 10 {}.", "7 {}", "{} and 12")
+    df = spark.createDataFrame([(len(around) * i + j, a.replace("{}", v)) for i, v in enumerate(spellings) for j, a in enumerate(around)], "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    ends = set()
+    for i, v in enumerate(spellings):
+        new = out[len(around) * i]
+        assert new != v and len(new) == len(v)
+        assert out[len(around) * i : len(around) * (i + 1)] == [a.replace("{}", new) for a in around], v
+        ends.add("".join(c for c in new if c.isalnum())[-8:])
+    assert len(ends) == 1
+
+
+def test_numbers_in_a_row(spark):
+    """Each of several values in one candidate gets the pseudonym it has alone; numbers grouped like cards that are none stay."""
+    alone = {"0049 30 1234 5678": "phone", "4111 1111 1111 1111": "card", "708-555-4315": "nanp", "2024-02-29": "date", "123-45-6789": "ssn", "+49 30 1234 5678": "phone"}
+    rows = [*alone, "+49 30 1234 5678 4111 1111 1111 1111", "4111 1111 1111 1111 0049 30 1234 5678", "12 2024-02-29 123 4567", "2 708-555-4315 12 14", "1 123-45-6789 1234 5", "4660 0581 2041 8123", "4660-0049-2041-8123"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    new = dict(zip(alone, out))
+    for text, got in zip(rows, out):
+        for v in sorted(alone, key=len, reverse=True):
+            text = text.replace(v, new[v])
+        assert got == text
+
+
 def test_dates_are_permuted_within_their_form(spark):
     days = spark.range(40_000, 40_800).select(F.date_add(F.lit("1850-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     for form, keep in (("yyyy-MM-dd", "true"), ("dd/MM/yyyy", "true"), ("MM/dd/yyyy", "day(d) > 12")):
@@ -218,7 +255,7 @@ def test_parts_against_brute_force(spark):
     import brute
 
     rng = np.random.default_rng(8)
-    bits = ["4111", "1111", "BE68 5390 0754 7034", "DE89", "3704 0044 0532 0130 00", "A1B2", "12", "31/12/1999", "12/31/1999", "-", "8.8.8.8", "0049 30 12345", "030/1234567", "4111-1111-1111-1111", "x@y.de", "ÉÉ", "PAID", "3782 822463 10005", "123-45-6789"]
+    bits = ["+49 30 1234 5678", "+1 708-555-4315", "1-708-555-4315", "(708) 555-4315", "2024-02-29", "708-555-4315", "4111", "1111", "BE68 5390 0754 7034", "DE89", "3704 0044 0532 0130 00", "A1B2", "12", "31/12/1999", "12/31/1999", "-", "8.8.8.8", "0049 30 12345", "030/1234567", "4111-1111-1111-1111", "x@y.de", "ÉÉ", "PAID", "3782 822463 10005", "123-45-6789"]
     texts = [" ".join(rng.choice(bits, int(rng.integers(1, 12)))) for _ in range(300)] + [None, "", " ".join(["1234"] * 400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.pseudonymise(df, "k").collect():
