@@ -1,7 +1,6 @@
 """Permutation tests, bootstrap, splits and samples from hashes, so that they are the
-same in each run and on any cluster. Replicates are made by exploding replicate
-numbers beside observation rows and summed at once; nothing is collected. Replicates
-are the unit of parallel work, so a table of observations (not of frames) is meant."""
+same in each run and on any cluster. Tests and intervals work on the sums by arm that
+``replicates`` makes; ``permuted`` gives the dealt rows themselves."""
 
 from __future__ import annotations
 
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import normal_two_sided, with_places
 from .folds import fold
+from .replicates import bootstrap_sums, permuted_sums
 
 
 def hash_order(*columns: str, seed: int | str = 0) -> Column:
@@ -32,13 +32,7 @@ def with_hash_rank(df: DataFrame, unit: str, seed: int | str, name: str = "_k")
 
 def anova(df: DataFrame, value: str, arm: str, by: tuple[str, ...] = ()) -> DataFrame:
     """F and its degrees of freedom."""
-    per = df.groupBy(*by, arm).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    between = F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")
-    within = F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))
-    k, n = F.count(F.lit(1)), F.sum("n")
-    return per.where("n > 0").groupBy(*by).agg(
-        ((between / (k - 1)) / F.nullif(within / (n - k), F.lit(0.0))).alias("f"), (k - 1).cast("long").alias("df1"), (n - k).cast("long").alias("df2")
-    )
+    return _anova_of(df.groupBy(*by, arm).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")), *by)
 
 
 def permuted(df: DataFrame, unit: str, arm: str, n: int, seed: int = 0, blocks: tuple[str, ...] = ()) -> DataFrame:
@@ -63,38 +57,44 @@ def permuted(df: DataFrame, unit: str, arm: str, n: int, seed: int = 0, blocks:
     return dealt.withColumn(arm, new).drop("_k", "_h", "_bucket", "_lower", "_arms")
 
 
-def permutation_anova(df: DataFrame, value: str, unit: str, arm: str, n: int = 200, seed: int = 0, blocks: tuple[str, ...] = ()) -> DataFrame:
+def _anova_of(sums: DataFrame, *by: str) -> DataFrame:
+    """F and its degrees of freedom from n, s and q by arm."""
+    between = F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")
+    within = F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))
+    k, n = F.count(F.lit(1)), F.sum("n")
+    return sums.where("n > 0").groupBy(*by).agg(
+        ((between / (k - 1)) / F.nullif(within / (n - k), F.lit(0.0))).alias("f"), (k - 1).cast("long").alias("df1"), (n - k).cast("long").alias("df2")
+    )
+
+
+def permutation_anova(df: DataFrame, value: str, unit: str, arm: str, n: int = 20000, seed: int = 0, blocks: tuple[str, ...] = ()) -> DataFrame:
     """F with p = (1 + replicates at least as large) / (n + 1)."""
     seen = anova(df, value, arm)
-    reps = anova(permuted(df, unit, arm, n, seed, blocks), value, arm, ("_rep",)).select(F.col("f").alias("f_rep"))
+    reps = _anova_of(permuted_sums(df, value, unit, arm, n, seed, blocks), "_rep").select(F.col("f").alias("f_rep"))
     joined = reps.crossJoin(F.broadcast(seen))  # one row
     larger = F.count_if(F.col("f_rep") >= F.col("f") - 1e-12)
     return joined.groupBy("f", "df1", "df2").agg(((larger + 1) / F.lit(n + 1.0)).alias("p"), F.count(F.lit(1)).alias("n_replicates"))
 
 
-def permutation_pairwise(df: DataFrame, value: str, unit: str, arm: str, n: int = 200, seed: int = 0) -> DataFrame:
+def permutation_pairwise(df: DataFrame, value: str, unit: str, arm: str, n: int = 20000, seed: int = 0) -> DataFrame:
     """Each pair's mean difference with a two-sided p; arms are dealt anew over all."""
     from .effects import pairs
 
-    def gaps(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        return pairs(rows.groupBy(*by, arm).agg(F.avg(value).alias("m")), arm, by).withColumn("gap", F.col("m1") - F.col("m0"))
+    def gaps(means: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return pairs(means, arm, by).withColumn("gap", F.col("m1") - F.col("m0"))
 
-    seen = gaps(df, ()).select("t0", "t1", "gap")
-    reps = gaps(permuted(df, unit, arm, n, seed), ("_rep",)).select(F.col("t0").alias("_0"), F.col("t1").alias("_1"), F.col("gap").alias("rep"))
+    seen = gaps(df.groupBy(arm).agg(F.avg(value).alias("m")), ()).select("t0", "t1", "gap")
+    means = permuted_sums(df, value, unit, arm, n, seed).where("n > 0").select("_rep", arm, (F.col("s") / F.col("n")).alias("m"))
+    reps = gaps(means, ("_rep",)).select(F.col("t0").alias("_0"), F.col("t1").alias("_1"), F.col("gap").alias("rep"))
     joined = reps.join(seen, (F.col("_0") == F.col("t0")) & (F.col("_1") == F.col("t1")))
     larger = F.count_if(F.abs("rep") >= F.abs("gap") - 1e-12)
     return joined.groupBy("t0", "t1", "gap").agg(((larger + 1) / F.lit(n + 1.0)).alias("p"))
 
 
-def bootstrap(df: DataFrame, value: str, unit: str, arm: str, n: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, unit: str, arm: str, n: int = 20000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile intervals of the arms' means. Each row is drawn a Poisson(1) number
     of times in each replicate, from a hash: no draws need to be coordinated."""
-    # the Poisson(1) distribution function up to 6, beyond which less than 1e-4 lies
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    u = F.substring(hash_order("_rep", unit, seed=seed), 1, 8)
-    times = sum(((u >= f"{int(s * (1 << 32)):08x}").cast("int") for s in steps), F.lit(0))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_n", times)
-    means = rows.groupBy("_rep", arm).agg((F.sum(F.col("_n") * F.col(value)) / F.nullif(F.sum("_n"), F.lit(0))).alias("m"))
+    means = bootstrap_sums(df, value, unit, arm, n, seed).withColumn("m", F.col("s") / F.nullif("n", F.lit(0)))
     low, high = (1 - level) / 2, (1 + level) / 2
     return means.groupBy(arm).agg(F.percentile("m", F.lit(low)).alias("low"), F.avg("m").alias("mean"), F.percentile("m", F.lit(high)).alias("high"))
 

@@ -93,16 +93,16 @@ def anova_f(spark, d):
 
 def permutation_anova(spark, d):
     rows = _obs(spark, d).select("obs", "T", "Yhat_b")
-    return rounded(resample.permutation_anova(rows, "Yhat_b", "obs", "T", 200, 7))
+    return rounded(resample.permutation_anova(rows, "Yhat_b", "obs", "T", _REPLICATES, 7))
 
 
 def permutation_pairwise(spark, d):
     rows = _obs(spark, d).select("obs", "T", "Yhat_b")
-    return rounded(resample.permutation_pairwise(rows, "Yhat_b", "obs", "T", 200, 7), "t0", "t1")
+    return rounded(resample.permutation_pairwise(rows, "Yhat_b", "obs", "T", _REPLICATES, 7), "t0", "t1")
 
 
 def bootstrap_ci(spark, d):
-    return rounded(resample.bootstrap(_obs(spark, d).select("obs", "T", "Yhat_b"), "Yhat_b", "obs", "T", 200, 7), "T")
+    return rounded(resample.bootstrap(_obs(spark, d).select("obs", "T", "Yhat_b"), "Yhat_b", "obs", "T", _REPLICATES, 7), "T")
 
 
 def mann_whitney_u(spark, d):
@@ -464,9 +464,23 @@ _FO = V.with_views("frames_orders")
 _EV = V.with_views("ev")
 _BODY = _EV + """, b AS (SELECT obs, frame_idx, (event_id * 37 % 400)::DOUBLE AS x, (event_id * 53 % 300)::DOUBLE AS y, event_id % 3 = 0 AS seen FROM ev)"""
 _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-_PERMUTED = """k AS (SELECT rep, Yhat_b, row_number() OVER (PARTITION BY rep ORDER BY md5('7|' || rep || '|' || obs), obs) AS k FROM o, range(1, 201) AS g(rep)),
-c AS (SELECT "T", sum(count(*)) OVER (ORDER BY "T") AS upto FROM o GROUP BY "T"), b AS (SELECT "T", upto, lag(upto, 1, 0) OVER (ORDER BY "T") AS below FROM c),
-dealt AS (SELECT rep, b."T", Yhat_b FROM k JOIN b ON k > below AND k <= upto)"""
+_REPLICATES = 2000
+
+
+def _mixed(name: str, source: str, start: str) -> str:
+    """Views that end in ``name``: ``source`` with h, the 32-bit mix of ``start``."""
+    steps = (start, "xor(h, h >> 16)", "h * 2246822507 % 4294967296", "xor(h, h >> 13)", "h * 3266489909 % 4294967296", "xor(h, h >> 16)")
+    names = [f"{name}_{i}" for i in range(len(steps) - 1)] + [name]
+    rest = ["* EXCLUDE (h)" if i else "*" for i in range(len(steps))]
+    return ", ".join(f"{n} AS MATERIALIZED (SELECT {r}, {x} AS h FROM {f})" for n, f, r, x in zip(names, [source, *names], rest, steps))
+
+
+_DRAWS = f"""u AS (SELECT obs, "T", Yhat_b, md5('7|' || obs) AS m FROM o), b AS (SELECT obs, "T", Yhat_b, ('0x' || m[1:8])::UBIGINT AS b1, ('0x' || m[9:16])::UBIGINT AS b2 FROM u),
+{_mixed('own', f'range(1, {_REPLICATES + 1}) AS g(rep)', 'rep::UBIGINT')}, {_mixed('once', '(SELECT b.*, rep, h AS c FROM b, own)', '(b1 + c) % 4294967296')},
+{_mixed('draws', '(SELECT * RENAME (h AS h0) FROM once)', 'xor(h0, b2)')}"""
+_PERMUTED = f"""{_DRAWS}, k AS (SELECT rep, Yhat_b, row_number() OVER (PARTITION BY rep ORDER BY h, b1, obs) AS k FROM draws),
+c AS (SELECT "T", sum(count(*)) OVER (ORDER BY "T") AS upto FROM o GROUP BY "T"), e AS (SELECT "T", upto, lag(upto, 1, 0) OVER (ORDER BY "T") AS below FROM c),
+dealt AS (SELECT rep, e."T", Yhat_b FROM k JOIN e ON k > below AND k <= upto)"""
 _F_OF = """{name}_a AS (SELECT rep, count(*) AS n, avg(Yhat_b) AS m, sum(Yhat_b) AS s, var_pop(Yhat_b) * count(*) AS w FROM {source} GROUP BY rep, "T"),
 {name}_g AS (SELECT *, sum(s) OVER (PARTITION BY rep) / sum(n) OVER (PARTITION BY rep) AS g FROM {name}_a),
 {name} AS (SELECT rep, (sum(n * (m - g) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f, (count(*) - 1)::BIGINT AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM {name}_g GROUP BY rep)"""
@@ -529,14 +543,14 @@ s AS (SELECT *, 1 - 2 * {t_area('abs(t)')} AS p FROM r)
 SELECT t0, t1, round(ate, 6) AS ate, round(se, 6) AS se, round(t, 6) AS t, round(df, 6) AS df, round(p, 6) AS p,
   CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS mark FROM s""",
     "permutation_anova": f"""{_OBS}, {_PERMUTED}, {_F_OF.format(name='seen', source='(SELECT 0 AS rep, "T", Yhat_b FROM o)')}, {_F_OF.format(name='drawn', source='dealt')}
-SELECT round(s.f, 6) AS f, s.df1, s.df2, round((1 + count(*) FILTER (WHERE d.f >= s.f - 1e-12)) / 201.0::DOUBLE, 6) AS p, count(*) AS n_replicates FROM seen s, drawn d GROUP BY ALL""",
+SELECT round(s.f, 6) AS f, s.df1, s.df2, round((1 + count(*) FILTER (WHERE d.f >= s.f - 1e-12)) / {_REPLICATES + 1}.0::DOUBLE, 6) AS p, count(*) AS n_replicates FROM seen s, drawn d GROUP BY ALL""",
     "permutation_pairwise": f"""{_OBS}, {_PERMUTED},
 a AS (SELECT 0 AS rep, "T", avg(Yhat_b) AS m FROM o GROUP BY "T" UNION ALL SELECT rep, "T", avg(Yhat_b) FROM dealt GROUP BY ALL),
 g AS (SELECT x.rep, x."T" AS t0, y."T" AS t1, y.m - x.m AS gap FROM a x JOIN a y ON x.rep = y.rep AND x."T" < y."T")
-SELECT s.t0, s.t1, round(s.gap, 6) AS gap, round((1 + count(*) FILTER (WHERE abs(d.gap) >= abs(s.gap) - 1e-12)) / 201.0::DOUBLE, 6) AS p
+SELECT s.t0, s.t1, round(s.gap, 6) AS gap, round((1 + count(*) FILTER (WHERE abs(d.gap) >= abs(s.gap) - 1e-12)) / {_REPLICATES + 1}.0::DOUBLE, 6) AS p
 FROM g s JOIN g d ON s.t0 = d.t0 AND s.t1 = d.t1 AND s.rep = 0 AND d.rep > 0 GROUP BY s.t0, s.t1, s.gap""",
-    "bootstrap_ci": f"""{_OBS}, r AS (SELECT rep, "T", Yhat_b, substr(md5('7|' || rep || '|' || obs), 1, 8) AS u FROM o, range(1, 201) AS g(rep) WHERE Yhat_b IS NOT NULL),
-w AS (SELECT rep, "T", Yhat_b, {' + '.join(f"(u >= '{int(x * (1 << 32)):08x}')::INT" for x in _POISSON)} AS n FROM r),
+    "bootstrap_ci": f"""{_OBS}, {_DRAWS},
+w AS (SELECT rep, "T", Yhat_b, {' + '.join(f"(h >= {int(x * (1 << 32))})::INT" for x in _POISSON)} AS n FROM draws WHERE Yhat_b IS NOT NULL),
 m AS (SELECT rep, "T", sum(n * Yhat_b) / nullif(sum(n), 0) AS m FROM w GROUP BY ALL)
 SELECT "T", round(quantile_cont(m, 0.025), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY "T\"""",
     "confusion_metrics": f"{_FO}, {_LONG}, c AS (SELECT outcome, {_COUNTS} FROM l GROUP BY outcome) SELECT outcome, {_rates('0')} FROM c",

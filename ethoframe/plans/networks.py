@@ -59,7 +59,7 @@ def _labelled(spark, d):
 def network_training(spark, d):
     """Each epoch of a network trained on all labelled vectors, by each method."""
     rows, net = _labelled(spark, d), N.Fused(64, 16, 1)
-    how = training.Settings(epochs=4, batches=4, rate=0.01, decay=0.01, penalty=0.5)
+    how = training.Settings(epochs=3, batches=2, rate=0.01, decay=0.01, penalty=0.5)
     out = []
     for method in ("ERM", "vREx", "IRM"):
         found = training.fit(rows, net, replace(how, method=method))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ethoframe.functions import columns as C
 from ethoframe.functions import roles, stats
-from ethoframe.operators import aggregate, effects, labels, learn, metrics, multiplicity, quality, resample, tracking, windows
+from ethoframe.operators import aggregate, effects, labels, learn, metrics, multiplicity, quality, replicates, resample, tracking, windows
 
 MAPPING = {"y": (1, 0), "b": (0, 1), "both": (1, 1)}
 
@@ -205,6 +205,50 @@ def test_blocked_permutation_stays_in_blocks(spark):
     assert out.join(df.withColumnRenamed("T", "T0"), ["obs", "block"]).where("T <> T0").count() > 0
 
 
+def one_by_one(rows, n, seed, by):
+    """Deals and draws of each replicate, sorted one by one."""
+    import hashlib
+
+    from ethoframe.operators.replicates import POISSON
+
+    def mix(h):
+        for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> shift)) * times % (1 << 32)
+        return h
+
+    dealt, drawn = {}, {}
+    for rep in range(1, n + 1):
+        keyed = []
+        for unit, arm, block, y in rows:
+            d = hashlib.md5(f"{seed}|{unit}".encode()).hexdigest()
+            a, b = int(d[:8], 16), int(d[8:16], 16)
+            h = mix(mix((a + mix(rep)) % (1 << 32)) ^ b)
+            keyed.append((block if by else 0, h, a, arm, y))
+            k = sum(h >= int(p * (1 << 32)) for p in POISSON)
+            if y is not None:
+                drawn.setdefault((rep, arm), []).extend([y] * k)
+        for block in {k[0] for k in keyed}:
+            own = sorted(k for k in keyed if k[0] == block)
+            for arm, k in zip(sorted(k[3] for k in own), own):
+                if k[4] is not None:
+                    dealt.setdefault((rep, arm), []).append(k[4])
+    return dealt, drawn
+
+
+@pytest.mark.parametrize("by", [(), ("block",)])
+def test_packed_replicates_are_those_dealt_one_by_one(spark, monkeypatch, by):
+    monkeypatch.setattr(replicates, "AT_ONCE", 70)  # two jobs, the second with one chunk and a part
+    rows = [(i, "abc"[i * i % 3], i % 4, None if i % 9 == 5 else float(i % 7)) for i in range(200)]
+    df = frames(spark, rows, "obs int, T string, block int, y double").repartition(3)
+    dealt, drawn = one_by_one(rows, 100, 5, by)
+    got = {(r._rep, r["T"]): (r.n, r.s, r.q) for r in replicates.permuted_sums(df, "y", "obs", "T", 100, 5, by).where("n > 0").collect()}
+    assert got == {k: (len(v), sum(v), sum(x * x for x in v)) for k, v in dealt.items()}
+    if not by:
+        got = {(r._rep, r["T"]): (r.n, r.s) for r in replicates.bootstrap_sums(df, "y", "obs", "T", 100, 5).collect()}
+        assert got == {k: (len(v), sum(v)) for k, v in drawn.items() if v}
+    assert replicates.permuted_sums(df.limit(0), "y", "obs", "T", 10).count() == 0 == replicates.bootstrap_sums(df.limit(0), "y", "obs", "T", 10).count()
+
+
 def test_hash_rank_is_a_permutation(spark):
     ranks = sorted(r._k for r in resample.with_hash_rank(frames(spark, [(i,) for i in range(500)], "u int"), "u", 3).collect())
     assert ranks == list(range(1, 501))
