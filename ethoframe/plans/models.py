@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_one, widened
-from ..operators import aggregate, learn, meta, metrics, quality, search
+from ..operators import aggregate, bounds, learn, meta, metrics, quality, search
 from ..sources.staging import shared_folder
 from ..sources.tables import table
 from ..streaming import twins
@@ -65,6 +65,21 @@ def two_stage_bounds(spark, d):
     return rounded(search.two_stage_bounds(f, "price", "Y_b", (0.0, 100000.0, 200000.0, 300000.0), (200000.0, 400000.0, 600000.0)), "low", "high")
 
 
+#: Bounds to choose among: discount from and to, quantity from, price from.
+_BOUNDS = [(a, b, s, v) for a in (0.0, 0.03) for b in (0.06, 0.1) for s in (0.0, 15.0, 30.0) for v in (0.0, 20000.0, 40000.0)]
+
+
+def bound_search(spark, d):
+    """Orders as frames, their lines as points in blobs by return flag; lines still open
+    lie on a body. The best bounds by exact scores with early stop."""
+    points = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("blob"), F.col("l_discount").alias("h"), F.col("l_quantity").alias("s"), F.col("l_extendedprice").alias("v"), (F.col("l_linestatus") == "O").cast("int").alias("body")
+    )
+    found = bounds.search(points, _BOUNDS, area=(1, 3), weights=(1.0, 0.5, 0.5), share=0.5, blocks=6)
+    row = (*found.best, *[float(round(x, 9)) for x in (found.score, found.precision, found.no_detection, found.over_detection)], found.tried)
+    return spark.createDataFrame([row], "h_low double, h_high double, s_low double, v_low double, score double, precision double, no_detection double, over_detection double, n_tried int")
+
+
 def vector_quality(spark, d):
     return quality.vector_report(V.vectors(spark, d), "x")
 
@@ -148,7 +163,7 @@ def stream_session(spark, d):
 QUERIES = {
     "s_learner": _learner(meta.s_learner), "t_learner": _learner(meta.t_learner), "x_learner": _learner(meta.x_learner), "dr_learner": _learner(meta.dr_learner),
     "aipw_forest": _learner(meta.aipw_forest), "probe_train_scores": probe_train_scores, "probe_train_weighted": probe_train_weighted,
-    "invariant_probe": invariant_probe, "mixup_augmented": mixup_augmented, "inference_suite": inference_suite, "inference_suite_pvalues": inference_suite_pvalues, "two_stage_bounds": two_stage_bounds, "vector_quality": vector_quality, "frame_quality": frame_quality,
+    "invariant_probe": invariant_probe, "mixup_augmented": mixup_augmented, "inference_suite": inference_suite, "inference_suite_pvalues": inference_suite_pvalues, "two_stage_bounds": two_stage_bounds, "bound_search": bound_search, "vector_quality": vector_quality, "frame_quality": frame_quality,
     "pending_runs": pending_runs, "run_states": run_states, "recording_check": recording_check, "selected_share": selected_share,
     "outcome_metrics": outcome_metrics, "agent_range": agent_range, "widened_bounds": widened_bounds, "stream_tumbling": stream_tumbling, "stream_session": stream_session,
 }
@@ -164,6 +179,18 @@ SELECT frame_idx, round(y * 0.7::DOUBLE + coalesce(y2, y) * 0.3::DOUBLE, 6) AS y
     "inference_suite": f"""{_OBS}, {_ARMS_SQL.format('Yhat_b')}, {_F}
 SELECT 'anova' AS test, NULL AS t0, NULL AS t1, NULL::DOUBLE AS effect, round(f, 6) AS statistic, df FROM f
 UNION ALL SELECT 'welch', t0, t1, round(mean1 - mean0, 6), round({_WELCH}, 6), round({_WELCH_DF}, 6) FROM p""",
+    "bound_search": f"""WITH c AS (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {', '.join(str(b) for b in _BOUNDS)}) AS c(h_low, h_high, s_low, v_low)),
+n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem),
+t AS (SELECT k, l_orderkey AS f, l_returnflag AS b, (l_linestatus = 'O')::INT AS body FROM lineitem, c
+  WHERE l_discount BETWEEN h_low::DOUBLE AND h_high::DOUBLE AND l_quantity >= s_low AND l_extendedprice >= v_low),
+p AS (SELECT k, sum(r) / any_value(n.n) AS cheap FROM (SELECT k, f, avg(body) AS r FROM t GROUP BY ALL), n GROUP BY k),
+o AS (SELECT k, cheap FROM p WHERE cheap >= 0.5 * (SELECT max(cheap) FROM p)),
+g AS (SELECT k, f, b, sum(body) AS m FROM t GROUP BY ALL HAVING sum(body) BETWEEN 1 AND 3),
+e AS (SELECT k, f, max(m)::DOUBLE / sum(m) AS r, count(*) AS m FROM g GROUP BY ALL),
+s AS (SELECT k, sum(r) / any_value(n.n) AS precision, (any_value(n.n) - count(*))::DOUBLE / any_value(n.n) AS no_detection, (count(*) FILTER (WHERE m > 1))::DOUBLE / any_value(n.n) AS over_detection FROM e, n GROUP BY k),
+r AS (SELECT o.k, cheap, coalesce(precision, 0) AS p, coalesce(no_detection, 1) AS nd, coalesce(over_detection, 0) AS od, p - 0.5::DOUBLE * nd - 0.5::DOUBLE * od AS score FROM o LEFT JOIN s USING (k))
+SELECT h_low::DOUBLE AS h_low, h_high::DOUBLE AS h_high, s_low::DOUBLE AS s_low, v_low::DOUBLE AS v_low, round(score, 9) AS score, round(p, 9) AS precision, round(nd, 9) AS no_detection,
+  round(od, 9) AS over_detection, (SELECT count(*) FROM o)::INT AS n_tried FROM r JOIN c USING (k) ORDER BY round(score, 9) DESC, cheap DESC, k LIMIT 1""",
     "vector_quality": f"""{V.with_views('vectors')}
 SELECT count(*) AS n, count(*) FILTER (WHERE len(list_filter(x, lambda v: v <> 0)) = 0) AS n_zero, count(*) FILTER (WHERE len(list_filter(x, lambda v: isnan(v))) > 0) AS n_nan,
   count(DISTINCT len(x)) AS n_lengths FROM vectors""",
