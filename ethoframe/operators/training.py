@@ -51,13 +51,14 @@ class Settings:
 @dataclass
 class Fitted:
     """The parameters of the best epoch, the number of that epoch, each epoch's loss and
-    balanced accuracies, and what the losses tell (``diagnosed``)."""
+    balanced accuracies, what the losses tell (``diagnosed``), and the last parameters."""
 
     network: Network
     parameters: Arrays
     best_epoch: int
     history: list[dict] = field(default_factory=list)
     diagnostics: dict = field(default_factory=dict)
+    last: Arrays = field(default_factory=dict)
 
 
 def _losses(network: Network, z: np.ndarray, y: np.ndarray, how: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +332,7 @@ def fit(rows: DataFrame, network: Network, how: Settings, start: Arrays | None =
                 state_table(spark, network, {"value": values, "best": best, "m": adam.m, "v": adam.v}, note).coalesce(1).write.mode("overwrite").parquet(f"{folder}/epoch-{epoch:06d}")
     finally:
         staging.remove(spark, path)
-    return Fitted(network, network.shaped(best), best_epoch, history, diagnosed(history, best_epoch, how.epochs))
+    return Fitted(network, network.shaped(best), best_epoch, history, diagnosed(history, best_epoch, how.epochs), network.shaped(values))
 
 
 def train(rows: DataFrame, network: Network, how: Settings, start: Arrays | None = None, fitter=fit) -> tuple[Fitted, list[str]]:

@@ -6,12 +6,14 @@ Schemas are given or read as strings and cast: inference would take an id such a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import stem
+from .npy import matrices
 
 
 def is_valid(df: DataFrame) -> Column:
@@ -84,13 +86,21 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, *paths: str) -> DataFrame:
-    """The first of several Parquet tables that exists, with vectors by key."""
+    """The first of several tables of vectors that can be read: Parquet by key, or
+    ``.npy`` files (see ``npy``). One that is not there is passed over; one that is
+    there but broken is passed over with a warning. Refuses if none is left."""
     for path in paths:
         try:
+            if path.endswith(".npy"):
+                df = matrices(spark, path)
+                df.limit(1).collect()
+                return df
             return spark.read.parquet(path)
+        except FileNotFoundError:
+            continue
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+            if "PATH_NOT_FOUND" not in str(e) and "FileNotFoundError" not in str(e):
+                warnings.warn(f"{path} can't be read, passed over: {str(e)[:200]}", stacklevel=2)
     raise FileNotFoundError(f"none of {paths}")
 
 
