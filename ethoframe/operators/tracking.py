@@ -70,6 +70,62 @@ def assign(slots: list[tuple], claims: dict[str, int], last: dict[str, tuple]) -
     return {a: out.get(a, last[a]) for a in ANIMALS}
 
 
+#: What a frame of detections may have beside its number, with types.
+DETECTED = {"xs": "array<double>", "ys": "array<double>", "sizes": "array<int>", "blue_blob": "int", "yellow_blob": "int", "blue_x": "double", "blue_y": "double", "yellow_x": "double", "yellow_y": "double"}
+
+
+def detected(df: DataFrame) -> list[Column]:
+    """The columns of ``DETECTED``, null where ``df`` lacks them."""
+    return [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in DETECTED.items()]
+
+
+class Tracker:
+    """One observation's identities, frame by frame. State is the last marks alone, and
+    the frames of the scan for the first ones, which wait for its end."""
+
+    def __init__(self, width: float, height: float, longest: float, scan: int):
+        self.plain = {a: (width * q, height * q) for a, q in zip(ANIMALS, (0.25, 0.5, 0.75))}
+        self.longest, self.scan = longest, scan
+        self.marks: dict[str, tuple] | None = None
+        self.waiting: list[tuple] = []
+
+    @staticmethod
+    def _slots(xs, ys, sizes) -> list[tuple]:
+        return [(b, p) for b, (p, n) in enumerate(zip(zip(xs or (), ys or ()), sizes or [1] * len(xs or ()))) for _ in range(n)]
+
+    def _placed(self, frame, xs, ys, sizes, blue, yellow, bx, by, yx, yy) -> list[tuple]:
+        at = assign(self._slots(xs, ys, sizes), {"blue": blue, "yellow": yellow}, self.marks)
+        raw = {"blue": None if bx is None else (bx, by), "yellow": None if yx is None else (yx, yy)}
+        self.marks = {a: held(raw[a], self.marks[a], at[a], self.longest) for a in ANIMALS[:-1]} | {"focal": at["focal"]}
+        return [(frame, a, *at[a], *self.marks[a]) for a in ANIMALS]
+
+    def _release(self) -> list[tuple]:
+        waiting, self.waiting = self.waiting, []
+        return [made for w in waiting for made in self._placed(*w)]
+
+    def frame(self, frame, *row) -> list[tuple]:
+        """Rows (frame, animal, x, y, mark_x, mark_y) of the frames that are settled now."""
+        if self.marks is not None:
+            return self._placed(frame, *row)
+        self.waiting.append((frame, *row))
+        xs, ys, sizes, blue, yellow, bx, by, yx, yy = row
+        both = bx is not None and yx is not None
+        if not both and len(self.waiting) < self.scan:
+            return []
+        self.marks = self.plain
+        if both:
+            # the focal animal starts where this frame has it
+            focal = assign(self._slots(xs, ys, sizes), {"blue": blue, "yellow": yellow}, self.plain)["focal"]
+            self.marks = {"blue": (bx, by), "yellow": (yx, yy), "focal": focal}
+        return self._release()
+
+    def finish(self) -> list[tuple]:
+        """The frames that still wait, at an observation's end."""
+        if self.marks is None:
+            self.marks = self.plain
+        return self._release()
+
+
 def track(detections: DataFrame, width: float = 400.0, height: float = 300.0, longest: float = 100.0, scan: int = 300, key: str = "obs") -> DataFrame:
     """Identities through an observation's frames: (key, frame_idx, animal, x, y,
     mark_x, mark_y), one row for each animal.
@@ -79,48 +135,22 @@ def track(detections: DataFrame, width: float = 400.0, height: float = 300.0, lo
     ``blue_x``, ``blue_y``, ``yellow_x``, ``yellow_y``; ``sizes`` (animals in each
     blob) if blobs may be merged. Missing columns count as never seen, sizes as 1.
     Blobs go to animals as by ``assign``, marks follow as by ``held``. The first marks
-    are those of the first of ``scan`` frames that shows both; without one, and up to
-    it, places on the frame's diagonal stand in. State is the last marks alone, and the
-    frames of the scan, which wait for its end.
+    are those of the first of ``scan`` frames that shows both, for the frames up to it
+    too; without one, places on the frame's diagonal stand in.
     """
-    types = {"xs": "array<double>", "ys": "array<double>", "sizes": "array<int>", "blue_blob": "int", "yellow_blob": "int", "blue_x": "double", "blue_y": "double", "yellow_x": "double", "yellow_y": "double"}
-    rows = detections.select(key, "frame_idx", *[(F.col(c) if c in detections.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
-    plain = {a: (width * q, height * q) for a, q in zip(ANIMALS, (0.25, 0.5, 0.75))}
+    rows = detections.select(key, "frame_idx", *detected(detections))
     made = {"frame": rows.schema["frame_idx"].dataType.simpleString(), "animal": "string", "x": "double", "y": "double", "mark_x": "double", "mark_y": "double"}
     # the end of each observation is a row too: it lets the waiting frames go
     ends = rows.groupBy(key).agg((F.max("frame_idx") + 1).cast(made["frame"]).alias("frame_idx")).withColumn("last", F.lit(True))
     rows = rows.withColumn("last", F.lit(False)).unionByName(ends, allowMissingColumns=True)
 
     def begin():
-        marks, waiting, seen = None, [], 0
-
-        def placed(frame, xs, ys, sizes, blue, yellow, bx, by, yx, yy):
-            nonlocal marks
-            slots = [(b, p) for b, (p, n) in enumerate(zip(zip(xs or (), ys or ()), sizes or [1] * len(xs or ()))) for _ in range(n)]
-            at = assign(slots, {"blue": blue, "yellow": yellow}, marks)
-            raw = {"blue": None if bx is None else (bx, by), "yellow": None if yx is None else (yx, yy)}
-            marks = {a: held(raw[a], marks[a], at[a], longest) for a in ANIMALS[:-1]} | {"focal": at["focal"]}
-            return [(frame, a, *at[a], *marks[a]) for a in ANIMALS]
+        tracker = Tracker(width, height, longest, scan)
 
         def step(frame, *row):
-            nonlocal marks, seen
-            *row, last = row
-            if marks is not None:
-                return [] if last else placed(frame, *row)
-            if not last:
-                waiting.append((frame, *row))
-                seen += 1
-            both = not last and row[5] is not None and row[7] is not None
-            if not (both or last or seen == scan):
-                return []
-            marks = plain
-            if both:
-                # the focal animal starts where this frame has it
-                focal = assign([(b, p) for b, (p, n) in enumerate(zip(zip(row[0] or (), row[1] or ()), row[2] or [1] * len(row[0] or ()))) for _ in range(n)], {"blue": row[3], "yellow": row[4]}, plain)["focal"]
-                marks = {"blue": (row[5], row[6]), "yellow": (row[7], row[8]), "focal": focal}
-            return [made for w in waiting for made in placed(*w)]
+            return tracker.finish() if row[-1] else tracker.frame(frame, *row[:-1])
 
         return step
 
-    out = fold(rows, key, "frame_idx", (*types, "last"), made, begin)
+    out = fold(rows, key, "frame_idx", (*DETECTED, "last"), made, begin)
     return out.select(key, F.col("frame").alias("frame_idx"), "animal", "x", "y", "mark_x", "mark_y")

@@ -339,14 +339,17 @@ def proximity_flags(spark, d):
     return tracking.with_proximity(b, 80.0).select("obs", "frame_idx", "B2F", "Y2F")
 
 
-def identity_fold(spark, d):
+def detections(spark, d):
     e = F.col("obs") * 31 + F.col("frame_idx")
-    blobs = _bodies(spark, d).select(
+    return _bodies(spark, d).select(
         "obs", "frame_idx", F.array("x", F.col("x") + 40, F.col("x") - 60).alias("xs"), F.array("y", F.col("y") + 10, F.col("y") - 20).alias("ys"),
         F.when(e % 5 == 0, 0).alias("blue_blob"), F.when(e % 5 == 0, F.col("x")).alias("blue_x"), F.when(e % 5 == 0, F.col("y")).alias("blue_y"),
         F.when(e % 3 == 0, 1).alias("yellow_blob"), F.when(e % 3 == 0, F.col("x") + 40).alias("yellow_x"), F.when(e % 3 == 0, F.col("y") + 10).alias("yellow_y"),
     )
-    return tracking.track(blobs)
+
+
+def identity_fold(spark, d):
+    return tracking.track(detections(spark, d))
 
 
 def detection_rates(spark, d):

@@ -10,7 +10,7 @@ from ..functions.columns import from_one, widened
 from ..operators import aggregate, bounds, learn, meta, metrics, quality, search
 from ..sources.staging import shared_folder
 from ..sources.tables import table
-from ..streaming import twins
+from ..streaming import identities, twins
 from . import views as V
 from .analysis import _ARMS as _ARMS_SQL
 from .analysis import _WELCH, _WELCH_DF, rounded
@@ -150,6 +150,22 @@ def _streamed(spark, d, make, key):
     return out.where(F.col(key) < F.lit("2029-01-01").cast("timestamp"))
 
 
+def identity_stream(spark, d):
+    """Identities of ``identity_fold``'s frames, streamed in any order."""
+    from .analysis import detections
+
+    frames = detections(spark, d).join(V.events(spark, d).select("obs", "frame_idx", F.col("ts").cast("timestamp").alias("ts")), ["obs", "frame_idx"])
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    frames.write.parquet(f"{path}/in")
+    # a last row far ahead moves the watermark past all others
+    ahead = {"obs": F.lit(-1).cast("long"), "ts": F.lit("2030-01-01").cast("timestamp")}
+    frames.limit(1).withColumns(ahead).select(frames.columns).write.mode("append").parquet(f"{path}/in")
+    year = 365 * 86400.0
+    with identities.stream_settings(spark):
+        out = twins.run_to_end(spark, f"{path}/in", frames.schema, lambda f: identities.identities(f, idle=year), f"{path}/state", f"{path}/out")
+    return out.where("obs >= 0")
+
+
 def stream_tumbling(spark, d):
     rows = _streamed(spark, d, lambda e: twins.tumbling(e, "6 hours", ("behavior",), "value"), "start")
     return rows.select(F.unix_seconds("start").alias("start"), "behavior", "n", F.round("total", 4).alias("total"))
@@ -165,7 +181,7 @@ QUERIES = {
     "aipw_forest": _learner(meta.aipw_forest), "probe_train_scores": probe_train_scores, "probe_train_weighted": probe_train_weighted,
     "invariant_probe": invariant_probe, "mixup_augmented": mixup_augmented, "inference_suite": inference_suite, "inference_suite_pvalues": inference_suite_pvalues, "two_stage_bounds": two_stage_bounds, "bound_search": bound_search, "vector_quality": vector_quality, "frame_quality": frame_quality,
     "pending_runs": pending_runs, "run_states": run_states, "recording_check": recording_check, "selected_share": selected_share,
-    "outcome_metrics": outcome_metrics, "agent_range": agent_range, "widened_bounds": widened_bounds, "stream_tumbling": stream_tumbling, "stream_session": stream_session,
+    "outcome_metrics": outcome_metrics, "agent_range": agent_range, "widened_bounds": widened_bounds, "identity_stream": identity_stream, "stream_tumbling": stream_tumbling, "stream_session": stream_session,
 }
 
 _F = """a AS (SELECT count(*) AS n, avg(Yhat_b) AS m, sum(Yhat_b) AS s, var_pop(Yhat_b) * count(*) AS w FROM o GROUP BY "T"), g AS (SELECT sum(s) / sum(n) AS m FROM a),

@@ -62,10 +62,11 @@ def marks(bodies: DataFrame, longest: float, key: str = "obs") -> DataFrame:
     )
 
 
-def run_to_end(spark: SparkSession, source: str, schema: StructType, make, checkpoint: str, target: str, mode: str = "append") -> DataFrame:
-    """Streams Parquet files through ``make`` into ``target`` until all that is
-    there has been read, and reads the result."""
-    stream = spark.readStream.schema(schema).parquet(source)
+def run_to_end(spark: SparkSession, source: str, schema: StructType, make, checkpoint: str, target: str, mode: str = "append", each: int | None = None) -> DataFrame:
+    """Streams Parquet files, ``each`` of them in a batch, through ``make`` into
+    ``target`` until all that is there has been read, and reads the result."""
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", each) if each else reader).parquet(source)
     query = make(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(target)
