@@ -202,6 +202,8 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
+#: Labelled ids up to which calibration broadcasts them.
+FEW_IDS = 2_000_000
 #: Buckets of scores for one step of log odds.
 STEPS = 64
 
@@ -217,8 +219,12 @@ def calibrate(net: Network, docs: DataFrame, known: DataFrame, given: float, rat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     p = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
-    scored = rows.mapInArrow(_scorer(shared), "doc_id long, lang string, score double").select("doc_id", "lang", F.log(p / (1 - p)).alias("z"))
-    scored = scored.join(known.select(F.col("doc_id").cast("long").alias("doc_id"), "label"), "doc_id")
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    # only rows with such a label are scored; few ids are broadcast, so that no text moves
+    ids = known.select("doc_id")
+    some = rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi").select("doc_id", "text", "lang")
+    scored = some.mapInArrow(_scorer(shared), "doc_id long, lang string, score double").select("doc_id", "lang", F.log(p / (1 - p)).alias("z"))
+    scored = scored.join(known, "doc_id")
     counts = scored.groupBy("lang", "label", F.floor(F.col("z") * STEPS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
     table = counts.toPandas()
     shared.destroy()

@@ -272,6 +272,37 @@ def test_ids_are_those_of_the_tokenizer():
     assert all(plain.encode(t, add_special_tokens=False).ids == fast.encode(t, allowed_special="all") for t in texts)
 
 
+def test_calibration_scores_labelled_rows_only(spark, monkeypatch):
+    """Counted as they are scored; by broadcast or by join the thresholds are the same."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["bad", "good", "so", "it"], 12)), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(rows[i][1].count("bad") > 3)) for i in range(0, 400, 4)], "doc_id long, toxic int")
+    scored, scorer = spark.sparkContext.accumulator(0), toxicity._scorer
+
+    def counting(shared):
+        inner = scorer(shared)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    scored.add(b.num_rows)
+                    yield b
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_scorer", counting)
+    nets = []
+    for few in (2_000_000, 0):
+        monkeypatch.setattr(toxicity, "FEW_IDS", few)
+        scored.value = 0
+        nets.append(toxicity.train(docs, labels, per_class=10, folds=1, fold=2))
+        assert 0 < scored.value <= 100
+    assert nets[0].offset == nets[1].offset and nets[0].thresholds == nets[1].thresholds
+
+
 def test_filters_learn_what_words_alone_do_not_show():
     """Every word comes as often in both classes: only their order tells. Without any
     training no document is told from another."""
