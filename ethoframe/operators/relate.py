@@ -49,6 +49,32 @@ def work_list(observations: DataFrame, animals: DataFrame, done: DataFrame, key:
     return items.join(marked, [key, "animal"], "left").select(key, "animal", F.when(F.col("_done"), "done").otherwise("open").alias("status"))
 
 
+def work_states(experiments: DataFrame, animals: DataFrame | tuple[str, ...], done: DataFrame, failed: DataFrame, key: str = "obs", video: str = "video") -> DataFrame:
+    """Every experiment that has a video with every animal: done, failed (tried and not
+    done) or open. ``animals``: given ids, or a table whose distinct ids stand for all
+    experiments; either way they are few."""
+    there = experiments.where(F.col(video).isNotNull() & (F.trim(video) != "")).select(key).distinct()
+    if isinstance(animals, DataFrame):
+        ids = animals.agg(F.sort_array(F.collect_set(F.col("animal"))).alias("_ids"))
+        items = there.crossJoin(F.broadcast(ids)).select(key, F.explode("_ids").alias("animal"))  # one row
+    else:
+        items = there.select(key, F.explode(F.array(*[F.lit(a) for a in animals])).alias("animal"))
+    marks = {name: rows.select(key, "animal").distinct().withColumn(name, F.lit(True)) for name, rows in (("_done", done), ("_failed", failed))}
+    for marked in marks.values():
+        items = items.join(marked, [key, "animal"], "left")
+    return items.select(key, "animal", F.when(F.col("_done"), "done").when(F.col("_failed"), "failed").otherwise("open").alias("status"))
+
+
+def positions(frames: DataFrame, tracking: DataFrame, animal: str, default: tuple[int, int], key: str = "obs", order: str = "frame_idx") -> DataFrame:
+    """Each frame with the place (whole numbers, cut towards 0) of one animal out of long
+    tracking (key, order, animal, x, y), or ``default`` where it was not seen, and whether
+    it was. Of several places in a frame the smallest (x, y) counts."""
+    seen = tracking.where((F.col("animal") == animal) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    one = seen.groupBy(key, order).agg(F.min(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("_p"))
+    rows = frames.join(one, [key, order], "left")
+    return rows.select(*frames.columns, F.coalesce("_p.x", F.lit(default[0])).alias("x"), F.coalesce("_p.y", F.lit(default[1])).alias("y"), F.col("_p").isNotNull().alias("found"))
+
+
 def covariates_from(frames: DataFrame, observations: DataFrame, columns: tuple[str, ...], key: str = "obs") -> DataFrame:
     """W_ columns of each frame's observation, for those columns that it has."""
     there = [c for c in columns if c in observations.columns]

@@ -259,7 +259,9 @@ def negative_sampling(spark, d):
 
 
 def grid_configs(spark, d):
-    axes = {"layers": (0, 1, 2), "hidden": (0, 128, 512), "context": (0, 2, 4), "mode": ("none", "mean", "concat"), "rate": (0.001, 0.0003)}
+    """A search's settings for each label that the vectors have."""
+    labels = tuple(r["label"] for r in V.vectors(spark, d).select("label").distinct().orderBy("label").collect())  # classes are few
+    axes = {"label": labels, "layers": (0, 1, 2), "hidden": (0, 128, 512), "context": (0, 2, 4), "mode": ("none", "mean", "concat"), "rate": (0.001, 0.0003)}
     return learn.grid(spark, axes, "(layers = 0) = (hidden = 0)", "(context = 0) = (mode = 'none')")
 
 
@@ -610,8 +612,8 @@ SELECT obs, frame_idx, is_val FROM frames_orders JOIN k USING (obs)""",
     "negative_sampling": """WITH t AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 n AS (SELECT doc_id, toxic, row_number() OVER (ORDER BY md5('4|' || doc_id), doc_id) AS k FROM t WHERE toxic = 0)
 SELECT doc_id, toxic FROM t WHERE toxic > 0 UNION ALL SELECT doc_id, toxic FROM n WHERE k <= (SELECT trunc(count(*) * 1.5) FROM t WHERE toxic > 0)""",
-    "grid_configs": """SELECT layers::BIGINT AS layers, hidden::BIGINT AS hidden, context::BIGINT AS context, mode, rate::DOUBLE AS rate
-FROM (SELECT unnest([0, 1, 2]) AS layers), (SELECT unnest([0, 128, 512]) AS hidden), (SELECT unnest([0, 2, 4]) AS context), (SELECT unnest(['none', 'mean', 'concat']) AS mode), (SELECT unnest([0.001, 0.0003]) AS rate)
+    "grid_configs": """SELECT label::BIGINT AS label, layers::BIGINT AS layers, hidden::BIGINT AS hidden, context::BIGINT AS context, mode, rate::DOUBLE AS rate
+FROM (SELECT DISTINCT label FROM embeddings), (SELECT unnest([0, 1, 2]) AS layers), (SELECT unnest([0, 128, 512]) AS hidden), (SELECT unnest([0, 2, 4]) AS context), (SELECT unnest(['none', 'mean', 'concat']) AS mode), (SELECT unnest([0.001, 0.0003]) AS rate)
 WHERE (layers = 0) = (hidden = 0) AND (context = 0) = (mode = 'none')""",
     "percentile_background": f"""{V.with_views('vectors')}, e AS (SELECT label, unnest(range(0, 64))::INT AS dim, unnest(x) AS v FROM vectors)
 SELECT label, dim, round(quantile_cont(v, 0.85), 6) AS background, round(quantile_cont(v, 0.05), 6) AS low FROM e GROUP BY ALL""",

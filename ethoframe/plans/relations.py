@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.roles import in_order, roles
 from ..operators import aggregate, labels, metrics, relate, resample, search
+from ..sources import readers
 from ..sources.readers import is_valid
 from ..sources.tables import table
 from . import views as V
@@ -85,6 +86,27 @@ def worklist_status(spark, d):
     return relate.work_list(e.select("obs").distinct(), animals, e.where("value > 95").select("obs", F.col("behavior").alias("animal")))
 
 
+def crop_states(spark, d):
+    """Users with a signup as experiments with a video, all kinds of event as animals; a
+    high value is done, a low one failed."""
+    e = V.events(spark, d).withColumn("animal", F.col("behavior"))
+    videos = e.groupBy("obs").agg(F.max(F.when(F.col("behavior") == "signup", "v.mp4")).alias("video"))
+    return relate.work_states(videos, e, e.where("value > 95"), e.where("value < 3"))
+
+
+def animal_positions(spark, d):
+    """Every frame with the blue animal's place, or the middle where it was not seen."""
+    b = _bodies(spark, d)
+    long = b.where("raw_x is not null").select("obs", "frame_idx", F.lit("blue").alias("animal"), F.col("raw_x").alias("x"), F.col("raw_y").alias("y"))
+    other = b.select("obs", "frame_idx", F.lit("yellow").alias("animal"), "x", "y")
+    return relate.positions(b.select("obs", "frame_idx"), long.unionByName(other), "blue", (200, 150))
+
+
+def distinct_lists(spark, d):
+    found = readers.distinct_lists(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", "none")
+    return found.select(*[F.array_join(c, ",").alias(c) for c in found.columns])
+
+
 def derived_covariates(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("obs"), "c_nationkey", "c_acctbal")
     rows = relate.covariates_from(V.frames_orders(spark, d).select("obs", "frame_idx"), c, ("c_nationkey", "c_acctbal", "none"))
@@ -214,7 +236,7 @@ def bout_expansion_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_filter_valid, role_projection, json_props_extract, filename_id_parse, stride_subsample, tracking_left_join, vector_hconcat, nearest_blob,
-    min_cost_pairs, worklist_status, derived_covariates, shared_treatments, text_coercions, cohort_balance, any_positive_frames, value_fractions,
+    min_cost_pairs, worklist_status, crop_states, animal_positions, distinct_lists, derived_covariates, shared_treatments, text_coercions, cohort_balance, any_positive_frames, value_fractions,
     dataset_summary, rater_summary, relative_topk, n_largest, pool_split, row_split, best_across_sources, distinct_keep_first, ordered_union,
     membership_two, tidy_metrics, bound_grid_search, estimator_dispatch, slot_join, long_tracking, summary_with_total, frame_gaps, bout_expansion_counts,
 )}
@@ -236,6 +258,11 @@ p AS (SELECT a.obs, a.frame_idx, a.slot AS s0, c.slot AS s1, abs(a.x - 100) + ab
   WHERE a.slot <> c.slot OR 1 + (a.obs + a.slot) % 2 >= 2)
 SELECT obs, frame_idx, s0, s1, round(cost, 6) AS cost FROM p QUALIFY row_number() OVER (PARTITION BY obs, frame_idx ORDER BY cost, s0, s1) = 1""",
     "worklist_status": "SELECT user_id AS obs, event_type AS animal, CASE WHEN max(value) > 95 THEN 'done' ELSE 'open' END AS status FROM events GROUP BY ALL",
+    "crop_states": """WITH v AS (SELECT DISTINCT user_id AS obs FROM events WHERE event_type = 'signup'), a AS (SELECT DISTINCT event_type AS animal FROM events),
+m AS (SELECT user_id AS obs, event_type AS animal, max(value) > 95 AS done, min(value) < 3 AS failed FROM events GROUP BY ALL)
+SELECT v.obs, a.animal, CASE WHEN done THEN 'done' WHEN failed THEN 'failed' ELSE 'open' END AS status FROM v CROSS JOIN a LEFT JOIN m ON m.obs = v.obs AND m.animal = a.animal""",
+    "animal_positions": f"{_BODY} SELECT obs, frame_idx, CASE WHEN seen THEN trunc(x + 5)::INT ELSE 200 END AS x, CASE WHEN seen THEN trunc(y - 5)::INT ELSE 150 END AS y, seen AS found FROM b",
+    "distinct_lists": """SELECT string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS c_mktsegment, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS c_nationkey, '' AS "none" FROM customer""",
     "derived_covariates": "SELECT c_nationkey AS W_c_nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "shared_treatments": """SELECT o_custkey AS obs FROM orders WHERE o_totalprice > 400000 AND year(o_orderdate) = 1996
 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND year(o_orderdate) = 1997""",

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import stem
-from .npy import matrices
+from . import staging
+from .npy import files, header, matrices
 
 
 def is_valid(df: DataFrame) -> Column:
@@ -104,6 +105,31 @@ def vectors(spark: SparkSession, *paths: str) -> DataFrame:
     raise FileNotFoundError(f"none of {paths}")
 
 
+def availability(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(version, path, format, available) of each version's vectors. A Parquet table is
+    available when its write was whole, ``.npy`` files when their headers are right."""
+    rows = []
+    for version, path in paths.items():
+        kind = "npy" if path.endswith(".npy") else "parquet"
+        there = staging.exists(spark, path)
+        if there and kind == "npy":
+            try:
+                there = bool([header(f) for f in files(path)])
+            except (ValueError, OSError):
+                there = False
+        elif there:
+            there = staging.exists(spark, f"{path}/_SUCCESS") or path.endswith(".parquet")
+        rows.append((version, path, kind, there))
+    return spark.createDataFrame(rows, "version string, path string, format string, available boolean")
+
+
+def distinct_lists(df: DataFrame, *columns: str) -> DataFrame:
+    """One row with each column's distinct values, nulls left out, in order; empty for
+    columns that the table lacks. For settings of few values, such as gene or sex."""
+    none = F.array().cast("array<string>")
+    return df.agg(*[(F.sort_array(F.collect_set(F.col(c).cast("string"))) if c in df.columns else F.first(none)).alias(c) for c in columns]).select(*[F.coalesce(c, none).alias(c) for c in columns])
+
+
 def lettered(df: DataFrame) -> DataFrame:
     """Settings of the letter-and-number ids: batch from the letter, position from
     the number."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ethoframe.operators import networks as N
 from ethoframe.operators import training as T
-from ethoframe.operators import versions
+from ethoframe.operators import relate, versions
 from ethoframe.sources import npy, readers, resolver, staging
 
 
@@ -83,6 +83,34 @@ def test_broken_and_missing_files(spark, tmp_path):
     assert npy.matrices(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_availability_by_version(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.ones((3, 2)))
+    (tmp_path / "b.npy").write_text("broken")
+    spark.range(2).write.parquet(str(tmp_path / "whole"))
+    spark.range(2).write.parquet(str(tmp_path / "part"))
+    staging.remove(spark, str(tmp_path / "part" / "_SUCCESS"))
+    paths = {v: str(tmp_path / p) for v, p in {"v1": "a.npy", "v2": "b.npy", "v3": "whole", "v4": "part", "v5": "none", "v6": "none.npy"}.items()}
+    got = {r.version: r.available for r in readers.availability(spark, paths).collect()}
+    assert got == {"v1": True, "v2": False, "v3": True, "v4": False, "v5": False, "v6": False}
+
+
+def test_distinct_lists(spark):
+    df = spark.createDataFrame([("b", 1), ("a", None), (None, 1)], "gene string, sex int")
+    assert readers.distinct_lists(df, "gene", "sex", "line").first().asDict() == {"gene": ["a", "b"], "sex": ["1"], "line": []}
+    assert readers.distinct_lists(df.limit(0), "gene", "line").first().asDict() == {"gene": [], "line": []}
+
+
+def test_work_states_and_positions(spark):
+    exps = spark.createDataFrame([("e1", "a.mp4"), ("e2", " "), ("e3", None)], "obs string, video string")
+    done, failed = spark.createDataFrame([("e1", "blue")], "obs string, animal string"), spark.createDataFrame([("e1", "blue"), ("e1", "yellow")], "obs string, animal string")
+    got = sorted(map(tuple, relate.work_states(exps, ("blue", "yellow", "red"), done, failed).collect()))
+    assert got == [("e1", "blue", "done"), ("e1", "red", "open"), ("e1", "yellow", "failed")]
+    frames = spark.createDataFrame([("o", 0), ("o", 1), ("o", 2)], "obs string, frame_idx int")
+    seen = spark.createDataFrame([("o", 0, "blue", 3.9, -2.9), ("o", 0, "blue", 1.5, 7.0), ("o", 1, "red", 1.0, 1.0), ("o", 2, "blue", None, 1.0)], "obs string, frame_idx int, animal string, x double, y double")
+    got = [tuple(r)[1:] for r in relate.positions(frames, seen, "blue", (9, 8)).orderBy("frame_idx").collect()]
+    assert got == [(0, 1, 7, True), (1, 9, 8, False), (2, 9, 8, False)]
+
+
 def test_a_table_is_made_once_and_anew_when_its_inputs_change(spark, tmp_path):
     source, folder = tmp_path / "in", f"file://{tmp_path}/kept"
     source.mkdir()
