@@ -4,11 +4,12 @@ same in each run and on any cluster. Tests and intervals work on the sums by arm
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_two_sided, with_places
-from .folds import fold
+from .folds import fold_stretches
 from .replicates import bootstrap_sums, permuted_sums
 
 
@@ -145,19 +146,23 @@ def min_gap(df: DataFrame, gap: int, key: str = "obs", order: str = "frame_idx")
     go, and of equal positions one stays."""
 
     def begin():
-        last = None
+        free = None  # the first position that may be kept
 
         def step(at):
-            nonlocal last
-            if last is not None and at - last < gap:
-                return ()
-            last = at
-            return ((),)
+            nonlocal free
+            k = 0 if free is None else int(np.searchsorted(at, free))
+            following, kept = np.searchsorted(at, at + gap).tolist(), []
+            while k < len(at):
+                kept.append(k)
+                k = following[k]
+            if kept:
+                free = int(at[kept[-1]]) + gap
+            return kept, ()
 
         return step
 
     rows = df.where(F.col(order).isNotNull()).select(key, F.col(order).cast("long").alias(order)).distinct()
-    return fold(rows, key, order, (), {}, begin)
+    return fold_stretches(rows, key, order, (), {}, begin)
 
 
 def mann_whitney(df: DataFrame, value: str, arm: str, first: object, second: object) -> DataFrame:

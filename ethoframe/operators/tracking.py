@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
-from .folds import fold
+from .folds import fold, fold_stretches
 
 #: The animals, in the order in which marks claim blobs; the last one has no mark.
 ANIMALS = ("blue", "yellow", "focal")
@@ -43,14 +44,35 @@ def leash(df: DataFrame, longest: float, key: str = "obs", order: str = "frame_i
 
         def step(_, rx, ry, x, y):
             nonlocal last
-            body = (math.inf if x is None else x, math.inf if y is None else y)
-            last = held(None if rx is None else (rx, ry), last or body, body, longest)
-            return ((None if v is not None and math.isinf(v) else v for v in last),)
+            x, y = np.where(np.isnan(x), np.inf, x), np.where(np.isnan(y), np.inf, y)
+            out = np.empty((2, len(x)))
+            starts = np.flatnonzero(~np.isnan(rx))
+            k = 0
+            while k < len(x):
+                if not np.isnan(rx[k]):
+                    last = (rx[k], ry[k])
+                elif last is None or not math.dist(last, (x[k], y[k])) <= longest:
+                    last = (x[k], y[k])
+                # up to the next detection, or the first body out of reach
+                i = np.searchsorted(starts, k, "right")
+                end, to, reach = int(starts[i]) if i < len(starts) else len(x), k + 1, 16
+                while to < end:
+                    stop = min(end, to + reach)
+                    with np.errstate(invalid="ignore"):
+                        far = np.flatnonzero(~(np.hypot(x[to:stop] - last[0], y[to:stop] - last[1]) <= longest))
+                    if len(far):
+                        end = to + int(far[0])
+                        break
+                    to, reach = stop, 2 * reach
+                out[:, k:end] = np.array(last)[:, None]
+                k = end
+            out[np.isinf(out)] = np.nan
+            return np.arange(len(x)), tuple(out)
 
         return step
 
     doubles = [F.col(c).cast("double").alias(c) for c in ("raw_x", "raw_y", "x", "y")]
-    return fold(df.select(key, order, *doubles), key, order, ("raw_x", "raw_y", "x", "y"), {"mark_x": "double", "mark_y": "double"}, begin)
+    return fold_stretches(df.select(key, order, *doubles), key, order, ("raw_x", "raw_y", "x", "y"), {"mark_x": "double", "mark_y": "double"}, begin)
 
 
 def assign(slots: list[tuple], claims: dict[str, int], last: dict[str, tuple]) -> dict[str, tuple]:

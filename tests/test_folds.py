@@ -95,6 +95,37 @@ def test_long_observations_take_time_in_proportion(spark):
         assert took[1] < 8 * max(took[0], 0.2), took
 
 
+def test_leash_and_gaps_by_loops(spark):
+    """Several keys, null ones too, over the bounds of batches; bodies and detections missing."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for obs in ("a", "b", "c", None):
+        x, y = 200.0, 150.0
+        for t in range(700):
+            x, y = x + rng.normal(0, 25), y + rng.normal(0, 25)
+            seen, there = rng.random() < 0.05, rng.random() < 0.95
+            rows.append((obs, t, *((round(x + 3, 3), round(y, 3)) if seen else (None, None)), *((round(x, 3), round(y, 3)) if there else (None, None))))
+    df = spark.createDataFrame(rows, "obs string, frame_idx long, raw_x double, raw_y double, x double, y double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {(r.obs, r.frame_idx): (r.mark_x, r.mark_y) for r in tracking.leash(df, 60.0).collect()}
+        kept = sorted((r.obs or "", r.frame_idx) for r in resample.min_gap(df.where("frame_idx % 7 <> 3"), 5).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted, gaps = {}, []
+    for obs in ("a", "b", "c", None):
+        last, free = None, -1
+        for _, t, rx, ry, x, y in (r for r in rows if r[0] == obs):
+            body = (math.inf if x is None else x, math.inf if y is None else y)
+            last = tracking.held(None if rx is None else (rx, ry), last or body, body, 60.0)
+            wanted[obs, t] = tuple(None if math.isinf(v) else v for v in last)
+            if t % 7 != 3 and t >= free:
+                gaps.append((obs or "", t))
+                free = t + 5
+    assert got == wanted and kept == sorted(gaps)
+
+
 def test_cumulative_minutes_without_a_nested_loop(spark):
     df = _long(spark, 500).select("obs", (F.col("frame_idx") % 50).alias("minute"), "x", F.lit("a").alias("arm"))
     plan = windows.cumulative_minutes(df, "x", "arm")._jdf.queryExecution().executedPlan().toString()
