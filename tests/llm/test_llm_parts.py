@@ -417,6 +417,17 @@ def test_frequent_short_lines_in_ten_documents(spark):
     assert [rows[10 + k] for k in range(1, 10)] == [f"own {k}\nend {k}" for k in range(1, 10)]
 
 
+def test_a_first_holder_out_of_order(spark):
+    """Two frequent passages that their first holder has the other way round, and one that
+    it has once where others have it twice: later holders have them in order."""
+    a, b = "the first of two passages that many documents hold", "the second of two passages that many documents hold"
+    docs = [(1, f"top\n{b}\nmiddle\n{a}\nend")] + [(10 + k, f"own {k}\n{a}\nmid {k}\n{b}\nend {k}") for k in range(12)]
+    docs += [(40 + k, f"new {k}\n{a}\nmore {k}\n{b}\nthen {k}\n{a}\nlast {k}") for k in range(12)]
+    rows = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[1] == docs[0][1] and all(rows[10 + k] == f"own {k}\nmid {k}\nend {k}" for k in range(1, 12))
+    assert all(rows[40 + k] == f"new {k}\nmore {k}\nthen {k}\nlast {k}" for k in range(1, 12))
+
+
 def test_rules_compile_to_one_projection(spark):
     df = quality.quality(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
