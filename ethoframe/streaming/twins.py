@@ -1,7 +1,7 @@
 """Streaming forms of the frame windows.
 
 Each takes a streaming (or bounded) DataFrame and gives a plan for ``writeStream``;
-over the same rows it agrees with its batch twin.
+over the same rows from 1970 on (where watermarks begin) it agrees with its batch twin.
 """
 
 from __future__ import annotations
