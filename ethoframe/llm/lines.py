@@ -12,8 +12,11 @@
    are deleted from the later one.
 4. What is left is proposed again: of a run or a line that is long enough by itself and
    that an alignment with its first holder left in a later document (there it was out of
-   order, or there once and here twice) the next holder is tried, and so on, until a round
-   finds less than ``SETTLED`` of what was found before.
+   order, or there once and here twice) all other earlier holders are tried, in rounds
+   that take ``STEP`` times as many each, until it went or none is left. Any aligned
+   block long enough to go consists of such runs and lines, so what goes is what all
+   pairs of documents would find (but for blank lines at a block's ends). What no holder removes has met all of them: that part
+   grows with holders times the documents in which it stays.
 
 Only hashes of lines travel between tasks; texts move once, to meet the deletions.
 Lines are compared by a 64-bit hash of their exact characters.
@@ -37,8 +40,8 @@ from .common import columns_of, row_of, stage, unstage
 
 #: Lines held by so many documents at most propose all pairs of them.
 RARE = 6
-#: Rounds end when one finds so small a share of new lines.
-SETTLED = 0.001
+#: Each round tries so many times the holders that the one before it did.
+STEP = 8
 #: Parts in which the rows of one text, or the partners of one document, are dealt out.
 PARTS = 16
 #: Partners of a document above which they are dealt out.
@@ -219,10 +222,12 @@ def _aligned(heads: DataFrame, pairs: DataFrame, least_chars: int) -> DataFrame:
 
 
 def _by_document(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("doc_id", "body").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    """However many partners a document has, a set of its lines is all that is held."""
+    each = gone.select("doc_id", "body", F.explode("gone").alias("at"))
+    return each.groupBy("doc_id", "body").agg(F.collect_set("at").alias("gone"))
 
 
-_ITEMS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("at", pa.int32()), ("past", pa.int32()), ("tried", pa.int64())])
+_ITEMS = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("at", pa.int32()), ("past", pa.int32())])
 
 
 def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +246,11 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unaligned(items: DataFrame, gone: DataFrame) -> DataFrame:
-    """Those (doc_id, line, at, past, tried) of which not all lines go; a document's
+    """Those (doc_id, line, at, past) of which not all lines go; a document's
     meet in one row."""
     own = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    each = items.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at", "past", "tried")).alias("items"))
-    return each.join(own, "doc_id", "left").select("doc_id", "items", "gone").mapInArrow(_left_over, "doc_id long, line long, at int, past int, tried long")
+    each = items.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at", "past")).alias("items"))
+    return each.join(own, "doc_id", "left").select("doc_id", "items", "gone").mapInArrow(_left_over, "doc_id long, line long, at int, past int")
 
 
 def deletions(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -276,25 +281,25 @@ def deletions(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS)
     long = heads.select("doc_id", F.posexplode(F.arrays_zip("hashes", "chars")).alias("at", "x")).where(F.col("x.chars") >= least_chars)
     strong = runs.unionByName(long.select("doc_id", F.col("x.hashes").alias("line"), "at", (F.col("at") + 1).alias("past")))
     often = counted.groupBy("line").agg(F.min("first_id").alias("first_id"))
-    later = stage(_unaligned(strong.join(often, "line").where("doc_id > first_id").withColumnRenamed("first_id", "tried"), gone))
-    holders = None
-    while later.limit(1).count():
-        if holders is None:
-            # all holders of what is left
-            holders = stage(strong.join(later.select("line").distinct(), "line").select("line", F.col("doc_id").alias("holder")).distinct())
-        tried = later.groupBy("line").agg(F.max("tried").alias("tried"))
-        following = holders.join(tried, "line").where("holder > tried").groupBy("line").agg(F.min("holder").alias("following"))
-        later_on = stage(later.join(following, "line").where("doc_id > following").select("doc_id", "line", "at", "past", F.col("following").alias("tried")))
-        fresh = stage(later_on.select("doc_id", F.col("tried").alias("earlier")).distinct().join(pairs, ["doc_id", "earlier"], "left_anti"))
+    later = stage(_unaligned(strong.join(often, "line").where("doc_id > first_id").drop("first_id"), gone))
+    # all holders of what is left, each with its turn: 0 up to their number, by a hash
+    all_left = strong.join(later.select("line").distinct(), "line").select("line", F.col("doc_id").alias("earlier")).distinct()
+    n = all_left.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64("earlier", "line"), F.lit(1 << 52)) / float(1 << 52)
+    holders = stage(all_left.join(n, "line").select("line", "earlier", "n", (share * F.col("n")).alias("turn")))
+    most = int(holders.agg(F.max("n").alias("n")).first()["n"] or 0)
+    low = reach = 0
+    while reach < most and later.limit(1).count():
+        low, reach = reach, reach * STEP or STEP
+        turn = holders.where((F.col("turn") >= low) & (F.col("turn") < reach)).select("line", "earlier")
+        met = later.select("doc_id", "line").distinct().join(turn, "line").where("earlier < doc_id").select("doc_id", "earlier").distinct()
+        fresh = stage(met.join(pairs, ["doc_id", "earlier"], "left_anti"))
         more = stage(_by_document(gone.unionByName(_aligned(heads, fresh, least_chars))))
-        before, after = (int(g.agg(F.sum(F.size("gone")).alias("n")).first()["n"] or 0) for g in (gone, more))
         all_pairs = stage(pairs.unionByName(fresh))
-        left = stage(_unaligned(later_on, more))
-        unstage(later, later_on, fresh, pairs, gone)
+        left = stage(_unaligned(later.join(holders.where(F.col("n") > reach).select("line").distinct(), "line", "left_semi"), more))
+        unstage(later, fresh, pairs, gone)
         later, pairs, gone = left, all_pairs, more
-        if after - before <= SETTLED * before:
-            break
-    unstage(later, *([holders] if holders is not None else []))
+    unstage(later, holders)
     whole = copies.select("doc_id", "body", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("copy"))
     found = stage(gone.withColumn("copy", F.lit(False)).unionByName(whole))
     unstage(copies, heads, pairs, gone)

@@ -428,6 +428,16 @@ def test_a_first_holder_out_of_order(spark):
     assert all(rows[40 + k] == f"new {k}\nmore {k}\nthen {k}\nlast {k}" for k in range(1, 12))
 
 
+def test_many_first_holders_out_of_order(spark):
+    """Two frequent passages that thirty holders have the other way round, whichever lines
+    follow, and only the last ones in order."""
+    a, b = "the first of two passages that many documents hold", "the second of two passages that many documents hold"
+    docs = [(k, f"top {k}\n{b}\nmiddle {k}\n{a}\nend {k}") for k in range(30)] + [(40 + k, f"own {k}\n{a}\nmid {k}\n{b}\nend {k}") for k in range(4)]
+    rows = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[0] == docs[0][1] and all(rows[k] == f"top {k}\nmiddle {k}\nend {k}" for k in range(1, 30))
+    assert all(rows[40 + k] == f"own {k}\nmid {k}\nend {k}" for k in range(1, 4))
+
+
 def test_rules_compile_to_one_projection(spark):
     df = quality.quality(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
