@@ -84,6 +84,23 @@ def fill_pairs(frames: DataFrame, labels: DataFrame, agents: int, key: str = "ob
     return pairs.join(labels, [key, "frame_idx", "agent1", "agent2"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def filled_pair_counts(observations: DataFrame, labels: DataFrame, agents: int, key: str = "obs") -> DataFrame:
+    """(key, agent1, agent2, label, n, frames) over the rows of ``fill_pairs``: how many
+    frames, and the sum of their numbers. Frames without label are counted by
+    difference, so no row is made for them; ``labels`` lie in their observation's frames."""
+    of_pair = lambda a, b, label, n, frames: F.struct(a.cast("int").alias("agent1"), b.cast("int").alias("agent2"), label.cast("int").alias("label"), n.cast("long").alias("n"), frames.cast("long").alias("frames"))
+    n, zero = F.col("n_frames").cast("long"), F.lit(0)
+    every = [of_pair(F.lit(a), F.lit(b), zero, n, F.floor(n * (n - 1) / 2)) for a in range(agents) for b in range(agents) if a != b]
+    whole = observations.where("n_frames > 0").select(key, F.explode(F.array(*every)).alias("_p"))
+    known = labels.where(F.col("agent1").between(0, agents - 1) & F.col("agent2").between(0, agents - 1) & (F.col("agent1") != F.col("agent2")))
+    given = known.groupBy(key, "agent1", "agent2", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_idx").alias("frames"))
+    a, b, label, m, frames = (F.col(c) for c in ("agent1", "agent2", "label", "n", "frames"))
+    # what is labelled, and the same taken off the frames without label
+    moved = given.select(key, F.explode(F.array(of_pair(a, b, F.coalesce(label, zero), m, frames), of_pair(a, b, zero, -m, -frames))).alias("_p"))
+    rows = whole.unionByName(moved).select(key, "_p.*")
+    return rows.groupBy(key, "agent1", "agent2", "label").agg(F.sum("n").alias("n"), F.sum("frames").alias("frames")).where("n > 0")
+
+
 def run_lengths(df: DataFrame, values: tuple[str, ...], key: str = "obs", order: str = "frame_idx") -> DataFrame:
     """Runs of equal values in consecutive rows: key, values, start, end, n_rows."""
     w = Window.partitionBy(key).orderBy(order)

@@ -30,6 +30,25 @@ def small(spark):
     return observations, bouts
 
 
+@pytest.mark.parametrize("name, step", [("ordered_pairs_fill0", "Join")])
+def test_frames_are_not_dealt_out(spark, name, step):
+    """No frame is shuffled to be labelled, and none joined to be filled."""
+    from conftest import DATA
+    from ethoframe.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    found = [x for x in plan.splitlines() if step in x]
+    assert found and not any("frame_idx" in x for x in found)
+
+
+def test_counts_of_filled_pairs(spark):
+    observations = spark.createDataFrame([(1, 5), (2, 3), (3, 0)], "obs long, n_frames long")
+    given = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 4, 0, 1, 2), (1, 2, 1, 0, 0), (1, 3, 2, 0, 1), (2, 0, 1, 2, 1), (2, 1, 1, 2, 1), (2, 2, 1, 2, 1), (2, 2, 5, 2, 1)], "obs long, frame_idx long, agent1 int, agent2 int, label int")
+    rows = labels.fill_pairs(labels.frames_of(observations), given, 3).groupBy("obs", "agent1", "agent2", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_idx").alias("frames"))
+    found = labels.filled_pair_counts(observations, given, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.select(found.columns).collect()))
+
+
 @pytest.mark.parametrize("make", [labels.label_by_join, labels.label_by_expansion])
 def test_interval_labels(small, make):
     observations, bouts = small
