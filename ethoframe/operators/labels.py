@@ -39,15 +39,29 @@ def unknown_behaviours(bouts: DataFrame, mapping: dict, behaviour: str = "behavi
 def label_by_join(observations: DataFrame, bouts: DataFrame, outcomes: tuple[str, ...], key: str = "obs", width: int = 256) -> DataFrame:
     """Labels by a range join within each observation, overlaps by maximum. Both
     sides are dealt into bins of ``width`` source frames, so that a frame meets the
-    bouts of its bin only and long observations spread over many tasks."""
-    frames = frames_of(observations, key).withColumn("_source", source_frame(F.col("frame_idx"), F.col("offset"), F.col("ratio")))
-    frames = frames.select(key, "frame_idx", "_source", F.floor(F.col("_source") / width).alias("_bin"))
+    bouts of its bin only and long observations spread over many tasks. A row of the
+    join is a bin with the distinct spans cut to it, of which there are boundedly many;
+    its frames are listed after the join, so that no frame is ever shuffled."""
+    there = observations.where("n_frames > 0").select(key, F.col("n_frames").cast("long").alias("_n"), "offset", "ratio")
+    bin_of = lambda i: F.floor(source_frame(i, F.col("offset"), F.col("ratio")) / width)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), bin_of))
+    bins = there.select("*", F.explode(places).alias("_bin"))
     spans = bouts.where("start_frame < end_frame").select(key, "start_frame", "end_frame", *outcomes)
-    bins = F.sequence(F.floor(F.col("start_frame") / width), F.floor((F.col("end_frame") - 1) / width))
-    spans = spans.withColumn("_bin", F.explode(bins)).withColumnsRenamed({key: "_key", "_bin": "_bin2"})
-    hit = (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_source") >= F.col("start_frame")) & (F.col("_source") < F.col("end_frame"))
-    joined = frames.join(spans, hit, "left")
-    return joined.groupBy(key, "frame_idx").agg(*[F.coalesce(F.max(o), F.lit(0)).cast("int").alias(o) for o in outcomes])
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_frame") / width), F.floor((F.col("end_frame") - 1) / width))))
+    cut = {"start_frame": F.greatest("start_frame", F.col("_bin") * width), "end_frame": F.least("end_frame", (F.col("_bin") + 1) * width)}
+    spans = spans.withColumns(cut).groupBy(key, "_bin").agg(F.collect_set(F.struct("start_frame", "end_frame", *outcomes)).alias("_spans"))
+    joined = bins.join(spans, [key, "_bin"], "left")
+    # a bin's frames lie between these two; all of them where the ratio is none
+    ends = [F.try_divide(F.col("_bin") * width + more - F.col("offset"), F.col("ratio")) for more in (-1, width + 1)]
+    first, last = F.floor(F.least(*ends)) - 1, F.ceil(F.greatest(*ends)) + 1
+    start = F.greatest(F.coalesce(first, F.lit(0)), F.lit(0)).cast("long")
+    stop = F.least(F.coalesce(last, F.col("_n")), F.col("_n") - 1).cast("long")
+    own = F.filter(F.sequence(start, stop, F.lit(1).cast("long")), lambda i: bin_of(i).eqNullSafe(F.col("_bin")))
+    rows = joined.select(key, "_spans", "offset", "ratio", F.explode(own).alias("frame_idx"))
+    source = source_frame(F.col("frame_idx"), F.col("offset"), F.col("ratio"))
+    hits = F.filter("_spans", lambda s: (source >= s["start_frame"]) & (source < s["end_frame"]))
+    rows = rows.select(key, "frame_idx", hits.alias("_hits"))
+    return rows.select(key, "frame_idx", *[F.coalesce(F.array_max(F.col(f"_hits.{o}")), F.lit(0)).cast("int").alias(o) for o in outcomes])
 
 
 def expand_bouts(observations: DataFrame, bouts: DataFrame, key: str = "obs") -> DataFrame:

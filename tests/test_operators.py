@@ -30,7 +30,7 @@ def small(spark):
     return observations, bouts
 
 
-@pytest.mark.parametrize("name, step", [("ordered_pairs_fill0", "Join")])
+@pytest.mark.parametrize("name, step", [("interval_labels_join", "Exchange"), ("ordered_pairs_fill0", "Join")])
 def test_frames_are_not_dealt_out(spark, name, step):
     """No frame is shuffled to be labelled, and none joined to be filled."""
     from conftest import DATA
@@ -49,6 +49,21 @@ def test_counts_of_filled_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.select(found.columns).collect()))
 
 
+@pytest.mark.parametrize("ratio", [0.4, 1.0, 6.0, 700.0, -3.0, 0.0])
+def test_labels_by_bins(spark, ratio):
+    """Against plain loops, for frames denser and rarer than bins and spans over several."""
+    spans = [(1, 0, 30, 1, 0), (1, 250, 530, 0, 2), (1, 255, 257, 3, 0), (1, 600, 600, 1, 1), (1, 12, 13, None, 5), (2, 5, 6, 1, 1)]
+    df = spark.createDataFrame(spans, "obs long, start_frame long, end_frame long, a int, b int")
+    observations = spark.createDataFrame([(1, 150, 12.0, ratio), (3, 2, 0.0, ratio)], "obs long, n_frames long, offset double, ratio double")
+    wanted = set()
+    for obs, n, offset in ((1, 150, 12.0), (3, 2, 0.0)):
+        for i in range(n):
+            own = [s for s in spans if s[0] == obs and s[1] <= int(offset + i * ratio) < s[2]]
+            wanted.add((obs, i, *(max((s[k] for s in own if s[k] is not None), default=0) for k in (3, 4))))
+    found = labels.label_by_join(observations, df, ("a", "b")).collect()
+    assert {tuple(r) for r in found} == wanted and len(found) == 152
+
+
 @pytest.mark.parametrize("make", [labels.label_by_join, labels.label_by_expansion])
 def test_interval_labels(small, make):
     observations, bouts = small
