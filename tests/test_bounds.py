@@ -59,3 +59,13 @@ def test_work_is_saved_where_one_candidate_is_clear(spark):
 def test_no_points(spark):
     df = spark.createDataFrame([], "frame int, blob int, h int, s int, v int, body int")
     assert bounds.search(df, GRID).best is None
+
+
+def test_only_sums_by_candidate_are_shuffled(points):
+    cells = bounds.counted(points[1], GRID, "frame", 4)
+    cells = cells.sparkSession.createDataFrame(cells.collect(), cells.schema)
+    needs = bounds._needs(GRID, list(range(len(GRID))))
+    for df in (bounds.cheap_scores(cells, needs, 60), bounds.exact_sums(cells, needs, (2, 6))):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        dealt = [x for x in plan if "Exchange hashpartitioning" in x]
+        assert len(dealt) == 1 and "hashpartitioning(k#" in dealt[0]
