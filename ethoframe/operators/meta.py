@@ -10,11 +10,16 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import staging
+
 
 def _prepared(df: DataFrame, value: str, arm: str, control: object, treated: object, covariates: tuple[str, ...]) -> DataFrame:
     two = df.where(F.col(arm).isin(control, treated) & F.col(value).isNotNull())
     rows = two.select(F.col(value).cast("double").alias("y"), (F.col(arm) == treated).cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in covariates])
     rows = rows.withColumn("w", F.xxhash64(*covariates, "y", "t"))
+    # a fit runs some ten passes: over the few columns written aside each takes few tasks,
+    # and the driver hears from tasks in proportion to these, not to what made them
+    rows, _ = staging.staged(rows)
     assembled = VectorAssembler(inputCols=list(covariates), outputCol="x").transform(rows)
     return VectorAssembler(inputCols=[*covariates, "t"], outputCol="xt").transform(assembled)
 

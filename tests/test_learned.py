@@ -114,3 +114,10 @@ def test_mann_whitney_by_pairs(spark):
     n, ties = 11, sum(k**3 - k for k in (3, 3, 2))
     z = -(abs(u - 15) - 0.5) / np.sqrt(30 / 12 * (12 - ties / (n * (n - 1))))
     assert (row.n0, row.n1, row.u) == (5, 6, u) and abs(row.z - z) < 1e-12 and 0.1 < row.p < 0.5
+
+
+def test_fits_read_rows_written_aside(spark):
+    """What made the rows is not run again in every pass of a fit."""
+    rows = spark.range(60).selectExpr("id % 3 as g", "id").groupBy("g", "id").count().selectExpr("id * 1.0d as y", "if(id % 2 = 0, 'a', 'b') as arm", "id as w_x")
+    plan = meta._prepared(rows, "y", "arm", "a", "b", ("w_x",))._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "Exchange" not in plan and "Aggregate" not in plan
