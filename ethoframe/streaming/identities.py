@@ -68,12 +68,12 @@ class Identities(StatefulProcessor):
                 new.append((int(at), int(frame), json.dumps([_plain(v, t) for v, t in zip(row, kind.values())])))
         if new:
             before = min((x[0] for x in self.held.get()), default=None)
-            for x in new:
-                self.held.appendValue(x)
+            # one call to the store, however many frames
+            self.held.appendList(new)
             first = min(x[0] for x in new)
             if before is None or first < before:
                 self._wake_at(first)
-        yield pd.DataFrame(columns=[self.key, *_OUT])
+        yield from ()
 
     def _wake_at(self, at: int) -> None:
         """One timer only."""
