@@ -138,9 +138,11 @@ def _compare(similarity: float, limit: int):
     """Links within buckets; the input is sorted by path and node.
 
     Members of a bucket up to ``limit`` are compared all with all. In a larger one
-    members that are almost equal (``cover``) to an earlier one stand behind it, and
-    each is compared with those that stand in front; what is joined is kept as a
-    forest. Either way a member is told one link, to the smallest of its tree.
+    members that are almost equal (``cover``) to an earlier one in front stand behind it.
+    Each is compared with those in front, and with those behind one in front from which it
+    is so far that they may be near it all the same; what is joined is kept as a forest,
+    so that the same hang together as by comparing all with all. Either way a member is
+    told one link, to the smallest of its tree.
     """
     spread = 4 * math.sqrt(similarity * (1 - similarity) / SLOTS)
     near, cover = (similarity - spread) * SLOTS, (1 - (1 - similarity) / 2) * SLOTS
@@ -153,6 +155,7 @@ def _compare(similarity: float, limit: int):
         def __init__(self):
             self.nodes, self.marks = np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint8)
             self.front: np.ndarray | None = None  # members in front, by number
+            self.behind: dict[int, list[tuple]] = {}  # by place in front: members, marks, tokens that differ
             self.root = np.zeros(0, np.int64)
 
         def add(self, nodes: np.ndarray, marks: np.ndarray) -> None:
@@ -168,18 +171,52 @@ def _compare(similarity: float, limit: int):
                 self.meet(np.arange(base + x, base + min(x + 128, len(marks))), marks[x : x + 128])
 
         def meet(self, own: np.ndarray, marks: np.ndarray) -> None:
-            pairs, covered = [], np.zeros(len(own), bool)
+            pairs, middling = [], []
+            # the place in front behind which each stands, and how many tokens differ there
+            lead, apart = np.full(len(own), -1), np.zeros(len(own), np.int64)
             for y in range(0, len(self.front), 1024):
                 same = (marks[:, None, :] == self.marks[None, y : y + 1024, :]).sum(2)
-                covered |= (same >= cover).any(1)
+                best = same.argmax(1)
+                most = same[np.arange(len(own)), best]
+                new = (lead < 0) & (most >= cover)
+                lead[new], apart[new] = y + best[new], SLOTS - most[new]
                 i, j = np.nonzero(same >= near)
                 pairs.append(np.stack([own[i], self.front[y + j]], 1))
+                i, j = np.nonzero((same >= near + cover - SLOTS) & (same < near))
+                middling.append(np.stack([i, y + j, same[i, j]], 1))
             same = (marks[:, None, :] == marks[None, :, :]).sum(2)
             pairs.append(own[np.argwhere(np.triu(same >= near, 1))])
-            covered |= np.tril(same >= cover, -1).any(1)
             self.join(np.concatenate(pairs))
-            self.front = np.concatenate([self.front, own[~covered]])
-            self.marks = np.concatenate([self.marks, marks[~covered]])
+            if middling:
+                self.meet_behind(own, marks, np.concatenate(middling))
+            first = []
+            for i in range(len(own)):
+                if lead[i] < 0:
+                    new = np.flatnonzero((lead < 0) & (same[i] >= cover))
+                    new = new[new > i]
+                    lead[new], apart[new] = len(self.front) + len(first), SLOTS - same[i, new]
+                    first.append(i)
+            behind = np.setdiff1d(np.arange(len(own)), first)
+            for y in np.unique(lead[behind]):
+                at = behind[lead[behind] == y]
+                self.behind.setdefault(int(y), []).append((own[at], marks[at], apart[at]))
+            self.front = np.concatenate([self.front, own[first]])
+            self.marks = np.concatenate([self.marks, marks[first]])
+
+        def meet_behind(self, own: np.ndarray, marks: np.ndarray, middling: np.ndarray) -> None:
+            """Members (i, place in front, equal tokens) that are too far from one in front,
+            but may be near to some behind it, unless they hang together already."""
+            for y in np.unique(middling[:, 1]):
+                for nodes, theirs, apart in self.behind.get(int(y), ()):
+                    top = self.find(self.front[y])
+                    rows = [(i, n) for i, _, n in middling[middling[:, 1] == y] if self.find(own[i]) != top]
+                    if not rows:
+                        break
+                    i, n = np.array(rows).T
+                    far = np.flatnonzero(apart >= near - n.max())
+                    same = (marks[i][:, None, :] == theirs[far][None, :, :]).sum(2)
+                    x, k = np.nonzero(same >= near)
+                    self.join(np.stack([own[i[x]], nodes[far[k]]], 1))
 
         def join(self, pairs: np.ndarray) -> None:
             pairs = np.unique(self.root[pairs], axis=0)

@@ -245,10 +245,11 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * left.num_rows, pa.int64()), *left.columns], schema=_ITEMS)
 
 
-def _unaligned(items: DataFrame, gone: DataFrame) -> DataFrame:
+def _unaligned(items: DataFrame, gone: DataFrame, several: DataFrame) -> DataFrame:
     """Those (doc_id, line, at, past) of which not all lines go; a document's
-    meet in one row."""
-    own = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    meet in one row. Where an id has ``several`` texts, lines that one of them loses
+    say nothing of the others, and all its items are left."""
+    own = gone.join(several, "doc_id", "left_anti").groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     each = items.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at", "past")).alias("items"))
     return each.join(own, "doc_id", "left").select("doc_id", "items", "gone").mapInArrow(_left_over, "doc_id long, line long, at int, past int")
 
@@ -266,6 +267,7 @@ def deletions(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS)
     heads = lines.join(copies, ["doc_id", "body"], "left_anti").dropDuplicates(["doc_id", "body"])
     heads = stage(heads.select("doc_id", "body", "hashes", "chars"))
     unstage(lines)
+    several = stage(heads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     held = heads.select("doc_id", F.explode(F.array_distinct(F.transform(F.arrays_zip("hashes", "chars"), lambda x: F.when(x["chars"] > 0, x["hashes"])))).alias("line")).where("line is not null")
     runs = heads.select("doc_id", "hashes", "chars").mapInArrow(_long_runs(least_chars), "doc_id long, line long, at int, past int")
     held = held.withColumn("run", F.lit(False)).unionByName(runs.select("doc_id", "line", F.lit(True).alias("run"))).distinct()
@@ -281,7 +283,7 @@ def deletions(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS)
     long = heads.select("doc_id", F.posexplode(F.arrays_zip("hashes", "chars")).alias("at", "x")).where(F.col("x.chars") >= least_chars)
     strong = runs.unionByName(long.select("doc_id", F.col("x.hashes").alias("line"), "at", (F.col("at") + 1).alias("past")))
     often = counted.groupBy("line").agg(F.min("first_id").alias("first_id"))
-    later = stage(_unaligned(strong.join(often, "line").where("doc_id > first_id").drop("first_id"), gone))
+    later = stage(_unaligned(strong.join(often, "line").where("doc_id > first_id").drop("first_id"), gone, several))
     # all holders of what is left, each with its turn: 0 up to their number, by a hash
     all_left = strong.join(later.select("line").distinct(), "line").select("line", F.col("doc_id").alias("earlier")).distinct()
     n = all_left.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
@@ -296,10 +298,10 @@ def deletions(docs: DataFrame, rare: int = RARE, least_chars: int = LEAST_CHARS)
         fresh = stage(met.join(pairs, ["doc_id", "earlier"], "left_anti"))
         more = stage(_by_document(gone.unionByName(_aligned(heads, fresh, least_chars))))
         all_pairs = stage(pairs.unionByName(fresh))
-        left = stage(_unaligned(later.join(holders.where(F.col("n") > reach).select("line").distinct(), "line", "left_semi"), more))
+        left = stage(_unaligned(later.join(holders.where(F.col("n") > reach).select("line").distinct(), "line", "left_semi"), more, several))
         unstage(later, fresh, pairs, gone)
         later, pairs, gone = left, all_pairs, more
-    unstage(later, holders)
+    unstage(later, holders, several)
     whole = copies.select("doc_id", "body", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("copy"))
     found = stage(gone.withColumn("copy", F.lit(False)).unionByName(whole))
     unstage(copies, heads, pairs, gone)

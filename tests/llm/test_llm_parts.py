@@ -496,3 +496,44 @@ def test_a_short_line_after_a_long_one(spark):
     rows = [(1, f"first\n{long}\nof all"), (2, f"x\n{short}\ny")] + [(i, f"own {i}\n{long}\n{short}\nend {i}") for i in range(3, 13)]
     found = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: 0, 2: 0, 3: 1} | dict.fromkeys(range(4, 13), 2)
+
+
+def test_links_behind_the_front_of_a_large_bucket():
+    """A member that is near to one behind the front, but not to the one before it; and
+    what hangs together is the same as by comparing all with all."""
+    def trees(marks, limit):
+        blobs = pa.array([m.tobytes() for m in marks], pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(marks), np.int64)), pa.array(np.arange(len(marks))), blobs], names=["path", "node", "marks"])
+        root = np.arange(len(marks))
+        for out in jaccard._compare(0.8, limit)(iter([batch.slice(0, 150), batch.slice(150)])):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                root[a] = b
+        return root
+
+    front = np.zeros(64, np.uint8)
+    cover, far = front.copy(), front.copy()
+    cover[:6] = 1
+    far[:31] = 1  # 33 tokens of the front, 39 of the member behind it
+    rng = np.random.default_rng(5)
+    others = rng.integers(2, 250, (140, 64)).astype(np.uint8)
+    marks = np.stack([front, cover, *others, far])
+    assert list(trees(marks, 1000)[[0, 1, 142]]) == [0, 0, 0]
+    assert list(trees(marks, 16)[[0, 1, 142]]) == [0, 0, 0]
+    for _ in range(20):
+        rows = [rng.integers(0, 3, 64).astype(np.uint8)]
+        while len(rows) < 300:
+            x = rows[rng.integers(len(rows))].copy()
+            at = rng.choice(64, rng.integers(1, 30), replace=False)
+            x[at] = rng.integers(0, 60, len(at))
+            rows.append(x)
+        assert (trees(np.stack(rows), 1000) == trees(np.stack(rows), 16)).all()
+
+
+def test_an_id_with_two_texts_that_lose_other_lines(spark):
+    """What one text loses is no sign that the other text of the id, out of order in its
+    first holder, has lost the lines at these places."""
+    a, b, c, d = (f"the {x} of four passages that many documents hold" for x in ("first", "second", "third", "last"))
+    docs = [(1, f"top\n{b}\nmiddle\n{a}\nend"), (2, f"two\n{c}\nmore"), (3, f"three\n{d}\nmore")]
+    docs += [(10 + k, f"own {k}\n{a}\nmid {k}\n{b}\nend {k}") for k in range(12)] + [(21, f"other\n{c}\nmid\n{d}\nlast")]
+    rows = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id = 21").collect()
+    assert sorted(r.text for r in rows) == ["other\nmid\nlast", "own 11\nmid 11\nend 11"]
