@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir() + "/checkpoints"
 
 
+def release() -> None:
+    """Gives back what the driver no longer uses. Python's handles of Spark's plans are
+    cycles: until they are collected, the plans stay on the JVM's heap. Arrow and malloc
+    keep freed memory for themselves, which a long application never needs again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -49,6 +62,7 @@ def stage(df: DataFrame) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
     at, files = _files(spark, path)
     files.deleteOnExit(at)
+    release()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

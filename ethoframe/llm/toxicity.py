@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import stage, unstage
+from .common import release, stage, unstage
 
 BUCKETS = 1 << 18
 DIMS = 8
@@ -276,6 +276,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int
     label 1 and twice as many of label 0, one row of each, and of those as many whole
     texts as make ``most_bytes`` of word buckets (eight bytes a word). Thresholds come
     from all that aren't learned from."""
+    net = _learned(docs, labels, per_class, folds, fold, label, epochs, most_bytes)
+    release()  # the sample, which has just gone out of use
+    return net
+
+
+def _learned(docs: DataFrame, labels: DataFrame, per_class: int, folds: int, fold: int, label: str, epochs: int, most_bytes: int) -> Network:
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("key", F.xxhash64("doc_id", F.lit(11)))
     rates = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -294,6 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int
     table = sampled.join(fits, (F.col("key") == F.col("_key")) & (F.xxhash64("pairs") == F.col("_body"))).select("label", "lang", "pairs", "key").dropDuplicates(["key"]).toArrow()
     table = table.sort_by("key").combine_chunks()
     unstage(sampled)
+    release()
     if not len(table):
         return _constant(0.5)
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in table.column("pairs")]

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ethoframe.llm import components, jaccard, lines, neighbours, packing, pii, ppm, quality, scoring, toxicity, words
+from ethoframe.llm import common, components, jaccard, lines, neighbours, packing, pii, ppm, quality, scoring, toxicity, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -537,3 +537,30 @@ def test_an_id_with_two_texts_that_lose_other_lines(spark):
     docs += [(10 + k, f"own {k}\n{a}\nmid {k}\n{b}\nend {k}") for k in range(12)] + [(21, f"other\n{c}\nmid\n{d}\nlast")]
     rows = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id = 21").collect()
     assert sorted(r.text for r in rows) == ["other\nmid\nlast", "own 11\nmid 11\nend 11"]
+
+
+def test_training_gives_its_memory_back(spark, monkeypatch):
+    """The sample that a fit has used doesn't stay with the driver."""
+    calls = []
+    monkeypatch.setattr(toxicity, "release", lambda: calls.append(1))
+    docs = spark.createDataFrame([(k, "vile" if k % 2 else "fine", k % 2) for k in range(100)], "doc_id long, text string, toxic int")
+    toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert len(calls) == 2
+
+
+def test_staging_lets_go_of_old_plans(spark):
+    """Handles of plans are cycles; a long chain of steps must not gather them."""
+    import gc
+    import weakref
+
+    gc.collect()
+    gc.disable()
+    try:
+        old = spark.range(10)
+        old.count()
+        handle = weakref.ref(old._jdf)
+        del old
+        common.stage(spark.range(3))
+        assert handle() is None
+    finally:
+        gc.enable()
