@@ -35,11 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 def release() -> None:
     """Gives back what the driver no longer uses. Python's handles of Spark's plans are
     cycles: until they are collected, the plans stay on the JVM's heap. Arrow and malloc
-    keep freed memory for themselves, which a long application never needs again."""
+    keep freed memory for themselves, which a long application never needs again. Old
+    plans, broadcasts and results go when the JVM collects its heap; left to itself it
+    asks the system for more instead, and only a whole collection gives any back."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every libc has it
         ctypes.CDLL(None).malloc_trim(0)
+    if spark := SparkSession.getActiveSession():
+        spark.sparkContext._jvm.System.gc()
 
 
 def stage(df: DataFrame) -> DataFrame:

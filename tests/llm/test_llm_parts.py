@@ -564,3 +564,17 @@ def test_staging_lets_go_of_old_plans(spark):
         assert handle() is None
     finally:
         gc.enable()
+
+
+def test_staging_collects_the_heap_of_the_driver(spark):
+    """What the JVM no longer uses doesn't wait until its heap is full."""
+    jvm = spark.sparkContext._jvm
+    before = _collections(jvm)
+    common.stage(spark.range(3))
+    assert _collections(jvm) > before
+
+
+def _collections(jvm) -> int:
+    """Whole collections of the driver's heap so far."""
+    beans = jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(x.getCollectionCount() for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
