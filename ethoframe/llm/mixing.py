@@ -80,7 +80,8 @@ def solve(groups: DataFrame, sources: DataFrame, most: float = 3.0, rounds: int
                 "scale": F.greatest(F.col("source_size") / F.greatest(F.col("n_full"), F.lit(1)), F.lit(1.0)),
                 "lambda": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "miss": F.lit(1.0),
             }
-        )
+        ),
+        heap=False,
     )
     rate = _rate(most)
     slope = F.when(rate < most, rate * F.col("size") / F.col("scale")).otherwise(0.0)
@@ -104,7 +105,7 @@ def solve(groups: DataFrame, sources: DataFrame, most: float = 3.0, rounds: int
         middle = F.coalesce((F.col("low") + F.col("high")) / 2, wide)
         inside = (newton > F.coalesce("low", newton - 1)) & (newton < F.coalesce("high", newton + 1)) & (F.abs(newton - F.col("lambda")) < 8)
         step = F.when(inside, newton).otherwise(middle)
-        state = stage(at.withColumn("lambda", F.when(F.col("miss") <= tolerance, F.col("lambda")).otherwise(F.coalesce(step, F.col("lambda")))).drop("f", "g"))
+        state = stage(at.withColumn("lambda", F.when(F.col("miss") <= tolerance, F.col("lambda")).otherwise(F.coalesce(step, F.col("lambda")))).drop("f", "g"), heap=False)
         worst = state.where("target > 0 and target < source_size * %r * (1 - 1e-9)" % float(most)).agg(F.max("miss")).first()[0]
         if worst is None or worst <= tolerance:
             break
@@ -152,11 +153,12 @@ def mix(docs: DataFrame, most: int = 3, weight: Column | None = None) -> DataFra
     and copies."""
     sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), number_of_words(F.col("text")).alias("size"), F.xxhash64("text").alias("body")))
     dealt = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "body"), F.lit(BUCKETS)).cast("int"))
-    by_bucket = stage(dealt.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    groups = stage(by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n")))
+    by_bucket = stage(dealt.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), heap=False)
+    groups = stage(by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n")), heap=False)
     sources = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n_full"))
     sources = solve(groups, targets(sources, most=float(most), weight=weight), float(most))
-    taken = copies(groups, sources, most)
+    # written aside: in one plan with what follows, it fills the driver's heap
+    taken = stage(copies(groups, sources, most).select("source", "size", "n", "rate", "copies"))
     # each bucket's part of its group's copies: parts of a rising line, rounded down
     parts = by_bucket.join(taken.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "rate", "copies", F.col("n").alias("_n")), F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).drop("_source", "_size")
     up = Window.partitionBy("source", "size").orderBy("bucket")
@@ -181,7 +183,7 @@ def take(docs: DataFrame, most: int = 3) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies."""
     chosen = mix(docs, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "copies", F.col("source").alias("_from"))
     # rows with one id, text and source are told apart by number
-    chosen = chosen.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_body", "_from").orderBy("copies")))
+    chosen = stage(chosen.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_body", "_from").orderBy("copies"))))
     rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), F.col("source").cast("string").alias("_source"))
     # by all their other columns, so that reruns number them alike
     rest = [F.col("_row")[c] for c in docs.columns if c not in ("doc_id", "text", "source")]

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ethoframe.llm import common, components, jaccard, lines, neighbours, packing, pii, ppm, quality, scoring, toxicity, words
+from ethoframe.llm import common, components, jaccard, lines, mixing, neighbours, packing, pii, ppm, quality, scoring, toxicity, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -578,3 +578,21 @@ def _collections(jvm) -> int:
     """Whole collections of the driver's heap so far."""
     beans = jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
     return sum(x.getCollectionCount() for x in beans if "Old" in x.getName() or "MarkSweep" in x.getName())
+
+
+def _of_many_sizes(spark):
+    return spark.createDataFrame([(k, "w " * (k * k % 97), "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
+
+
+def test_mixing_rarely_collects_the_heap_of_the_driver(spark):
+    """A whole collection after each of many short steps makes the heap larger."""
+    jvm = spark.sparkContext._jvm
+    before = _collections(jvm)
+    mixing.take(_of_many_sizes(spark))
+    assert 0 < _collections(jvm) - before <= 4
+
+
+def test_mixing_ends_with_a_short_plan(spark):
+    """The copies by group, and those by document, are tables of their own."""
+    plan = mixing.take(_of_many_sizes(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") <= 1
